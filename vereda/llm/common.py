@@ -108,3 +108,44 @@ def stream(n: int, seed: int) -> np.ndarray:
 
 def packed(values: np.ndarray) -> bytes:
     return np.ascontiguousarray(values).tobytes()
+
+
+class Lookup:
+    """Integer keys → row numbers, for whole arrays: open addressing at half load."""
+
+    def __init__(self, keys: np.ndarray):
+        keys = np.ascontiguousarray(keys, np.uint64)
+        self.bits = max(4, int(len(keys) * 2).bit_length())
+        size = 1 << self.bits
+        self.row = np.full(size, -1, np.int32)
+        self.key = np.zeros(size, np.uint64)
+        self.probes = 0
+        left = np.arange(len(keys), dtype=np.int64)
+        slot = self._slot(keys)
+        while len(left):
+            self.probes += 1
+            free = self.row[slot] < 0
+            _, at = np.unique(slot[free], return_index=True)
+            put = np.flatnonzero(free)[at]
+            self.row[slot[put]] = left[put]
+            self.key[slot[put]] = keys[left[put]]
+            stay = np.ones(len(left), bool)
+            stay[put] = False
+            left, slot = left[stay], (slot[stay] + 1) & (size - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The row of each key, or -1."""
+        slot = self._slot(keys)
+        out = self.row[slot]
+        wrong = np.flatnonzero((out >= 0) & (self.key[slot] != keys))
+        slot = slot[wrong]
+        while len(wrong):
+            slot = (slot + 1) & (len(self.row) - 1)
+            row = self.row[slot]
+            good = (row < 0) | (self.key[slot] == keys[wrong])
+            out[wrong[good]] = row[good]
+            wrong, slot = wrong[~good], slot[~good]
+        return out

@@ -6,16 +6,31 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import syncmers
-from .common import table
+from . import language, syncmers, toxicity
+from .common import crc_mod, table
 
 
 def op1_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.compare_neighbours(table(spark, sf_dir, "documents"))
 
 
+def op2_ppm_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language.fit(docs, crc_mod("doc_id", 4) != 2)
+    return language.predict(docs.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "text"), model)
+
+
+def op10_toxicity_nnpu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), crc_mod("doc_id", 5) != 0)
+    found = toxicity.score(docs, model)
+    return found.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_syncmer_fingerprints": op1_syncmer_fingerprints,
+    "op2_ppm_language_id": op2_ppm_language_id,
+    "op10_toxicity_nnpu": op10_toxicity_nnpu,
 }
 
 ORACLE_SQL: dict[str, str] = {}
