@@ -60,18 +60,18 @@ def crc_mod(key: str | Column, n: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), F.lit(n))
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES, rows: int = 1 << 30) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that each piece holds about ``limit`` bytes of the column
-    (a longer single text stays whole)."""
+    (a longer single text stays whole), and at most ``rows`` rows."""
     for batch in batches:
         if not batch.num_rows:
             continue
         texts = batch.column(column)
         _, offsets = text_bytes(texts)
-        at, rows = 0, batch.num_rows
-        while at < rows:
+        at = 0
+        while at < batch.num_rows:
             to = int(np.searchsorted(offsets, offsets[at] + limit, side="right")) - 1
-            to = min(rows, max(to, at + 1))
+            to = min(batch.num_rows, at + rows, max(to, at + 1))
             yield batch.slice(at, to - at)
             at = to
 

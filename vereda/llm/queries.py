@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, syncmers, toxicity
+from . import language, minhash, syncmers, toxicity
 from .common import crc_mod, table
 
 
@@ -20,6 +20,10 @@ def op2_ppm_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "text"), model)
 
 
+def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity_nnpu(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), crc_mod("doc_id", 5) != 0)
@@ -30,6 +34,7 @@ def op10_toxicity_nnpu(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_syncmer_fingerprints": op1_syncmer_fingerprints,
     "op2_ppm_language_id": op2_ppm_language_id,
+    "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op10_toxicity_nnpu": op10_toxicity_nnpu,
 }
 
