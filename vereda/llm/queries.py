@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, minhash, repeats, syncmers, toxicity
+from . import language, minhash, mixing, repeats, syncmers, toxicity
 from .common import crc_mod, table
 
 
@@ -26,6 +26,11 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op7_ipf_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return mixing.mixed(docs).select("doc_id", "source", "lang", "topic", "n_words", "weight", "probability", "sampled")
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -41,6 +46,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_syncmer_fingerprints": op1_syncmer_fingerprints,
     "op2_ppm_language_id": op2_ppm_language_id,
     "op3_substring_dedup": op3_substring_dedup,
+    "op7_ipf_mixing": op7_ipf_mixing,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op10_toxicity_nnpu": op10_toxicity_nnpu,
 }
