@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, minhash, mixing, repeats, syncmers, toxicity
+from . import language, minhash, mixing, pieces, repeats, syncmers, toxicity
 from .common import crc_mod, table
 
 
@@ -35,6 +35,13 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pieces.encoded(docs, model or public_tokenizers.path("piece_bpe_32k.model"), with_ids=False)
+
+
 def op10_toxicity_nnpu(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), crc_mod("doc_id", 5) != 0)
@@ -48,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_substring_dedup": op3_substring_dedup,
     "op7_ipf_mixing": op7_ipf_mixing,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
+    "op9_sentencepiece": op9_sentencepiece,
     "op10_toxicity_nnpu": op10_toxicity_nnpu,
 }
 
