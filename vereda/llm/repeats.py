@@ -88,7 +88,7 @@ def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     press = zstandard.ZstdCompressor(level=1)
     for b in slices(batches):
-        yield pa.record_batch({"key": b.column("key"), "packed": pa.array([press.compress(t.encode()) for t in b.column("text").to_pylist()], pa.binary())})
+        yield pa.record_batch({"key": b.column("key"), "rest": b.column("rest"), "packed": pa.array([press.compress(t.encode()) for t in b.column("text").to_pylist()], pa.binary())})
 
 
 def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,7 +135,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = np.flatnonzero(keep[w.first[i] : w.first[i + 1]]) + w.first[i]
             kept.append(b" ".join([raw[s:e] for s, e in zip(w.start[own].tolist(), w.end[own].tolist(), strict=True)]))
         size = np.diff(w.first)
-        yield pa.record_batch({"key": b.column("key"), "n_words": size, "n_removed": size - np.diff(sums[w.first]), "kept": pa.array(kept, pa.binary()).cast(pa.string())})
+        yield pa.record_batch({"rest": b.column("rest"), "n_words": size, "n_removed": size - np.diff(sums[w.first]), "kept": pa.array(kept, pa.binary()).cast(pa.string())})
 
 
 def repeated_spans(keyed: DataFrame, packed: DataFrame) -> DataFrame:
@@ -160,19 +160,22 @@ def repeated_spans(keyed: DataFrame, packed: DataFrame) -> DataFrame:
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """``docs(doc_id, text)`` → (doc_id, key, n_words, n_removed, kept): the words that stay,
-    joined by one space.  ``key`` is the id, or (id, hash of the text) where ids are repeated
-    or null; rows that agree in both count as one document."""
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    odd = base.groupBy("doc_id").count().filter("count > 1 or doc_id is null").limit(1).count()
-    key = F.struct("doc_id", F.xxhash64("text").alias("h")) if odd else F.col("doc_id")
-    keyed = base.select(key.alias("key"), "text")
-    kind = keyed.schema["key"].dataType.simpleString()
-    packed = keyed.mapInArrow(_pack, f"key {kind}, packed binary")
-    spans = repeated_spans(keyed, packed).groupBy("key").agg(F.collect_list(F.struct("at", "n")).alias("spans"))
-    if odd:  # equality of keys must hold for null ids too
-        joined = packed.alias("p").join(spans.alias("s"), F.col("p.key").eqNullSafe(F.col("s.key")), "left").select("p.key", "packed", "spans")
+    """``docs`` with text replaced by the words that stay (joined by one space), and with
+    n_words and n_removed; columns of these names are replaced.
+
+    Texts are ordered by their id, or by (id, hash of the text) where ids are repeated or
+    null.  They cross the network compressed."""
+    rest = [c for c in docs.columns if c not in ("text", "n_words", "n_removed")]
+    base = docs.select(F.struct(*rest).alias("rest"), F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    odd = base.groupBy("id").count().filter("count > 1 or id is null").limit(1).count()
+    key = F.struct("id", F.xxhash64("text").alias("h")) if odd else F.col("id")
+    keyed = base.select(key.alias("key"), "rest", "text")
+    kind, other = (keyed.schema[c].dataType.simpleString() for c in ("key", "rest"))
+    packed = keyed.mapInArrow(_pack, f"key {kind}, rest {other}, packed binary")
+    spans = repeated_spans(keyed.select("key", "text"), packed.select("key", "packed")).groupBy("key").agg(F.collect_list(F.struct("at", "n")).alias("spans"))
+    if odd:  # null ids must meet too
+        joined = packed.alias("p").join(spans.alias("s"), F.col("p.key").eqNullSafe(F.col("s.key")), "left").select("rest", "packed", "spans")
     else:
-        joined = packed.join(spans, "key", "left")
-    out = joined.mapInArrow(_cut, f"key {kind}, n_words long, n_removed long, kept string")
-    return out.select((F.col("key.doc_id") if odd else F.col("key")).alias("doc_id"), "key", "n_words", "n_removed", "kept")
+        joined = packed.join(spans, "key", "left").select("rest", "packed", "spans")
+    out = joined.mapInArrow(_cut, f"rest {other}, n_words long, n_removed long, kept string")
+    return out.select("rest.*", "n_words", "n_removed", F.col("kept").alias("text"))
