@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, minhash, mixing, pieces, repeats, syncmers, toxicity
+from . import impacts, language, minhash, mixing, pieces, repeats, syncmers, toxicity
 from .common import crc_mod, table
 
 
@@ -26,6 +26,10 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op5_impact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return impacts.top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 20 == 0)
+
+
 def op7_ipf_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     return mixing.mixed(docs).select("doc_id", "source", "lang", "topic", "n_words", "weight", "probability", "sampled")
@@ -53,10 +57,44 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_syncmer_fingerprints": op1_syncmer_fingerprints,
     "op2_ppm_language_id": op2_ppm_language_id,
     "op3_substring_dedup": op3_substring_dedup,
+    "op5_impact_top_k": op5_impact_top_k,
     "op7_ipf_mixing": op7_ipf_mixing,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_toxicity_nnpu": op10_toxicity_nnpu,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_substring_dedup": r"""
+        WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        p AS (SELECT doc_id, ws, unnest(generate_series(1, len(ws) - 19)) AS pos FROM w WHERE len(ws) >= 20),
+        k AS (SELECT doc_id, pos, array_to_string(list_slice(ws, pos, pos + 19), ' ') AS win FROM p),
+        r AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY win ORDER BY doc_id, pos) AS n FROM k),
+        g AS (SELECT DISTINCT doc_id, unnest(generate_series(pos, pos + 19)) AS i FROM r WHERE n > 1),
+        o AS (SELECT doc_id, unnest(ws) AS word, unnest(generate_series(1, len(ws))) AS i FROM w),
+        s AS (SELECT o.doc_id, count(g.i) AS n_removed, string_agg(CASE WHEN g.i IS NULL THEN o.word END, ' ' ORDER BY o.i) AS kept
+              FROM o LEFT JOIN g ON g.doc_id = o.doc_id AND g.i = o.i GROUP BY o.doc_id)
+        SELECT w.doc_id, len(w.ws)::BIGINT AS n_words, coalesce(s.n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(s.kept, '')) AS kept_sha256
+        FROM w LEFT JOIN s ON s.doc_id = w.doc_id
+    """,
+    "op5_impact_top_k": """
+        WITH v AS (SELECT vec_id, unnest(embedding) AS x, unnest(generate_series(1, len(embedding))) AS d FROM embeddings),
+        i AS (SELECT vec_id, d, floor(64 * x::DOUBLE)::BIGINT AS y FROM v),
+        s AS (SELECT a.vec_id AS query_id, b.vec_id, sum(a.y * b.y)::BIGINT AS score FROM i a JOIN i b ON a.d = b.d AND a.vec_id <> b.vec_id
+              WHERE a.vec_id % 20 = 0 GROUP BY 1, 2),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+        SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 20
+    """,
+    "op8_minhash_near_dedup": r"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        g AS (SELECT doc_id, ws, unnest(generate_series(1, greatest(len(ws) - 4, 1))) AS pos FROM w WHERE len(ws) > 0),
+        h AS (SELECT DISTINCT doc_id, array_to_string(list_slice(ws, pos, pos + 4), ' ') AS sh FROM g),
+        n AS (SELECT doc_id, count(*) AS n FROM h GROUP BY doc_id),
+        c AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS k FROM h a JOIN h b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+        e AS (SELECT u, v FROM c JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE 100 * k >= 75 * (x.n + y.n - k)),
+        r AS (SELECT doc_id AS u, doc_id AS v FROM documents UNION SELECT r.u, e.v FROM r JOIN e ON e.u = r.v),
+        m AS (SELECT u AS doc_id, min(v) AS component_id FROM r GROUP BY u)
+        SELECT m.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.component_id, m.doc_id = m.component_id AS kept
+        FROM m LEFT JOIN n ON n.doc_id = m.doc_id
+    """,
+}
