@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import impacts, language, minhash, mixing, pieces, repeats, syncmers, toxicity
+from . import impacts, language, minhash, mixing, pieces, repeats, store, syncmers, toxicity
 from .common import crc_mod, table
 
 
@@ -26,6 +26,14 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op4_content_addressed_ids(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    import public_tokenizers
+
+    path = store.new_path(spark)
+    store.write(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer or public_tokenizers.path("byte_bpe_50k.json"), path)
+    return store.checksums(store.read(spark, path))
+
+
 def op5_impact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return impacts.top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 20 == 0)
 
@@ -57,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_syncmer_fingerprints": op1_syncmer_fingerprints,
     "op2_ppm_language_id": op2_ppm_language_id,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_content_addressed_ids": op4_content_addressed_ids,
     "op5_impact_top_k": op5_impact_top_k,
     "op7_ipf_mixing": op7_ipf_mixing,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
