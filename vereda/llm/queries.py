@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import impacts, language, minhash, mixing, pieces, repeats, store, syncmers, toxicity
+from . import impacts, language, minhash, mixing, ngrams, pieces, repeats, store, syncmers, toxicity
 from .common import crc_mod, table
 
 
@@ -38,6 +38,12 @@ def op5_impact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return impacts.top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 20 == 0)
 
 
+def op6_lm_bloom_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = ngrams.scores(docs, crc_mod("doc_id", 7) != 2)
+    return found.select("doc_id", (crc_mod("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op7_ipf_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     return mixing.mixed(docs).select("doc_id", "source", "lang", "topic", "n_words", "weight", "probability", "sampled")
@@ -67,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_substring_dedup": op3_substring_dedup,
     "op4_content_addressed_ids": op4_content_addressed_ids,
     "op5_impact_top_k": op5_impact_top_k,
+    "op6_lm_bloom_scores": op6_lm_bloom_scores,
     "op7_ipf_mixing": op7_ipf_mixing,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_sentencepiece": op9_sentencepiece,
