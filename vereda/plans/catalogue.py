@@ -1,4 +1,8 @@
+"""All queries of the library proper, by name."""
+
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import documents, market
+
+QUERIES = {**documents.QUERIES, **market.QUERIES}
+ORACLE_SQL = {**documents.ORACLE_SQL, **market.ORACLE_SQL}
