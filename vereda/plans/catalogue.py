@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import documents, market
+from . import documents, market, more
 
-QUERIES = {**documents.QUERIES, **market.QUERIES}
-ORACLE_SQL = {**documents.ORACLE_SQL, **market.ORACLE_SQL}
+QUERIES = {**documents.QUERIES, **market.QUERIES, **more.QUERIES}
+ORACLE_SQL = {**documents.ORACLE_SQL, **market.ORACLE_SQL, **more.ORACLE_SQL}

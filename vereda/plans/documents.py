@@ -330,13 +330,13 @@ def theta_containment(spark, sf_dir):
 
 
 @query(
-    """SELECT a.k AS doc_id, b.source FROM (SELECT DISTINCT doc_id % 1000 AS k FROM documents WHERE lang = 'en' INTERSECT SELECT DISTINCT doc_id % 1000 AS k FROM documents WHERE lang = 'fr') a JOIN documents b ON b.doc_id = a.k
+    """SELECT a.k AS doc_id, b.source FROM (SELECT DISTINCT doc_id % 100 AS k FROM documents WHERE lang = 'en' INTERSECT SELECT DISTINCT doc_id % 100 AS k FROM documents WHERE lang = 'fr') a JOIN documents b ON b.doc_id = a.k
     EXCEPT SELECT doc_id, source FROM documents WHERE n_chars < 100"""
 )
 def set_operations(spark, sf_dir):
     """Intersection, join and difference of key sets."""
     d = table(spark, sf_dir, "documents")
-    ids = lambda lang: d.filter(F.col("lang") == lang).select((F.col("doc_id") % 1000).alias("doc_id"))
+    ids = lambda lang: d.filter(F.col("lang") == lang).select((F.col("doc_id") % 100).alias("doc_id"))
     both = ids("en").intersect(ids("fr"))
     return both.join(d.select("doc_id", "source"), "doc_id").exceptAll(d.filter("n_chars < 100").select("doc_id", "source")).distinct()
 
