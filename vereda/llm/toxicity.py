@@ -5,8 +5,8 @@ with the class-prior-corrected risk
 
     prior * E_P[loss(+)] + max(0, E_U[loss(-)] - prior * E_P[loss(-)])
 
-with logistic loss.  The prior is the share of toxic rows among all training labels.  The
-features are the presence of byte n-grams (5 and 6 bytes, letters only, lower case) that P
+with logistic loss.  The prior is the share of toxic rows among all training labels, or what
+the best features say of their share in U, if that is less.  The features are the presence of byte n-grams (5 and 6 bytes, letters only, lower case) that P
 has much oftener than the non-toxic part of U would.
 
 Training reads at most ``positives`` toxic and ``unlabelled`` other documents, chosen by a
@@ -162,11 +162,13 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column, positives: int = 4
         .withColumn("gain", F.col("p") * F.log((share_p + 1.0 / n_u) / (clean + 1.0 / n_u)))
         .filter((F.col("gain") >= min_gain) & (share_p >= min_ratio * (clean + 1.0 / n_u)))
         .orderBy(F.desc("gain"), "key")
-        .select("key")
+        .select("key", (share_u / share_p).alias("mix"))
         .limit(n_features)
         .collect()
     )
     chosen = Chosen([r["key"] for r in top])
+    if top:  # clean texts hardly hold the best features, so U's share over P's is the prior in U
+        prior = min(prior, max(1e-3, float(np.quantile([r["mix"] for r in top[:50]], 0.8))))
     shared = spark.sparkContext.broadcast(chosen)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
