@@ -8,16 +8,18 @@ texts are linked if their sets have a Jaccard index of at least 0.75.
    keys (four minima each) and a packed signature (two low bits of each of 128 minima).
 2. Texts with equal sets are one class; all that follows sees a class once, through its
    smallest id, so copies cost nothing however many they are.
-3. Classes that share a band key are compared with the smallest of the bucket: a star, as
-   many pairs as members.  What the bit counts estimate far below the threshold goes; the rest
-   is confirmed on full sets.  The links give components.
+3. Classes that share a band key are compared with two leads of the bucket, the smallest id
+   and a random one: two stars, twice as many pairs as members.  What the bit counts estimate
+   far below the threshold goes; the rest is confirmed on full sets.  The links give components.
 4. In buckets that still hold several components, the members outside the largest are
-   compared with the members of the others: estimate, then full sets.  Pairs inside a
-   component need no test, so no link between different texts that would change a component
-   is lost and no group is expanded into its pairs.
+   compared with the members of the others: estimate, then the estimate from a signature of
+   1024 minima made for these classes alone, then full sets; a pair counts in the first band
+   that it shares.  Pairs inside a component need no
+   test, so no link between different texts that would change a component is lost and no
+   group is expanded into its pairs.
 
-Two texts at the threshold share no band with probability 5e-6, and the estimate drops a
-pair at the threshold with probability below 1e-7.
+Two texts at the threshold share no band with probability 5e-6, and the estimates drop a
+pair at the threshold with probability below 1e-5.
 
 Defined cases: null text is empty; an empty text is its own component; repeated rows are one
 class; a row with a null id is linked with nothing (component_id null, kept); an empty table
@@ -34,12 +36,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words
-from .common import drop_settled, mix, settle, slices, stream
+from .common import drop_settled, mix, settle, slices, stream, text_bytes
 from .components import components
 
-SHINGLE, PERMS, ROWS = 5, 128, 4
+SHINGLE, PERMS, ROWS, WIDE = 5, 128, 4, 1024
 BANDS = PERMS // ROWS
-_ODD = stream(PERMS, 21) | np.uint64(1)
+_ODD = stream(WIDE, 21) | np.uint64(1)
 _MASK = np.uint64((1 << 52) - 1)
 
 
@@ -108,19 +110,20 @@ def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if b.num_rows:
             keys = np.frombuffer(b"".join(b.column("bands").to_pylist()), np.int64)
             row = pa.array(np.repeat(np.arange(b.num_rows), BANDS))
-            yield pa.RecordBatch.from_arrays([pa.array(keys), *(b.column(c).take(row) for c in _MEMBER[1:])], names=_MEMBER)
+            place = pa.array(np.tile(np.arange(BANDS, dtype=np.int32), b.num_rows))
+            yield pa.RecordBatch.from_arrays([pa.array(keys), place, *(b.column(c).take(row) for c in _MEMBER[2:])], names=_MEMBER)
 
 
-_MEMBER = ["band", "id", "n", "g0", "g1", "g2", "g3"]
+_MEMBER = ["band", "j", "id", "n", "g0", "g1", "g2", "g3"]
 
 
-def estimate(a: str, b: str) -> Column:
+def estimate(a: str, b: str, name: str = "g", longs: int = PERMS // 32) -> Column:
     """Collision-corrected Jaccard index from two packed signatures of two-bit minima."""
     differ = F.lit(0)
-    for i in range(4):
-        x = F.col(f"{a}.g{i}").bitwiseXOR(F.col(f"{b}.g{i}"))
+    for i in range(longs):
+        x = F.col(f"{a}.{name}{i}").bitwiseXOR(F.col(f"{b}.{name}{i}"))
         differ = differ + F.bit_count(x.bitwiseOR(F.shiftright(x, 1)).bitwiseAND(F.lit(0x5555555555555555)))
-    return (1 - differ / F.lit(float(PERMS)) - 0.25) / 0.75
+    return (1 - differ / F.lit(32.0 * longs) - 0.25) / 0.75
 
 
 def _likely(a: str, b: str) -> Column:
@@ -128,12 +131,31 @@ def _likely(a: str, b: str) -> Column:
     return (F.least(n, m) * 100 >= F.greatest(n, m) * 75) & (estimate(a, b) >= 0.5)
 
 
+def _first_shared() -> Column:
+    """No band before this one is shared, too."""
+    at = lambda side, i: F.substring(F.col(f"{side}.bands"), 8 * i + 1, F.lit(8))
+    return (F.col("a.j") == 0) | ~F.exists(F.sequence(F.lit(0), F.greatest(F.col("a.j") - 1, F.lit(0))), lambda i: at("a", i) == at("b", i))
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in slices(batches, rows=4000):
         h, edge = shingle_sets(b.column("text"))
         yield pa.record_batch({"id": b.column("doc_id"), "shingles": [h[edge[i] : edge[i + 1]].tobytes() for i in range(b.num_rows)]})
 
 
+def _widen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The low bits of WIDE minima of full sets, 32 of them to an integer."""
+    for b in slices(batches, "shingles"):
+        data, offsets = text_bytes(b.column("shingles"))
+        h = mix(np.frombuffer(data.tobytes(), np.uint64).copy())
+        start = offsets[:-1] // 8
+        bits = np.zeros((WIDE // 32, b.num_rows), np.uint64)
+        for j in range(WIDE):
+            low = np.minimum.reduceat(h * _ODD[j], start)
+            bits[j // 32] |= ((low >> np.uint64(24)) & np.uint64(3)) << np.uint64(2 * (j % 32))
+        yield pa.RecordBatch.from_arrays([b.column("id"), *(pa.array(x.view(np.int64)) for x in bits)], names=["id", *(f"w{i}" for i in range(WIDE // 32))])
+
+
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     last_key, last = None, None
     for b in batches:
@@ -164,29 +186,32 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     named = signed.filter("s1 is not null and doc_id is not null")
     same = [F.min(c).alias(c) for c in ("g0", "g1", "g2", "g3", "bands")]
     classes = named.groupBy("s1", "s2").agg(F.min("doc_id").alias("id"), F.min("n_shingles").alias("n"), *same)
-    members = classes.select("id", "n", "g0", "g1", "g2", "g3", "bands").mapInArrow(_explode, "band long, id long, n long, g0 long, g1 long, g2 long, g3 long")
+    members = classes.select("id", "n", "g0", "g1", "g2", "g3", "bands").mapInArrow(_explode, "band long, j int, id long, n long, g0 long, g1 long, g2 long, g3 long")
     in_band = Window.partitionBy("band")
-    least = F.min(F.struct("id", "n", "g0", "g1", "g2", "g3")).over(in_band)
-    shared = settle(members.select("*", least.alias("lead"), F.count("*").over(in_band).alias("m")).filter("m > 1").drop("m"), "bands")
+    own = F.struct("id", "n", "g0", "g1", "g2", "g3")
+    lead, other = F.min(own).over(in_band), F.min(F.struct(F.xxhash64("id", "band").alias("h"), own.alias("row"))).over(in_band)
+    shared = settle(members.select("*", lead.alias("lead"), other["row"].alias("other"), F.count("*").over(in_band).alias("m")).filter("m > 1").drop("m"), "bands")
     # texts are needed again only for classes that share a band
     wanted = shared.select(F.col("id").alias("doc_id")).distinct()
     texts = base.join(wanted, "doc_id", "left_semi").mapInArrow(_sets, "id long, shingles binary")
     sets = settle(texts.dropDuplicates(["id"]), "sets")
 
-    rows = shared.select(F.struct("id", "n", "g0", "g1", "g2", "g3").alias("a"), "lead")
-    stars = rows.filter((F.col("a.id") != F.col("lead.id")) & _likely("a", "lead")).select(F.col("lead.id").alias("u"), F.col("a.id").alias("v")).distinct()
+    rows = shared.select(own.alias("a"), F.col("lead").alias("b")).unionByName(shared.select(own.alias("a"), F.col("other").alias("b")))
+    rows = rows.filter((F.col("a.id") != F.col("b.id")) & _likely("a", "b"))
+    stars = rows.select(F.least("a.id", "b.id").alias("u"), F.greatest("a.id", "b.id").alias("v")).distinct()
     links = settle(confirmed(stars, sets), "links")
     found = components(links)
 
-    labelled = shared.drop("lead").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    labelled = shared.drop("lead", "other").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     parts = labelled.groupBy("band", "component").agg(F.count("*").alias("k")).withColumn("kinds", F.count("*").over(in_band)).filter("kinds > 1")
     largest = parts.withColumn("major", F.row_number().over(in_band.orderBy(F.desc("k"), "component")) == 1).select("band", "component", "major")
     open_rows = labelled.join(largest, ["band", "component"])
+    wide = sets.join(open_rows.select("id").distinct(), "id", "left_semi").mapInArrow(_widen, "id long, " + ", ".join(f"w{i} long" for i in range(WIDE // 32)))
+    open_rows = open_rows.join(wide, "id").join(classes.select("id", "bands"), "id")
     minor = open_rows.filter("not major").alias("a")
     pairs = (
-        minor.join(open_rows.alias("b"), (F.col("a.band") == F.col("b.band")) & (F.col("a.component") != F.col("b.component")) & (F.col("b.major") | (F.col("a.id") < F.col("b.id"))) & _likely("a", "b"))
+        minor.join(open_rows.alias("b"), (F.col("a.band") == F.col("b.band")) & (F.col("a.component") != F.col("b.component")) & (F.col("b.major") | (F.col("a.id") < F.col("b.id"))) & _likely("a", "b") & (estimate("a", "b", "w", WIDE // 32) >= 0.68) & _first_shared())
         .select(F.least("a.id", "b.id").alias("u"), F.greatest("a.id", "b.id").alias("v"))
-        .distinct()
         .join(stars, ["u", "v"], "left_anti")
     )
     more = settle(confirmed(pairs, sets), "links")

@@ -144,7 +144,8 @@ def repeated_spans(keyed: DataFrame, packed: DataFrame) -> DataFrame:
     kind = keyed.schema["key"].dataType.simpleString()
     seeds = keyed.mapInArrow(_seeds, f"anchor long, run long, key {kind}, at int, n int")
     met = seeds.groupBy("anchor").agg(F.count("*").alias("k"), (F.min("run") != F.max("run")).alias("mixed")).filter("k > 1").drop("k")
-    met = settle(seeds.join(met, "anchor"), "met")
+    # written first, so that the join has two plain exchanges and a hot anchor can be split
+    met = settle(seeds.join(settle(met, "anchors"), "anchor"), "met")
     place = F.struct("key", "at")
     runs = met.groupBy("anchor", "run").agg(F.min(place).alias("first"))
     rows = met.join(runs, ["anchor", "run"]).withColumn("later", place > F.col("first"))

@@ -213,7 +213,7 @@ def write(docs: DataFrame, tokenizer: str, path: str, end: int = 2) -> None:
     def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = shared.value
         met: set[bytes] = set()  # chunks that this task has already given, up to a bound
-        for b in slices(batches, limit=4 << 20):
+        for b in slices(batches, limit=1 << 20):
             ids, edge = with_end(*encoder.encode([t or "" for t in b.column("text").to_pylist()]), end)
             bound = chunk_bounds(ids, edge)
             raw, digests, blobs = ids.astype("<u2").tobytes(), [], []
