@@ -331,7 +331,7 @@ def encoded(docs: DataFrame, model: str, with_ids: bool = True) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = shared.value
-        for b in slices(batches, limit=8 << 20):
+        for b in slices(batches, limit=2 << 20):
             texts = [t or "" for t in b.column("text").to_pylist()]
             ids, edge = tables.encode(texts)
             raw, at = tables.decode(ids, edge)
