@@ -105,7 +105,7 @@ class Encoder:
     special: list[str]
     size: np.ndarray
     memory: Memory = field(default_factory=Memory)
-    _loaded: tuple | None = None
+    _loaded: dict = field(default_factory=dict)
 
     @classmethod
     def load(cls, path: str) -> Encoder:
@@ -121,28 +121,30 @@ class Encoder:
         return cls(path, _kinds(), [str(x) for x in (a.content for a in t.get_added_tokens_decoder().values())], size)
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_loaded": None, "memory": Memory()}
+        return self.__dict__ | {"_loaded": {}, "memory": Memory()}
 
-    def _tokenizers(self) -> tuple:
-        if self._loaded is None:
+    def _tokenizer(self, by_unit: bool):
+        """The library's tokenizer as it is, or one that takes units parted by zero bytes; each
+        is loaded only when it is needed, since it takes tens of megabytes."""
+        if by_unit not in self._loaded:
             import os
 
             os.environ["TOKENIZERS_PARALLELISM"] = "false"
             from tokenizers import Tokenizer, pre_tokenizers
 
-            whole, one = Tokenizer.from_file(self.path), Tokenizer.from_file(self.path)
-            one.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split("\x00", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-            one.encode_special_tokens = True
-            self._loaded = whole, one
-        return self._loaded
+            made = Tokenizer.from_file(self.path)
+            if by_unit:
+                made.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split("\x00", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+                made.encode_special_tokens = True
+            self._loaded[by_unit] = made
+        return self._loaded[by_unit]
 
     def _units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        whole, one = self._tokenizers()
         if any("\x00" in u for u in units):
-            got = [x.ids for x in whole.encode_batch_fast(units, add_special_tokens=False)]
+            got = [x.ids for x in self._tokenizer(False).encode_batch_fast(units, add_special_tokens=False)]
             return np.array([i for x in got for i in x], np.uint16), np.concatenate(([0], np.cumsum([len(x) for x in got])))
         joined = ["\x00".join(units[i : i + 64]) for i in range(0, len(units), 64)]
-        ids = np.array([i for x in one.encode_batch_fast(joined, add_special_tokens=False) for i in x.ids], np.uint16)
+        ids = np.array([i for x in self._tokenizer(True).encode_batch_fast(joined, add_special_tokens=False) for i in x.ids], np.uint16)
         edge = np.concatenate(([0], np.cumsum([len(u.encode()) for u in units])))
         return ids, np.searchsorted(np.concatenate(([0], np.cumsum(self.size[ids]))), edge)
 
@@ -157,14 +159,14 @@ class Encoder:
             begin = cuts(points, np.unique(chars), self.kind)
             width = 1 + (points > 0x7F).astype(np.int64) + (points > 0x7FF) + (points > 0xFFFF)
             byte = np.concatenate(([0], np.cumsum(width)))
-            ids, first = self.memory.encode(raw.encode(), byte[begin], self._units, 1 << 20)
+            ids, first = self.memory.encode(raw.encode(), byte[begin], self._units, 1 << 17)
             edge = first[np.searchsorted(begin, chars)]
         else:
             ids, edge = np.zeros(0, np.uint16), np.zeros(len(texts) + 1, np.int64)
         if odd:
             parts = [ids[edge[i] : edge[i + 1]] for i in range(len(texts))]
             for i in odd:
-                parts[i] = np.array(self._tokenizers()[0].encode(texts[i], add_special_tokens=False).ids, np.uint16)
+                parts[i] = np.array(self._tokenizer(False).encode(texts[i], add_special_tokens=False).ids, np.uint16)
             ids, edge = np.concatenate(parts), np.concatenate(([0], np.cumsum([len(p) for p in parts])))
         return ids, edge
 
@@ -213,7 +215,7 @@ def write(docs: DataFrame, tokenizer: str, path: str, end: int = 2) -> None:
     def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = shared.value
         met: set[bytes] = set()  # chunks that this task has already given, up to a bound
-        for b in slices(batches, limit=1 << 20):
+        for b in slices(batches, limit=1 << 18):
             ids, edge = with_end(*encoder.encode([t or "" for t in b.column("text").to_pylist()]), end)
             bound = chunk_bounds(ids, edge)
             raw, digests, blobs = ids.astype("<u2").tobytes(), [], []
