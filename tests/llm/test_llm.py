@@ -311,6 +311,32 @@ def test_lm_scores(spark, rows):
     assert {r.train_tokens for r in ngrams.scores(docs, F.lit(False)).collect()} == {0}
 
 
+@pytest.mark.parametrize("sizes", [{}, {"hot": 0}, {"bits": 1 << 12}])
+def test_lm_scores_keep_every_ngram(spark, sizes):
+    """Against the model without a filter, however small its parts are."""
+    rng = random.Random(4)
+    vocab = [f"w{i}" for i in range(700)]
+    rows = [(i, " ".join(vocab[int(700 * rng.random() ** 2)] for _ in range(rng.randrange(1, 120)))) for i in range(150)]
+    got = {r.doc_id: r.score for r in ngrams.scores(table(spark, rows), crc_mod("doc_id", 7) != 2, **sizes).collect()}
+    tok = {i: [*t.split(), None] for i, t in rows}
+    one, two = collections.Counter(), collections.Counter()
+    for i, w in tok.items():
+        if crc(i) % 7 != 2:
+            one.update(w)
+            two.update(zip([None, *w], w))
+    mass = sum(one.values()) + len(one) + 1
+    read = lambda c, kind: float(ngrams.values(kind)[ngrams.level_of(np.array([c]), kind)[0]]) if c else 0.0
+    off = []
+    for i, w in tok.items():
+        want = 0.0
+        for h, x in zip([None, *w], w):
+            alone, before = (read(one[x], ngrams.UNI) + 1) / mass, read(one[h], ngrams.UNI)
+            seen = min(1.0, read(two[h, x], ngrams.BI) / before) if before else 0.0
+            want += math.log10(0.1 * seen + 0.9 * alone if before else alone)
+        off.append(abs(got[i] / want - 1))
+    assert np.median(off) < 0.005 and max(off) < 0.03
+
+
 def test_filter_reads_levels_back():
     f = ngrams.Filter(4, 1 << 15)
     h = ngrams.mix(np.arange(1, 2001, dtype=np.uint64))

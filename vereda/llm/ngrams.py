@@ -10,15 +10,17 @@ probability is the interpolation
 
 where the bigram was seen, and the second part, with 1 - share where the history was, else.
 
-The filter has at most ``bits`` bits (32 MB), whatever the corpus: where the n-grams need more,
-only bigrams above a count that fits stay (a model of bounded size).  That bound is
-what makes it safe to broadcast.  All n-grams are counted in Spark, though: tasks combine
-their own counts and deal them by hash to buckets, whose merged counts stay on the executors;
-a bucket fills its own part of the filter.
-
-The base score is exact.  The most frequent words (a bounded number) are broadcast with their
-counts; the other words of each batch of texts meet their exact counts in the bucket of
-their hash, and go back as one sum for each text of the batch.
+All n-grams are kept, from a count of 1, and counted in Spark: tasks combine their own counts
+and deal them by hash to buckets, whose merged counts stay on the executors.  The filter is
+cut likewise: a bucket fills its own filter, in parts of at most ``bits`` bits, one after
+another, so the number of parts grows with the n-grams and no part is broadcast.  Probes go
+to the filter: the distinct words of each batch of texts meet the unigrams of their
+bucket and go back with their levels, and then the batch's bigrams, with the levels of both
+words, meet the bigrams of their bucket and go back as one sum for each text of the batch.
+Bigrams of a word that has level 0 were not seen and are not asked for.
+
+The base score is exact: the words come back with their exact counts, too.  The most
+frequent words (a bounded number) are broadcast with counts and levels and need no exchange.
 
 Defined cases: null text is empty and has the end alone; without training texts N and V are 0;
 repeated rows each count and are each scored; a null id hashes as the empty text; other
@@ -37,28 +39,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .common import Lookup, mix, partitions, settle, slices
+from .common import Lookup, drop_settled, mix, partitions, settle, slices
 
-#: Tokens that a task counts before it hands on what it has.
-FLUSH = 3 << 20
+#: Tokens that a task counts, or asks for, before it hands on what it has.
+FLUSH, ASKED = 3 << 20, 1 << 21
 HOT, BITS, HASHES, SHARE = 1 << 16, 1 << 28, 3, 0.1
+#: Bits of the filter for each level of an n-gram: less than a quarter of them are set.
+WIDTH = 12
 _END = np.uint64(0x5851F42D4C957F2D)
 _A = np.uint64(0x9FB21C651E98DF25)
 UNI, BI = 0, 1
 #: Steps of the scales: a level is this many to a doubling.
 _STEPS = {UNI: 2, BI: 1}
-#: Bigrams seen once are not kept, as is usual.
-_LEAST = {UNI: 1, BI: 2}
 _TOP = 96
 
 
 def level_of(count: np.ndarray, kind: int) -> np.ndarray:
-    return (np.floor(_STEPS[kind] * np.log2(np.maximum(count, 1) / _LEAST[kind]) + 1e-9) + 1).astype(np.int64).clip(0, _TOP)
+    return (np.floor(_STEPS[kind] * np.log2(np.maximum(count, 1)) + 1e-9) + 1).astype(np.int64).clip(0, _TOP)
 
 
 def values(kind: int) -> np.ndarray:
     """What a level stands for: the middle of the counts that it holds; 0 for level 0."""
-    low = np.ceil(_LEAST[kind] * 2.0 ** (np.arange(_TOP + 1) / _STEPS[kind]) - 1e-6)
+    low = np.ceil(2.0 ** (np.arange(_TOP + 1) / _STEPS[kind]) - 1e-6)
     out = np.zeros(_TOP + 1)
     out[1:] = np.maximum((low[:-1] + low[1:] - 1) / 2, low[:-1])
     return out
@@ -84,22 +86,39 @@ def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
     return ((h >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
 
 
+def pack(x: np.ndarray) -> bytes:
+    """An array as few bytes: differences if it ascends, byte after byte, compressed."""
+    x = np.ascontiguousarray(x)
+    ascends = len(x) > 1 and x.dtype.kind == "u" and bool((x[1:] >= x[:-1]).all())
+    if ascends:
+        x = np.diff(x, prepend=x.dtype.type(0))
+    planes = x.view(np.uint8).reshape(-1, x.dtype.itemsize).T.tobytes()
+    return bytes([ascends]) + len(planes).to_bytes(8, "little") + pa.compress(planes, "zstd", asbytes=True)
+
+
+def unpack(data: bytes, kind: type) -> np.ndarray:
+    size, width = int.from_bytes(data[1:9], "little"), np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(data[9:], size, "zstd", asbytes=True), np.uint8)
+    x = np.ascontiguousarray(planes.reshape(width, -1).T).reshape(-1).view(kind)
+    return np.cumsum(x, dtype=kind) if data[0] else x
+
+
 _COUNTS = "bucket int, kind int, keys binary, counts binary"
 
 
 def _dealt(kind: int, h: np.ndarray, n: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
     to = bucket_of(h, buckets)
-    order = np.argsort(to, kind="stable")
-    h, n, edge = h[order], n[order], np.searchsorted(to[order], np.arange(buckets + 1))
     if kind == BI:
         h = h.astype(np.uint32)
+    order = np.argsort(to.astype(np.uint64) << np.uint64(32) | h) if kind == BI else np.argsort(to, kind="stable")
+    h, n, edge = h[order], n[order], np.searchsorted(to[order], np.arange(buckets + 1))
     own = [b for b in range(buckets) if edge[b] < edge[b + 1]]
     yield pa.record_batch(
         {
             "bucket": pa.array(own, pa.int32()),
             "kind": pa.array([kind] * len(own), pa.int32()),
-            "keys": pa.array([h[edge[b] : edge[b + 1]].tobytes() for b in own], pa.binary()),
-            "counts": pa.array([n[edge[b] : edge[b + 1]].astype(np.uint32).tobytes() for b in own], pa.binary()),
+            "keys": pa.array([pack(h[edge[b] : edge[b + 1]]) for b in own], pa.binary()),
+            "counts": pa.array([pack(n[edge[b] : edge[b + 1]].astype(np.uint32)) for b in own], pa.binary()),
         }
     )
 
@@ -113,31 +132,29 @@ def _merged(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[new], np.add.reduceat(counts, new)
 
 
+def _counted(t: pa.Table, keys: type, counts: type) -> tuple[np.ndarray, np.ndarray]:
+    return tuple(np.concatenate([np.zeros(0, k), *(unpack(x, k) for x in t.column(c).to_pylist())]) for c, k in (("keys", keys), ("counts", counts)))
+
+
 def _merge(t: pa.Table) -> pa.Table:
-    out: dict[str, list] = {"bucket": [], "kind": [], "keys": [], "counts": [], "tokens": [], "types": [], "levels": []}
+    out: dict[str, list] = {"bucket": [], "kind": [], "keys": [], "counts": [], "tokens": [], "types": []}
     kinds = t.column("kind").to_numpy()
     for kind in (UNI, BI):
         rows = np.flatnonzero(kinds == kind)
         take = t.take(pa.array(rows))
-        keys = np.frombuffer(b"".join(take.column("keys").to_pylist()), np.uint64 if kind == UNI else np.uint32)
-        n = np.frombuffer(b"".join(take.column("counts").to_pylist()), np.uint32)
-        keys, n = _merged(keys, n)
+        keys, n = _merged(*_counted(take, np.uint64 if kind == UNI else np.uint32, np.uint32))
         total = int(n.sum())
-        if kind == BI:
-            keep = n >= _LEAST[BI]
-            keys, n = keys[keep], n[keep]
         out["bucket"].append(t.column("bucket")[0].as_py())
         out["kind"].append(kind)
-        out["keys"].append(keys.tobytes())
-        out["counts"].append(n.astype(np.int64).tobytes() if kind == UNI else level_of(n, kind).astype(np.uint8).tobytes())
+        out["keys"].append(pack(keys))
+        out["counts"].append(pack(n.astype(np.int64) if kind == UNI else level_of(n, kind).astype(np.uint8)))
         out["tokens"].append(total)
         out["types"].append(len(keys))
-        out["levels"].append(np.bincount(level_of(n, kind), minlength=_TOP + 1).tolist())
-    kind = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+    kind = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
     return pa.table({c: pa.array(v, k) for (c, v), k in zip(out.items(), kind, strict=True)})
 
 
-_MERGED = _COUNTS + ", tokens long, types long, levels array<long>"
+_MERGED = _COUNTS + ", tokens long, types long"
 
 
 class Filter:
@@ -171,18 +188,39 @@ class Filter:
         return out
 
 
+def read_back(keys: np.ndarray, levels: np.ndarray, kind: int, probes: np.ndarray, bits: int) -> np.ndarray:
+    """The levels that a filter of a bucket's keys has for the probes, part after part."""
+    need = int(levels.sum()) * WIDTH
+    parts = max(1, -(-need // (bits // 8 * 8)))
+    size = max(1 << 12, -(-need // parts // 8) * 8)
+    own, asked = (mix(x.astype(np.uint64) * _A) for x in (keys, probes))
+    own_part, asked_part = bucket_of(own, parts), bucket_of(asked, parts)
+    out = np.zeros(len(probes), np.int64)
+    for part in range(parts):
+        mine, at = own_part == part, np.flatnonzero(asked_part == part)
+        if not mine.any() or not len(at):
+            continue
+        f = Filter(1, size, False)
+        ident, level, held = f.ident(own[mine], 1), levels[mine], np.zeros(size, bool)
+        for k in range(1, int(level.max()) + 1):
+            for place in f.places(ident[level >= k], k, kind):
+                held[place.astype(np.int64)] = True
+        f.bytes = np.packbits(held, bitorder="little")
+        out[at] = f.level(asked[at], kind, 1)
+    return out
+
+
 @dataclass
 class Model:
-    filter: Filter
-    lowest: dict[int, int]
     tokens: int
     types: int
     hot: np.ndarray
     hot_n: np.ndarray
+    hot_level: np.ndarray
 
 
 def fit(docs: DataFrame, training: Column, bits: int = BITS, hot: int = HOT) -> tuple[Model, DataFrame]:
-    """Count, merge, and fill the filter; also the merged counts by bucket."""
+    """Count and merge; the frequent words, and the merged counts by bucket."""
     spark = docs.sparkSession
     buckets = max(8, partitions(spark))
 
@@ -207,83 +245,49 @@ def fit(docs: DataFrame, training: Column, bits: int = BITS, hot: int = HOT) ->
 
     counted = docs.filter(training).select("text").mapInArrow(count, _COUNTS)
     merged = settle(counted.groupBy("bucket").applyInArrow(_merge, _MERGED), "ngrams")
-    stats = {r["kind"]: r for r in merged.groupBy("kind").agg(F.sum("tokens").alias("tokens"), F.sum("types").alias("types"), *[F.sum(F.element_at("levels", i + 1)).alias(f"l{i}") for i in range(_TOP + 1)]).collect()}
-    tokens, types = (stats[UNI]["tokens"], stats[UNI]["types"]) if UNI in stats else (0, 0)
-    lowest, need = {UNI: 1, BI: 1}, 0
-    room = bits * 0.7 / HASHES  # so filled, about every other bit is set
-    for kind in (UNI, BI):
-        if kind in stats:
-            at_least = np.cumsum([stats[kind][f"l{i}"] or 0 for i in range(_TOP, -1, -1)])[::-1]  # n-grams of each level or more
-            entries = np.append(np.cumsum(at_least[::-1])[::-1], 0)  # bits sets needed from a level on
-            while kind == BI and lowest[kind] < _TOP and need + entries[lowest[kind]] > room:
-                lowest[kind] += 1
-            need += int(entries[lowest[kind]])
-    size = max(1 << 12, min(bits, 1 << int(max(1.0, need * HASHES / 0.7)).bit_length()) // buckets // 8 * 8)
-
-    empty = Filter(buckets, size, False)
-
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(b.num_rows):
-                bucket, kind = b.column("bucket")[i].as_py(), b.column("kind")[i].as_py()
-                keys = np.frombuffer(b.column("keys")[i].as_buffer(), np.uint64 if kind == UNI else np.uint32).astype(np.uint64)
-                n = np.frombuffer(b.column("counts")[i].as_buffer(), np.int64 if kind == UNI else np.uint8)
-                levels = level_of(n, UNI) if kind == UNI else n.astype(np.int64)
-                ident = np.uint64(bucket << 32) | (keys & np.uint64(0xFFFFFFFF))
-                part = np.zeros(size, bool)
-                for level in range(lowest[kind], int(levels.max(initial=0)) + 1):
-                    for at in empty.places(ident[levels >= level], level, kind):
-                        part[(at - np.uint64(bucket * size)).astype(np.int64)] = True
-                yield pa.record_batch({"bucket": pa.array([bucket], pa.int32()), "bits": pa.array([np.packbits(part, bitorder="little").tobytes()], pa.binary())})
-
-    made = Filter(buckets, size)
-    for r in merged.select("bucket", "kind", "keys", "counts").mapInArrow(fill, "bucket int, bits binary").toLocalIterator():
-        made.bytes[r["bucket"] * size // 8 : (r["bucket"] + 1) * size // 8] |= np.frombuffer(r["bits"], np.uint8)
+    row = merged.filter(F.col("kind") == UNI).agg(F.sum("tokens").alias("tokens"), F.sum("types").alias("types")).first()
 
     def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                keys, n = (np.frombuffer(b.column(c)[i].as_buffer(), k) for c, k in (("keys", np.uint64), ("counts", np.int64)))
+                keys, n = (unpack(b.column(c)[i].as_py(), k) for c, k in (("keys", np.uint64), ("counts", np.int64)))
                 top = np.argsort(-n, kind="stable")[: 4 * hot // buckets + 64]
-                yield pa.record_batch({"h": keys[top].view(np.int64), "n": n[top]})
+                level = read_back(keys, level_of(n, UNI), UNI, keys[top], bits)
+                yield pa.record_batch({"h": keys[top].view(np.int64), "n": n[top], "level": level})
 
-    top = merged.filter(F.col("kind") == UNI).select("keys", "counts").mapInArrow(frequent, "h long, n long").orderBy(F.desc("n"), "h").limit(hot).toPandas()
-    model = Model(made, lowest, int(tokens or 0), int(types or 0), top["h"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64))
+    top = merged.filter(F.col("kind") == UNI).select("keys", "counts").mapInArrow(frequent, "h long, n long, level long").orderBy(F.desc("n"), "h").limit(hot).toPandas()
+    model = Model(int(row["tokens"] or 0), int(row["types"] or 0), top["h"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64), top["level"].to_numpy(np.int64))
     return model, merged
 
 
 _SCORED = "flush string, bucket int, a binary, b binary, c binary, d binary, e binary, ids array<long>"
 
 
-def _row(flush: str, bucket: int, parts: list[bytes | None], ids: list | None = None) -> pa.RecordBatch:
+def _row(flush: str, bucket: int, parts: list[np.ndarray], ids: list | None = None) -> pa.RecordBatch:
     cells = {"flush": pa.array([flush]), "bucket": pa.array([bucket], pa.int32())}
-    cells |= {c: pa.array([x], pa.binary()) for c, x in zip("abcde", [*parts, *[None] * (5 - len(parts))], strict=True)}
+    parts = [*(pack(x) for x in parts), *[None] * (5 - len(parts))]
+    cells |= {c: pa.array([x], pa.binary()) for c, x in zip("abcde", parts, strict=True)}
     return pa.record_batch(cells | {"ids": pa.array([ids], pa.list_(pa.int64()))})
 
 
-def _probabilities(model: Model, tokens: np.ndarray, unigram: np.ndarray, share: float) -> np.ndarray:
-    """log10 probability of each token; ``unigram`` has their own read counts."""
-    alone = (unigram + 1) / (model.tokens + model.types + 1)
-    history = np.empty(len(tokens))
-    history[1:] = unigram[:-1]
-    end = model.filter.level(np.array([_END]), UNI, model.lowest[UNI])
-    history[:1] = values(UNI)[end]
-    pair = values(BI)[model.filter.level(bigrams(tokens), BI, model.lowest[BI])]
-    with np.errstate(divide="ignore", invalid="ignore"):
-        seen = np.where(history > 0, np.minimum(1.0, pair / np.maximum(history, 1)), 0.0)
-    return np.log10(np.where(history > 0, share * seen + (1 - share) * alone, alone))
+def _cells(t: pa.Table, kinds: tuple) -> Iterator[tuple[str, int, list[np.ndarray]]]:
+    for i in range(t.num_rows):
+        yield t.column("flush")[i].as_py(), t.column("bucket")[i].as_py(), [unpack(t.column(c)[i].as_py(), k) for c, k in zip("abcde", kinds, strict=False)]
 
 
-def scores(docs: DataFrame, training: Column, share: float = SHARE, **sizes: int) -> DataFrame:
+_EMPTY = _row("", 0, []).schema.empty_table()
+
+
+def scores(docs: DataFrame, training: Column, share: float = SHARE, bits: int = BITS, hot: int = HOT) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) for every text."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    model, merged = fit(base, training, **sizes)
+    model, merged = fit(base, training, bits, hot)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    buckets, tokens, whole = model.filter.buckets, model.tokens, float(np.log10(model.tokens + model.types + 1))
+    buckets, tokens, mass = max(8, partitions(docs.sparkSession)), model.tokens, model.tokens + model.types + 1
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        hot = Lookup(own.hot)
+        known = Lookup(own.hot)
         flushes = 0
         held: list[tuple] = []
         have = 0
@@ -292,75 +296,111 @@ def scores(docs: DataFrame, training: Column, share: float = SHARE, **sizes: int
             flush = f"{TaskContext.get().partitionId()}-{flushes}"
             ids = [i for x in held for i in x[0]]
             size = np.concatenate([np.diff(x[2]) for x in held])
-            seq = np.concatenate([x[1] for x in held])
-            owner = np.repeat(np.arange(len(size)), size)
-            kinds, back = np.unique(seq, return_inverse=True)
-            read = values(UNI)[own.filter.level(kinds, UNI, own.lowest[UNI])][back]
-            start = np.cumsum(size) - size
-            total = np.add.reduceat(_probabilities(own, seq, read, share), start)
-            row = hot.find(kinds)
-            exact = np.where(row >= 0, np.log10(own.hot_n[row] + 1.0), 0.0) if len(own.hot) else np.zeros(len(kinds))
-            warm = np.add.reduceat(exact[back], start)
-            known = np.add.reduceat((row >= 0)[back].astype(np.int64), start)
-            yield _row(flush, -1, [size.tobytes(), warm.tobytes(), known.tobytes(), total.tobytes()], ids)
-            # the other words: each with the texts that hold it, dealt to the buckets of their counts
-            cold = np.flatnonzero((row < 0)[back])
-            key, n = np.unique(back[cold].astype(np.uint64) << np.uint64(32) | owner[cold].astype(np.uint64), return_counts=True)
-            word, text = (key >> np.uint64(32)).astype(np.int64), (key & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-            to = bucket_of(kinds, buckets)[word]
-            order = np.argsort(to, kind="stable")
-            word, text, n, edge = word[order], text[order], n[order], np.searchsorted(to[order], np.arange(buckets + 1))
-            for b in np.flatnonzero(np.diff(edge)).tolist():
-                a, z = edge[b], edge[b + 1]
-                new = np.flatnonzero(np.diff(word[a:z], prepend=-1))
-                yield _row(flush, b, [kinds[word[a:z][new]].tobytes(), np.diff(np.append(new, z - a)).astype(np.uint32).tobytes(), text[a:z].tobytes(), n[a:z].astype(np.uint32).tobytes()])
+            kinds, back, n = np.unique(np.concatenate([x[1] for x in held]), return_inverse=True, return_counts=True)
+            order = np.argsort(-n, kind="stable")  # frequent words get small numbers, which take less room
+            kinds, back = kinds[order], np.argsort(order)[back]
+            row = known.find(kinds)
+            n, level = np.full(len(kinds), -1), np.zeros(len(kinds), np.uint8)
+            n[row >= 0], level[row >= 0] = own.hot_n[row[row >= 0]], own.hot_level[row[row >= 0]]
+            yield _row(flush, -1, [size, kinds, back.astype(np.uint32), n, level], ids)
+            cold = np.flatnonzero(row < 0).astype(np.uint32)
+            to = bucket_of(kinds[cold], buckets)
+            for b in np.unique(to).tolist():
+                yield _row(flush, b, [cold[to == b], kinds[cold[to == b]]])
 
         for b in slices(batches):
             held.append((b.column("doc_id").to_pylist(), *sequence(b.column("text"))))
             have += len(held[-1][1])
-            if have >= FLUSH:
+            if have >= ASKED:
                 yield from hand_on()
                 flushes, held, have = flushes + 1, [], 0
         if held:
             yield from hand_on()
 
-    def meet(counts: pa.Table, cold: pa.Table) -> pa.Table:
-        keys = np.frombuffer(b"".join(counts.column("keys").to_pylist()), np.uint64)
-        n = np.frombuffer(b"".join(counts.column("counts").to_pylist()), np.int64)
-        flush, texts, sums, found = [], [], [], []
-        for f, a, b, c, d in zip(*(cold.column(x).to_pylist() for x in ("flush", "a", "b", "c", "d")), strict=True):
-            h, k, text, tf = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint32), np.frombuffer(c, np.uint32), np.frombuffer(d, np.uint32)
-            if len(keys):
-                at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-                count = np.where(keys[at] == h, n[at], 0)
-            else:
-                count = np.zeros(len(h), np.int64)
-            count = np.repeat(count, k)
+    def words_met(counts: pa.Table, cold: pa.Table) -> pa.Table:
+        """The exact counts and the levels of words."""
+        keys, n = _counted(counts, np.uint64, np.int64)
+        rows = list(_cells(cold, (np.uint32, np.uint64)))
+        if not rows:
+            return _EMPTY
+        h = np.concatenate([x[1] for _, _, x in rows])
+        count = np.zeros(len(h), np.int64)
+        if len(keys):
+            at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+            count = np.where(keys[at] == h, n[at], 0)
+        level = read_back(keys, level_of(n, UNI), UNI, h, bits).astype(np.uint8)
+        edge = np.cumsum([0, *(len(x[0]) for _, _, x in rows)])
+        return pa.Table.from_batches([_row(f, 0, [x[0], count[a:z], level[a:z]]) for (f, _, x), a, z in zip(rows, edge, edge[1:], strict=False)])
+
+    def pair(t: pa.Table) -> pa.Table:
+        """What the words alone decide, and the bigrams to ask for, by bucket."""
+        main = t.column("bucket").to_pylist().index(-1)
+        ids = t.column("ids")[main].as_py()
+        ((flush, _, (size, kinds, back, n, level)),) = _cells(t.slice(main, 1), (np.int64, np.uint64, np.uint32, np.int64, np.uint8))
+        n, level, back = n.copy(), level.copy(), back.astype(np.int64)
+        for rest in (t.slice(0, main), t.slice(main + 1)):
+            for _, _, (at, count, own) in _cells(rest, (np.uint32, np.int64, np.uint8)):
+                n[at], level[at] = count, own
+        start = np.cumsum(size) - size
+        whole = np.add.reduceat(np.log10(n + 1.0)[back], start) - size * np.log10(mass)
+        known = np.add.reduceat((n > 0)[back].astype(np.int64), start)
+        before = level[np.concatenate((np.flatnonzero(kinds == _END), back[:-1]))]
+        after = level[back]
+        alone = ((values(UNI)[level] + 1) / mass)[back]
+        asked = (before > 0) & (after > 0)
+        with np.errstate(divide="ignore"):
+            total = np.where(asked, 0.0, np.log10(np.where(before > 0, (1 - share) * alone, alone)))
+        out = [_row(flush, -1, [size, whole, known, np.add.reduceat(total, start)], ids)]
+        at = np.flatnonzero(asked)
+        h = bigrams(kinds[back])[at]
+        to = bucket_of(h, buckets)
+        code = to.astype(np.uint64) << np.uint64(46) | (h & np.uint64(0xFFFFFFFF)) << np.uint64(14) | before[at].astype(np.uint64) << np.uint64(7) | after[at].astype(np.uint64)
+        order = np.argsort(code, kind="stable")
+        code, text = code[order], np.repeat(np.arange(len(size), dtype=np.uint32), size)[at][order]
+        edge = np.searchsorted(code, np.arange(buckets + 1, dtype=np.uint64) << np.uint64(46))
+        for b in np.flatnonzero(np.diff(edge)).tolist():
+            own = code[edge[b] : edge[b + 1]]
+            new = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+            times = np.diff(np.append(new, len(own))).astype(np.uint32)
+            own = own[new]
+            two = [(own >> np.uint64(k) & np.uint64(127)).astype(np.uint8) for k in (7, 0)]
+            out.append(_row(flush, b, [(own >> np.uint64(14)).astype(np.uint32), *two, times, text[edge[b] : edge[b + 1]]]))
+        return pa.Table.from_batches(out)
+
+    def pairs_met(counts: pa.Table, asked: pa.Table) -> pa.Table:
+        """The sums of the bigrams' log probabilities for each text."""
+        keys, levels = _counted(counts, np.uint32, np.uint8)
+        rows = list(_cells(asked, (np.uint32, np.uint8, np.uint8, np.uint32, np.uint32)))
+        if not rows:
+            return _EMPTY
+        found = values(BI)[read_back(keys, levels, BI, np.concatenate([x[0] for _, _, x in rows]), bits)]
+        edge = np.cumsum([0, *(len(x[0]) for _, _, x in rows)])
+        out = []
+        for (flush, _, (_, before, after, times, text)), a, z in zip(rows, edge, edge[1:], strict=False):
+            seen = np.minimum(1.0, found[a:z] / values(UNI)[before])
+            with np.errstate(divide="ignore"):
+                cost = np.log10(share * seen + (1 - share) * (values(UNI)[after] + 1) / mass)
             own, back = np.unique(text, return_inverse=True)
-            flush.append(f)
-            texts.append(own.tobytes())
-            sums.append(np.bincount(back, tf * np.log10(count + 1.0), len(own)).tobytes())
-            found.append(np.bincount(back, tf * (count > 0), len(own)).astype(np.int64).tobytes())
-        binary = [pa.array(x, pa.binary()) for x in (texts, sums, found)]
-        none = pa.nulls(len(flush), pa.binary())
-        return pa.table([pa.array(flush, pa.string()), pa.array([0] * len(flush), pa.int32()), *binary, none, none, pa.nulls(len(flush), pa.list_(pa.int64()))], names=["flush", "bucket", *"abcde", "ids"])
+            out.append(_row(flush, 0, [own, np.bincount(back, np.repeat(cost, times), len(own))]))
+        return pa.Table.from_batches(out)
 
     def gather(t: pa.Table) -> pa.Table:
-        bucket = t.column("bucket").to_pylist()
-        rows = list(zip(*(t.column(x).to_pylist() for x in "abcd"), strict=True))
-        main = bucket.index(-1)
-        size, warm, known, total = (np.frombuffer(x, k) for x, k in zip(rows[main], (np.int64, np.float64, np.int64, np.float64), strict=True))
-        warm, known = warm.copy(), known.copy()
-        for i, (a, b, c, _) in enumerate(rows):
-            if i != main:
-                text = np.frombuffer(a, np.uint32)
-                warm[text] += np.frombuffer(b, np.float64)
-                known[text] += np.frombuffer(c, np.int64)
+        main = t.column("bucket").to_pylist().index(-1)
+        ((_, _, (size, whole, known, total)),) = _cells(t.slice(main, 1), (np.int64, np.float64, np.int64, np.float64))
+        total = total.copy()
+        for rest in (t.slice(0, main), t.slice(main + 1)):
+            for _, _, (text, more) in _cells(rest, (np.uint32, np.float64)):
+                total[text] += more
         ids = t.column("ids")[main].as_py()
-        return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_tokens": size, "n_known": known, "train_tokens": np.full(len(size), tokens), "base_score": warm - size * whole, "score": total})
-
-    scored = settle(base.mapInArrow(score, _SCORED), "scored")
-    counts = merged.filter(F.col("kind") == UNI).select("bucket", "keys", "counts")
-    cold = counts.groupBy("bucket").cogroup(scored.filter("bucket >= 0").groupBy("bucket")).applyInArrow(meet, _SCORED)
-    back = scored.filter("bucket < 0").unionByName(cold)
-    return back.groupBy("flush").applyInArrow(gather, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_tokens": size, "n_known": known, "train_tokens": np.full(len(size), tokens), "base_score": whole, "score": total})
+
+    def met(rows: DataFrame, kind: int, f) -> DataFrame:
+        """Rows of the flushes themselves, and what their other rows find in the buckets."""
+        counts = merged.filter(F.col("kind") == kind).select("bucket", "keys", "counts")
+        found = counts.groupBy("bucket").cogroup(rows.filter("bucket >= 0").groupBy("bucket")).applyInArrow(f, _SCORED)
+        return rows.filter("bucket < 0").unionByName(found)
+
+    first = settle(base.mapInArrow(ask, _SCORED), "words")
+    second = settle(met(first, UNI, words_met).groupBy("flush").applyInArrow(pair, _SCORED), "bigrams")
+    drop_settled(first)
+    return met(second, BI, pairs_met).groupBy("flush").applyInArrow(gather, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
