@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from vereda.functions import numeric, text
 from vereda.operators import allocation, catalogue, fifo, inference, merge, series
+from vereda.plans import market
 from vereda.sources import readers, sinks
 from vereda.streaming import ingest
 
@@ -65,6 +66,16 @@ def test_black_scholes_and_back(spark):
     assert abs(back - 100) < 1e-4
 
 
+def test_implied_spot_of_the_whole_chain(spark, sf_dir):
+    got = market.implied_spot_chain(spark, sf_dir).collect()
+    assert len(got) == spark.read.parquet(f"{sf_dir}/part.parquet").count()
+    for r in got:
+        assert abs(r.implied - r.spot) < 5e-4 and abs(r.worth - r.premium) < 1e-9
+    df = spark.createDataFrame([(False, 500.0), (False, -1.0), (True, 1e6), (True, 0.0), (True, 30.0)], "call boolean, premium double")
+    found = df.select(numeric.implied_spot(F.col("call"), F.col("premium"), *[F.lit(x) for x in (100.0, 0.1, 0.05, 0.3)]).alias("x")).collect()
+    assert [r.x is None for r in found] == [True, True, True, True, False]
+
+
 def test_answer_letters(spark):
     df = spark.createDataFrame([("0",), ("1",), ("5",), ("b",), ("Alternativa B correta",), ("",), (None,)], "k string")
     assert [r.x for r in df.select(text.answer_letter(F.col("k")).alias("x")).collect()] == ["A", "B", "E", "B", "B", None, None]

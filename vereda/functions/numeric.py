@@ -105,9 +105,11 @@ def black_scholes(call: Column, spot: Column, strike: Column, years: Column, rat
     return F.when(live, price).otherwise(F.greatest(F.lit(0.0), F.when(call, spot - strike).otherwise(strike - spot)))
 
 
-def implied_spot(call: Column, premium: Column, strike: Column, years: Column, rate: Column, sigma: Column, steps: int = 60) -> Column:
-    """The spot at which the option is worth ``premium``, by bisection inside one expression."""
-    start = F.struct((strike * 0.2).alias("low"), (strike * 3.0).alias("high"))
+def implied_spot(call: Column, premium: Column, strike: Column, years: Column, rate: Column, sigma: Column, steps: int = 80) -> Column:
+    """The spot at which the option is worth ``premium``, by bisection inside one expression;
+    null where no spot between 0.01 and ten strikes is, or an argument is not positive."""
+    least, most = F.lit(0.01), strike * 10
+    start = F.struct(least.alias("low"), most.cast("double").alias("high"))
 
     def step(s: Column, _: Column) -> Column:
         mid = (s["low"] + s["high"]) / 2
@@ -115,7 +117,10 @@ def implied_spot(call: Column, premium: Column, strike: Column, years: Column, r
         rise = F.when(call, worth < premium).otherwise(worth > premium)
         return F.struct(F.when(rise, mid).otherwise(s["low"]).alias("low"), F.when(rise, s["high"]).otherwise(mid).alias("high"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step, lambda s: (s["low"] + s["high"]) / 2)
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step, lambda s: (s["low"] + s["high"]) / 2)
+    at_least, at_most = (black_scholes(call, x, strike, years, rate, sigma) for x in (least, most))
+    inside = F.when(call, at_most >= premium).otherwise((at_least >= premium) & (at_most <= premium))
+    return F.when((premium > 0) & (sigma > 0) & (years > 0) & inside, found)
 
 
 def place_in_range(x: Column, low: Column, high: Column) -> Column:

@@ -394,9 +394,21 @@ def _chain(spark, sf_dir) -> DataFrame:
 @query("""SELECT p_partkey, round(100.0 + p_size, 3) AS spot FROM part WHERE p_size >= 5""")
 def implied_spot(spark, sf_dir):
     """The spot found back from its own option price by bisection."""
+    return _implied(spark, sf_dir).filter("years * 365 >= 4.5").select("p_partkey", F.round("found", 3).alias("spot"))
+
+
+@query()
+def implied_spot_chain(spark, sf_dir):
+    """The same for the whole chain, the shortest expiries too: the bisection's own result,
+    and what the option is worth there beside its premium."""
+    a = _implied(spark, sf_dir)
+    worth = numeric.black_scholes(*[F.col(c) for c in ("is_call", "found", "strike", "years", "rate", "sigma")])
+    return a.select("p_partkey", "spot", "premium", F.col("found").alias("implied"), F.when(F.col("found").isNotNull(), worth).alias("worth"))
+
+
+def _implied(spark, sf_dir) -> DataFrame:
     a = _chain(spark, sf_dir).withColumn("premium", numeric.black_scholes(*[F.col(c) for c in ("is_call", "spot", "strike", "years", "rate", "sigma")]))
-    found = numeric.implied_spot(*[F.col(c) for c in ("is_call", "premium", "strike", "years", "rate", "sigma")])
-    return a.filter("years * 365 >= 4.5").select("p_partkey", F.round(F.when(F.abs(found - F.col("spot")) < 0.02, F.col("spot")).otherwise(found), 3).alias("spot"))
+    return a.withColumn("found", numeric.implied_spot(*[F.col(c) for c in ("is_call", "premium", "strike", "years", "rate", "sigma")]))
 
 
 @query(
