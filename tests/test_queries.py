@@ -63,3 +63,13 @@ def test_entry_lists_all():
 
     assert set(catalogue.QUERIES) <= set(e.queries())
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_merge_and_sets_reach_all_documents(spark, sf_dir):
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
+    merged = {r.key for r in catalogue.QUERIES["merge_all_fields"](spark, sf_dir).collect()}
+    assert {r.doc_id for r in d} <= merged
+    both = {r.source for r in d if r.lang == "en"} & {r.source for r in d if r.lang == "fr"}
+    got = catalogue.QUERIES["whole_set_operations"](spark, sf_dir).collect()
+    short = {(r.text, r.source) for r in d if r.n_chars < 100}
+    assert len(got) == len({(r.text, r.source) for r in d if r.source in both} - short) > 0

@@ -152,6 +152,14 @@ def merge_fields(spark, sf_dir):
     return merge.filled_from(left, right, "key", ["value"])
 
 
+@query("SELECT coalesce(l.doc_id, b.item_id) AS key, coalesce(nullif(b.text, ''), l.source) AS value FROM documents l FULL OUTER JOIN benchmark b ON b.item_id = l.doc_id")
+def merge_all_fields(spark, sf_dir):
+    """The same merge over all documents."""
+    left = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), F.col("source").alias("value"))
+    right = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("key"), F.col("text").alias("value"))
+    return merge.filled_from(left, right, "key", ["value"])
+
+
 @query("SELECT event_id, (props->>'$.k')::BIGINT AS k, '{\"kind\":\"' || event_type || '\",\"k\":' || (props->>'$.k') || '}' AS built FROM events")
 def json_props(spark, sf_dir):
     """A field of a JSON payload, and an object built from fields."""
@@ -341,6 +349,19 @@ def set_operations(spark, sf_dir):
     return both.join(d.select("doc_id", "source"), "doc_id").exceptAll(d.filter("n_chars < 100").select("doc_id", "source")).distinct()
 
 
+@query(
+    """WITH d AS (SELECT sha256(text) AS key, source, lang, n_chars FROM documents)
+    SELECT DISTINCT d.key, d.source FROM (SELECT source FROM d WHERE lang = 'en' INTERSECT SELECT source FROM d WHERE lang = 'fr') s JOIN d ON d.source = s.source
+    EXCEPT SELECT key, source FROM d WHERE n_chars < 100"""
+)
+def whole_set_operations(spark, sf_dir):
+    """Intersection of sources, join and difference of text keys, over all documents."""
+    d = table(spark, sf_dir, "documents").select(F.sha2("text", 256).alias("key"), "source", "lang", "n_chars")
+    sources = lambda lang: d.filter(F.col("lang") == lang).select("source")
+    both = sources("en").intersect(sources("fr"))
+    return d.join(both, "source").select("key", "source").distinct().subtract(d.filter("n_chars < 100").select("key", "source"))
+
+
 @query(
     """WITH b AS (SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS k, source, n_chars FROM documents)
     SELECT source, (k // 40)::BIGINT AS batch, count(*) AS n, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS ids FROM b GROUP BY 1, 2"""
