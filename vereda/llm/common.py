@@ -22,10 +22,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir if it is set.
 
-    Only where no cluster has named one (a local session) is a temporary folder made.
+    Only in a local session, whose workers are on this machine, is a temporary folder made
+    where none is set; a cluster has to name one.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="vereda-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -39,21 +42,29 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop_settled(df: DataFrame) -> None:
     """Delete the files of a settled table that nothing reads any more."""
     spark = df.sparkSession
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     root = shared_dir(spark).removeprefix("file:").lstrip("/")
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         if root in folder:
-            path = hadoop(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            delete(spark, folder)
 
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def repeated_ids(docs: DataFrame, key: str = "doc_id") -> bool:
+    """Whether an id is null or stands in more than one row."""
+    return docs.groupBy(key).count().filter((F.col("count") > 1) | F.col(key).isNull()).limit(1).count() > 0
+
+
 def crc_mod(key: str | Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; a null id counts as the empty text."""
     key = F.col(key) if isinstance(key, str) else key
@@ -113,25 +124,40 @@ def packed(values: np.ndarray) -> bytes:
 class Lookup:
     """Integer keys → row numbers, for whole arrays: open addressing at half load."""
 
-    def __init__(self, keys: np.ndarray):
+    def __init__(self, keys: np.ndarray | None = None):
+        self.n, self.bits = 0, 4
+        self._clear()
+        if keys is not None:
+            self.add(keys)
+
+    def _clear(self) -> None:
+        self.row = np.full(1 << self.bits, -1, np.int32)
+        self.key = np.zeros(1 << self.bits, np.uint64)
+
+    def add(self, keys: np.ndarray) -> None:
+        """Distinct keys that are not held yet; they get the next row numbers."""
         keys = np.ascontiguousarray(keys, np.uint64)
-        self.bits = max(4, int(len(keys) * 2).bit_length())
-        size = 1 << self.bits
-        self.row = np.full(size, -1, np.int32)
-        self.key = np.zeros(size, np.uint64)
-        self.probes = 0
-        left = np.arange(len(keys), dtype=np.int64)
+        n = self.n + len(keys)
+        if 2 * n > len(self.row):
+            used = np.flatnonzero(self.row >= 0)
+            old = self.key[used], self.row[used]
+            self.bits = max(4, int(2 * n).bit_length())
+            self._clear()
+            self._put(*old)
+        self._put(keys, np.arange(self.n, n, dtype=np.int32))
+        self.n = n
+
+    def _put(self, keys: np.ndarray, rows: np.ndarray) -> None:
         slot = self._slot(keys)
-        while len(left):
-            self.probes += 1
+        while len(keys):
             free = self.row[slot] < 0
             _, at = np.unique(slot[free], return_index=True)
             put = np.flatnonzero(free)[at]
-            self.row[slot[put]] = left[put]
-            self.key[slot[put]] = keys[left[put]]
-            stay = np.ones(len(left), bool)
+            self.row[slot[put]] = rows[put]
+            self.key[slot[put]] = keys[put]
+            stay = np.ones(len(keys), bool)
             stay[put] = False
-            left, slot = left[stay], (slot[stay] + 1) & (size - 1)
+            keys, rows, slot = keys[stay], rows[stay], (slot[stay] + 1) & (len(self.row) - 1)
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)

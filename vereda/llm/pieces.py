@@ -26,15 +26,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import Lookup, mix, slices, stream
+from .common import Lookup, slices
+from .units import Memory
 
 SPACE = "▁"
 #: Characters of distinct units that are indexed at once.
 INDEX_CHARS = 1 << 20
-#: Units whose ids a worker remembers from batch to batch.
-KNOWN = 1 << 20
 _BIG = 1 << 30
-_BYTE = stream(256, 31) | np.uint64(1)
 _CODE, _GROUP = 12, 5  # bits of a character's code; characters in one integer key
 
 
@@ -80,10 +78,7 @@ class Tables:
     blob_at: np.ndarray
     memo_key: np.ndarray = field(default_factory=lambda: np.zeros(1 << 21, np.uint32))
     memo: np.ndarray = field(default_factory=lambda: np.zeros(1 << 21, bool))
-    known: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
-    known_at: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    known_n: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    pool: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint16))
+    memory: Memory = field(default_factory=Memory)
 
     @classmethod
     def load(cls, path: str) -> Tables:
@@ -237,15 +232,17 @@ class Tables:
             at, first = at[on], first[on]
         return token
 
-    def encode_units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all units one after the other, and where each unit's begin."""
-        points = np.frombuffer("\x00".join([*units, ""]).encode("utf-32-le"), np.uint32)
-        owner_size = np.array([len(u) + 1 for u in units])
+    def encode_units(self, held: bytes, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all units (each is followed by a zero byte) one after the other, and where
+        each unit's begin."""
+        points = np.frombuffer(held.decode().encode("utf-32-le"), np.uint32)
+        leads = np.concatenate(([0], np.cumsum((np.frombuffer(held, np.uint8) & 0xC0) != 0x80)))
+        owner_size = np.diff(leads[np.concatenate(([0], np.cumsum(size + 1)))])
         code = self.code[points]
         gap = np.cumsum(owner_size) - 1
         code[gap] = 0
         token = self.relax(code)
-        owner = np.repeat(np.arange(len(units)), owner_size)
+        owner = np.repeat(np.arange(len(size)), owner_size)
         strange = token < 0
         strange[gap] = False
         strange &= code == 0
@@ -256,7 +253,7 @@ class Tables:
         if strange.any():
             at = np.repeat(strange, count)
             out[at] = np.frombuffer("".join(map(chr, wide.tolist())).encode(), np.uint8) + self.byte0
-        return out.astype(np.uint16), np.concatenate(([0], np.cumsum(np.bincount(owner, count, len(units)).astype(np.int64))))
+        return out.astype(np.uint16), np.concatenate(([0], np.cumsum(np.bincount(owner, count, len(size)).astype(np.int64))))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and where each text's begin."""
@@ -271,42 +268,8 @@ class Tables:
         begin[1:] &= ~blank[:-1]
         begin[edge[:-1][sizes > 0]] = True
         start = np.flatnonzero(begin)
-        size = np.diff(np.append(start, len(data)))
-        place = np.arange(len(data)) - np.repeat(start, size)
-        power = stream(max(int(size.max()), 1), 32)
-        h = mix(np.add.reduceat(_BYTE[data] * power[place], start) + size.astype(np.uint64))
-        own, pick, back = np.unique(h, return_index=True, return_inverse=True)
-        self._learn(own, [raw[a : a + b] for a, b in zip(start[pick].tolist(), size[pick].tolist(), strict=True)])
-        row = np.searchsorted(self.known, own)[back]
-        at, count = self.known_at[row], self.known_n[row]
-        first = np.cumsum(count) - count
-        out = self.pool[np.repeat(at - first, count) + np.arange(count.sum())]
-        owner = np.searchsorted(start, edge)
-        return out, np.append(first, len(out))[owner]
-
-    def _learn(self, own: np.ndarray, units: list[bytes]) -> None:
-        """Encode the units that this worker has not met; it remembers up to KNOWN units."""
-        place = np.minimum(np.searchsorted(self.known, own), max(len(self.known) - 1, 0))
-        new = np.flatnonzero(self.known[place] != own) if len(self.known) else np.arange(len(own))
-        if len(self.known) + len(new) > KNOWN:
-            self.known, self.known_at, self.known_n, self.pool = (x[:0] for x in (self.known, self.known_at, self.known_n, self.pool))
-            new = np.arange(len(own))
-        if not len(new):
-            return
-        pools, at, n, held, chars, base = [self.pool], [self.known_at], [self.known_n], [], 0, len(self.pool)
-        for i, k in enumerate(new.tolist()):
-            held.append(units[k].decode())
-            chars += len(held[-1]) + 1
-            if chars >= INDEX_CHARS or i == len(new) - 1:
-                got, first = self.encode_units(held)
-                pools.append(got)
-                at.append(first[:-1] + base)
-                n.append(np.diff(first))
-                held, chars, base = [], 0, base + len(got)
-        known = np.concatenate((self.known, own[new]))
-        order = np.argsort(known, kind="stable")
-        self.known, self.known_at, self.known_n = known[order], np.concatenate(at)[order], np.concatenate(n)[order]
-        self.pool = np.concatenate(pools)
+        out, first = self.memory.encode(raw, start, self.encode_units, INDEX_CHARS)
+        return out, first[np.searchsorted(start, edge)]
 
     def decode(self, ids: np.ndarray, edge: np.ndarray) -> tuple[bytes, np.ndarray]:
         """Bytes of all texts, each with its leading space, and where each text's begin."""
@@ -317,7 +280,6 @@ class Tables:
 
 
 
-
 def encoded(docs: DataFrame, model: str, with_ids: bool = True) -> DataFrame:
     """``docs`` without the text, with n_pieces, ids_crc32 (of the ids as little-endian 32-bit
     integers), decoded_sha256 of the text decoded from the ids, and round_trip; and with the

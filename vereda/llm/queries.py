@@ -31,7 +31,7 @@ def op4_content_addressed_ids(spark: SparkSession, sf_dir: str, tokenizer: str |
 
     path = store.new_path(spark)
     store.write(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer or public_tokenizers.path("byte_bpe_50k.json"), path)
-    return store.checksums(store.read(spark, path))
+    return store.read_checksums(spark, path)
 
 
 def op5_impact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
