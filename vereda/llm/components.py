@@ -17,9 +17,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """``edges(u, v)`` of long ids → ``(node, component)``, the smallest id that the node
     reaches, for every node that is not its own component's smallest.
 
-    Each round is two joins with a grouped minimum, which is combined before it is shuffled,
-    so that a node with very many neighbours costs no single task more than its share.  The
-    number of rounds grows with the logarithm of the components' size.
+    Each round is two joins with a grouped minimum, which is combined before it is shuffled and
+    written before it is joined: the join has two plain exchanges, so that the edges of a node
+    with very many neighbours can be dealt to several tasks.  The number of rounds grows with
+    the logarithm of the components' size.
     """
     edges = settle(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), "edges")
     state = _state(edges)
@@ -28,14 +29,16 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             break
         # large star: every neighbour larger than u goes to the smallest node around u
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        low = settle(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "lows")
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         large = settle(large, "edges")
         # small star: u and its smaller neighbours go to the smallest of them
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        drop_settled(low)
+        low = settle(large.groupBy("u").agg(F.min("v").alias("m")), "lows")
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         new = settle(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
         drop_settled(large)
+        drop_settled(low)
         drop_settled(edges)
         edges, last = new, state
         state = _state(edges)
