@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .common import SLICE_BYTES, mix, settle, slices
+from .common import SLICE_BYTES, drop_settled, mix, repeated_ids, settle, slices
 
 LENGTH, SEED = 20, 5
 CHOICES = LENGTH - SEED + 1
@@ -54,7 +54,6 @@ def anchors(h: np.ndarray, first: np.ndarray) -> dict[str, np.ndarray]:
     if not len(inside):
         return {"anchor": none.astype(np.uint64), "run": none.astype(np.uint64), "text": none, "at": none, "n": none}
     seed = words.runs(h, SEED)
-    # the low bits give way to the place in the window, so that of equal hashes the leftmost is least
     low = _least(seed, CHOICES)
     n = len(h) - LENGTH + 1
     place = np.full(n, -1, np.int64)
@@ -139,25 +138,33 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeated_spans(keyed: DataFrame, packed: DataFrame) -> DataFrame:
-    """``keyed(key, text)`` in the order of its keys → (key, at, n): stretches of words that
-    windows with an earlier equal cover; they may overlap."""
+    """``keyed(key, text)`` in the order of its keys → (key, spans): stretches (at, n) of words
+    that windows with an earlier equal cover; they may overlap."""
     kind = keyed.schema["key"].dataType.simpleString()
-    seeds = keyed.mapInArrow(_seeds, f"anchor long, run long, key {kind}, at int, n int")
-    met = seeds.groupBy("anchor").agg(F.count("*").alias("k"), (F.min("run") != F.max("run")).alias("mixed")).filter("k > 1").drop("k")
-    # written first, so that the join has two plain exchanges and a hot anchor can be split
-    met = settle(seeds.join(settle(met, "anchors"), "anchor"), "met")
     place = F.struct("key", "at")
-    runs = met.groupBy("anchor", "run").agg(F.min(place).alias("first"))
-    rows = met.join(runs, ["anchor", "run"]).withColumn("later", place > F.col("first"))
-    known = rows.filter("later").select("key", "at", (F.col("n") + LENGTH - 1).alias("n"))
+    # Occurrences are combined by anchor, and by (anchor, run), before they are shuffled.  Both
+    # sides of every join are written first: it then has two plain exchanges, and the rows of
+    # a hot anchor can be dealt to several tasks.
+    seeds = settle(keyed.mapInArrow(_seeds, f"anchor long, run long, key {kind}, at int, n int"), "seeds")
+    again = seeds.groupBy("anchor").agg(F.count("*").alias("k"), (F.min("run") != F.max("run")).alias("mixed")).filter("k > 1").drop("k")
+    again = settle(again, "anchors")
+    met = settle(seeds.join(again, "anchor"), "met")
+    drop_settled(seeds)
+    drop_settled(again)
+    runs = settle(met.groupBy("anchor", "run").agg(F.min(place).alias("first"), F.min("n").alias("n"), F.max("mixed").alias("mixed"), F.count("*").alias("k")), "runs")
+    later = met.join(runs.filter("k > 1").select("anchor", "run", "first"), ["anchor", "run"]).filter(place > F.col("first"))
+    known = later.select("key", "at", (F.col("n") + LENGTH - 1).alias("n"))
     # one occurrence of each run of a mixed anchor is extended
-    asked = runs.join(met.filter("mixed").select("anchor", "run", "n").distinct(), ["anchor", "run"])
-    asked = asked.groupBy(F.col("first.key").alias("key")).agg(F.collect_list(F.struct(F.col("first.at").alias("at"), "n", "anchor")).alias("asked"))
+    asked = runs.filter("mixed").groupBy(F.col("first.key").alias("key")).agg(F.collect_list(F.struct(F.col("first.at").alias("at"), "n", "anchor")).alias("asked"))
     windows = packed.join(asked, "key").mapInArrow(_windows, f"anchor long, window long, key {kind}, at int")
     windows = settle(windows, "windows")
-    twice = windows.groupBy("anchor", "window").agg(F.min(place).alias("first"), F.count("*").alias("k")).filter("k > 1").drop("k")
-    found = windows.join(twice, ["anchor", "window"]).filter(place > F.col("first")).select("key", "at", F.lit(LENGTH).alias("n"))
-    return known.unionByName(found)
+    often = windows.groupBy("anchor", "window").agg(F.min(place).alias("first"), F.count("*").alias("k")).filter("k > 1").drop("k")
+    often = settle(often, "often")
+    found = windows.join(often, ["anchor", "window"]).filter(place > F.col("first")).select("key", "at", F.lit(LENGTH).alias("n"))
+    spans = settle(known.unionByName(found).groupBy("key").agg(F.collect_list(F.struct("at", "n")).alias("spans")), "spans")
+    for done in (met, runs, windows, often):
+        drop_settled(done)
+    return spans
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
@@ -168,12 +175,12 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     null.  They cross the network compressed."""
     rest = [c for c in docs.columns if c not in ("text", "n_words", "n_removed")]
     base = docs.select(F.struct(*rest).alias("rest"), F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    odd = base.groupBy("id").count().filter("count > 1 or id is null").limit(1).count()
+    odd = repeated_ids(base, "id")
     key = F.struct("id", F.xxhash64("text").alias("h")) if odd else F.col("id")
     keyed = base.select(key.alias("key"), "rest", "text")
     kind, other = (keyed.schema[c].dataType.simpleString() for c in ("key", "rest"))
     packed = keyed.mapInArrow(_pack, f"key {kind}, rest {other}, packed binary")
-    spans = repeated_spans(keyed.select("key", "text"), packed.select("key", "packed")).groupBy("key").agg(F.collect_list(F.struct("at", "n")).alias("spans"))
+    spans = repeated_spans(keyed.select("key", "text"), packed.select("key", "packed"))
     if odd:  # null ids must meet too
         joined = packed.alias("p").join(spans.alias("s"), F.col("p.key").eqNullSafe(F.col("s.key")), "left").select("rest", "packed", "spans")
     else:
