@@ -9,9 +9,13 @@ probability is the interpolation
     share * min(1, c(h w) / c(h)) + (1 - share) * (c(w) + 1) / (N + V + 1)
 
 where the bigram was seen, and the second part, with 1 - share where the history was, else.
+The share is given, or fitted to the corpus: a bigram token is new with probability n1 / N by
+Good and Turing's estimate (n1 bigrams were met once), and the bigrams get what is left.
 
 All n-grams are kept, from a count of 1, and counted in Spark: tasks combine their own counts
-and deal them by hash to buckets, whose merged counts stay on the executors.  The filter is
+and deal them by hash to buckets, whose merged counts stay on the executors.  The number of
+buckets follows the bytes of text, so that a bucket holds the n-grams of BUCKET_BYTES at most
+however large the corpus is.  The filter is
 cut likewise: a bucket fills its own filter, in parts of at most ``bits`` bits, one after
 another, so the number of parts grows with the n-grams and no part is broadcast.  Probes go
 to the filter: the distinct words of each batch of texts meet the unigrams of their
@@ -44,6 +48,8 @@ from .common import Lookup, drop_settled, mix, partitions, settle, slices
 #: Tokens that a task counts, or asks for, before it hands on what it has.
 FLUSH, ASKED = 3 << 20, 1 << 21
 HOT, BITS, HASHES, SHARE = 1 << 16, 1 << 28, 3, 0.1
+#: Bytes of text to a bucket of n-grams.
+BUCKET_BYTES = 16 << 20
 #: Bits of the filter for each level of an n-gram: less than a quarter of them are set.
 WIDTH = 12
 _END = np.uint64(0x5851F42D4C957F2D)
@@ -106,19 +112,25 @@ def unpack(data: bytes, kind: type) -> np.ndarray:
 _COUNTS = "bucket int, kind int, keys binary, counts binary"
 
 
+def _stretches(to: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """The values of a sorted array, and where each begins and ends."""
+    edge = np.concatenate(([0], np.flatnonzero(np.diff(to)) + 1, [len(to)])) if len(to) else np.zeros(1, np.int64)
+    return zip(to[edge[:-1]].tolist(), edge[:-1].tolist(), edge[1:].tolist(), strict=True)
+
+
 def _dealt(kind: int, h: np.ndarray, n: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
     to = bucket_of(h, buckets)
     if kind == BI:
         h = h.astype(np.uint32)
     order = np.argsort(to.astype(np.uint64) << np.uint64(32) | h) if kind == BI else np.argsort(to, kind="stable")
-    h, n, edge = h[order], n[order], np.searchsorted(to[order], np.arange(buckets + 1))
-    own = [b for b in range(buckets) if edge[b] < edge[b + 1]]
+    h, n = h[order], n[order].astype(np.uint32)
+    own = list(_stretches(to[order]))
     yield pa.record_batch(
         {
-            "bucket": pa.array(own, pa.int32()),
+            "bucket": pa.array([b for b, _, _ in own], pa.int32()),
             "kind": pa.array([kind] * len(own), pa.int32()),
-            "keys": pa.array([pack(h[edge[b] : edge[b + 1]]) for b in own], pa.binary()),
-            "counts": pa.array([pack(n[edge[b] : edge[b + 1]].astype(np.uint32)) for b in own], pa.binary()),
+            "keys": pa.array([pack(h[a:z]) for _, a, z in own], pa.binary()),
+            "counts": pa.array([pack(n[a:z]) for _, a, z in own], pa.binary()),
         }
     )
 
@@ -137,7 +149,7 @@ def _counted(t: pa.Table, keys: type, counts: type) -> tuple[np.ndarray, np.ndar
 
 
 def _merge(t: pa.Table) -> pa.Table:
-    out: dict[str, list] = {"bucket": [], "kind": [], "keys": [], "counts": [], "tokens": [], "types": []}
+    out: dict[str, list] = {"bucket": [], "kind": [], "keys": [], "counts": [], "tokens": [], "types": [], "single": []}
     kinds = t.column("kind").to_numpy()
     for kind in (UNI, BI):
         rows = np.flatnonzero(kinds == kind)
@@ -150,11 +162,12 @@ def _merge(t: pa.Table) -> pa.Table:
         out["counts"].append(pack(n.astype(np.int64) if kind == UNI else level_of(n, kind).astype(np.uint8)))
         out["tokens"].append(total)
         out["types"].append(len(keys))
-    kind = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
+        out["single"].append(int((n == 1).sum()))
+    kind = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
     return pa.table({c: pa.array(v, k) for (c, v), k in zip(out.items(), kind, strict=True)})
 
 
-_MERGED = _COUNTS + ", tokens long, types long"
+_MERGED = _COUNTS + ", tokens long, types long, single long"
 
 
 class Filter:
@@ -217,12 +230,14 @@ class Model:
     hot: np.ndarray
     hot_n: np.ndarray
     hot_level: np.ndarray
+    buckets: int
+    share: float
 
 
 def fit(docs: DataFrame, training: Column, bits: int = BITS, hot: int = HOT) -> tuple[Model, DataFrame]:
     """Count and merge; the frequent words, and the merged counts by bucket."""
-    spark = docs.sparkSession
-    buckets = max(8, partitions(spark))
+    size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    buckets = max(8, partitions(docs.sparkSession), -(-size // BUCKET_BYTES))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -245,7 +260,9 @@ def fit(docs: DataFrame, training: Column, bits: int = BITS, hot: int = HOT) ->
 
     counted = docs.filter(training).select("text").mapInArrow(count, _COUNTS)
     merged = settle(counted.groupBy("bucket").applyInArrow(_merge, _MERGED), "ngrams")
-    row = merged.filter(F.col("kind") == UNI).agg(F.sum("tokens").alias("tokens"), F.sum("types").alias("types")).first()
+    sums = {r["kind"]: r for r in merged.groupBy("kind").agg(*[F.sum(c).alias(c) for c in ("tokens", "types", "single")]).collect()}
+    count_of = lambda kind, what: int(sums[kind][what] or 0) if kind in sums else 0
+    share = 1 - count_of(BI, "single") / max(1, count_of(BI, "tokens"))
 
     def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -256,7 +273,8 @@ def fit(docs: DataFrame, training: Column, bits: int = BITS, hot: int = HOT) ->
                 yield pa.record_batch({"h": keys[top].view(np.int64), "n": n[top], "level": level})
 
     top = merged.filter(F.col("kind") == UNI).select("keys", "counts").mapInArrow(frequent, "h long, n long, level long").orderBy(F.desc("n"), "h").limit(hot).toPandas()
-    model = Model(int(row["tokens"] or 0), int(row["types"] or 0), top["h"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64), top["level"].to_numpy(np.int64))
+    columns = top["h"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64), top["level"].to_numpy(np.int64)
+    model = Model(count_of(UNI, "tokens"), count_of(UNI, "types"), *columns, buckets, min(max(share, 0.05), 0.95))
     return model, merged
 
 
@@ -278,12 +296,14 @@ def _cells(t: pa.Table, kinds: tuple) -> Iterator[tuple[str, int, list[np.ndarra
 _EMPTY = _row("", 0, []).schema.empty_table()
 
 
-def scores(docs: DataFrame, training: Column, share: float = SHARE, bits: int = BITS, hot: int = HOT) -> DataFrame:
-    """(doc_id, n_tokens, n_known, train_tokens, base_score, score) for every text."""
+def scores(docs: DataFrame, training: Column, share: float | None = SHARE, bits: int = BITS, hot: int = HOT) -> DataFrame:
+    """(doc_id, n_tokens, n_known, train_tokens, base_score, score) for every text; without a
+    share for the bigrams it is fitted to the corpus."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     model, merged = fit(base, training, bits, hot)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    buckets, tokens, mass = max(8, partitions(docs.sparkSession)), model.tokens, model.tokens + model.types + 1
+    buckets, tokens, mass = model.buckets, model.tokens, model.tokens + model.types + 1
+    share = model.share if share is None else share
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
@@ -305,8 +325,10 @@ def scores(docs: DataFrame, training: Column, share: float = SHARE, bits: int =
             yield _row(flush, -1, [size, kinds, back.astype(np.uint32), n, level], ids)
             cold = np.flatnonzero(row < 0).astype(np.uint32)
             to = bucket_of(kinds[cold], buckets)
-            for b in np.unique(to).tolist():
-                yield _row(flush, b, [cold[to == b], kinds[cold[to == b]]])
+            order = np.argsort(to, kind="stable")
+            cold = cold[order]
+            for b, a, z in _stretches(to[order]):
+                yield _row(flush, b, [cold[a:z], kinds[cold[a:z]]])
 
         for b in slices(batches):
             held.append((b.column("doc_id").to_pylist(), *sequence(b.column("text"))))
@@ -354,17 +376,16 @@ def scores(docs: DataFrame, training: Column, share: float = SHARE, bits: int =
         at = np.flatnonzero(asked)
         h = bigrams(kinds[back])[at]
         to = bucket_of(h, buckets)
-        code = to.astype(np.uint64) << np.uint64(46) | (h & np.uint64(0xFFFFFFFF)) << np.uint64(14) | before[at].astype(np.uint64) << np.uint64(7) | after[at].astype(np.uint64)
-        order = np.argsort(code, kind="stable")
+        code = (h & np.uint64(0xFFFFFFFF)) << np.uint64(14) | before[at].astype(np.uint64) << np.uint64(7) | after[at].astype(np.uint64)
+        order = np.lexsort((code, to))
         code, text = code[order], np.repeat(np.arange(len(size), dtype=np.uint32), size)[at][order]
-        edge = np.searchsorted(code, np.arange(buckets + 1, dtype=np.uint64) << np.uint64(46))
-        for b in np.flatnonzero(np.diff(edge)).tolist():
-            own = code[edge[b] : edge[b + 1]]
+        for b, a, z in _stretches(to[order]):
+            own = code[a:z]
             new = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
             times = np.diff(np.append(new, len(own))).astype(np.uint32)
             own = own[new]
             two = [(own >> np.uint64(k) & np.uint64(127)).astype(np.uint8) for k in (7, 0)]
-            out.append(_row(flush, b, [(own >> np.uint64(14)).astype(np.uint32), *two, times, text[edge[b] : edge[b + 1]]]))
+            out.append(_row(flush, b, [(own >> np.uint64(14)).astype(np.uint32), *two, times, text[a:z]]))
         return pa.Table.from_batches(out)
 
     def pairs_met(counts: pa.Table, asked: pa.Table) -> pa.Table:

@@ -40,7 +40,7 @@ def op5_impact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_lm_bloom_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = ngrams.scores(docs, crc_mod("doc_id", 7) != 2)
+    found = ngrams.scores(docs, crc_mod("doc_id", 7) != 2, share=None)
     return found.select("doc_id", (crc_mod("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
