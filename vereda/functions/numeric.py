@@ -125,3 +125,44 @@ def implied_spot(call: Column, premium: Column, strike: Column, years: Column, r
 
 def place_in_range(x: Column, low: Column, high: Column) -> Column:
     return F.when(high > low, F.bround((x - low) / (high - low) * 100))
+
+
+def fundamentals(pl: Column, pvp: Column, ev_ebitda: Column, dy: Column, roe: Column, margin: Column, revenue: Column, profit: Column, debt: Column, bank: Column) -> Column:
+    """(valor, qualidade, crescimento, saude, score, tag): parts by their weights, as far as known.
+    Banks have neither enterprise value nor debt.  The weights and slopes are fixed values."""
+    value = weighted([(0.40, F.when(pl > 0, clip((14 - pl) * 8))), (0.30, F.when(pvp > 0, clip((2.2 - pvp) * 45))), (0.20, F.when((ev_ebitda > 0) & ~bank, clip((8 - ev_ebitda) * 12))), (0.10, clip_known(dy * 8))])
+    quality = weighted([(0.55, clip_known((roe - 12) * 5)), (0.45, clip_known((margin - 10) * 3))])
+    growth = weighted([(0.55, clip_known(revenue * 4)), (0.45, clip_known(profit * 3))])
+    health = F.when(~bank, clip_known((1.0 - debt / 100.0) * 70))
+    score = clip(weighted([(0.30, value), (0.35, quality), (0.20, growth), (0.15, health)]))
+    tag = F.when(score >= 45, "FORTE").when(score >= 15, "SÓLIDA").when(score > -15, "NEUTRA").when(score > -45, "ATENÇÃO").otherwise("FRÁGIL")
+    return F.struct(value.alias("valor"), quality.alias("qualidade"), growth.alias("crescimento"), health.alias("saude"), score.alias("score"), tag.alias("tag"))
+
+
+def clip_known(x: Column) -> Column:
+    """``clip``, but null stays null (least and greatest skip nulls)."""
+    return F.when(x.isNotNull(), clip(x))
+
+
+def analyst_score(mean: Column, upside: Column) -> Column:
+    """Recommendation (1 to 5, 3 is neutral) and upside in percent, by what is known."""
+    return clip_known(weighted([(0.6, (3 - mean) / 2 * 100), (0.4, clip_known(upside * 3))]))
+
+
+def rounded_by_size(x: Column) -> Column:
+    """One, two or four decimals, the fewer the larger."""
+    size = F.abs(x)
+    return F.when(size >= 100, F.bround(x, 1)).when(size >= 1, F.bround(x, 2)).otherwise(F.bround(x, 4))
+
+
+def greeks(call: Column, spot: Column, strike: Column, years: Column, rate: Column, sigma: Column) -> Column:
+    """(delta, theta a day) of an option; the slope of the intrinsic value and 0 where it has expired."""
+    live = (years > 0) & (sigma > 0) & (spot > 0) & (strike > 0)
+    root = F.sqrt(F.greatest(years, F.lit(1e-12)))
+    d1 = (F.ln(spot / strike) + (rate + sigma * sigma / 2) * years) / (sigma * root)
+    d2, paid = d1 - sigma * root, strike * F.exp(-rate * years)
+    delta = F.when(call, normal_cdf(d1)).otherwise(normal_cdf(d1) - 1)
+    decay = -spot * F.exp(-d1 * d1 / 2) / 2.5066282746310002 * sigma / (2 * root)
+    theta = (decay - F.when(call, rate * paid * normal_cdf(d2)).otherwise(-rate * paid * normal_cdf(-d2))) / 365
+    slope = F.when(call, (spot > strike).cast("double")).otherwise(-(spot < strike).cast("double"))
+    return F.struct(F.when(live, delta).otherwise(slope).alias("delta"), F.when(live, theta).otherwise(0.0).alias("theta"))

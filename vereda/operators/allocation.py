@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import running
+
 
 def sequential(tasks: DataFrame, order: list[str], units: str, per_day: int, days: int) -> DataFrame:
     """Units in order, ``per_day`` to a day, the rest on the last: (…, day, n) for each task.
 
     A task covers an interval of unit numbers; the days it touches are those of the
     interval's ends, so units are never exploded."""
-    w = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    t = tasks.withColumn("_hi", F.sum(units).over(w)).withColumn("_lo", F.col("_hi") - F.col(units)).filter(F.col(units) > 0)
+    t = running(tasks, order, F.col(units), "_hi").withColumn("_lo", F.col("_hi") - F.col(units)).filter(F.col(units) > 0)
     day = lambda p: F.least(F.floor(p / per_day), F.lit(days - 1))
     t = t.withColumn("day", F.explode(F.sequence(day(F.col("_lo")), day(F.col("_hi") - 1))))
     last = F.col("day") == days - 1
@@ -23,9 +24,8 @@ def sequential(tasks: DataFrame, order: list[str], units: str, per_day: int, day
 def round_robin(items: DataFrame, group: str, order: str, per_day: int, days: int) -> DataFrame:
     """Items in turn from each group, ``per_day`` to a day."""
     turn = F.row_number().over(Window.partitionBy(group).orderBy(order))
-    numbered = items.withColumn("turn", turn)
-    place = F.row_number().over(Window.orderBy("turn", group)) - 1
-    return numbered.withColumn("day", F.least(F.floor(place / per_day), F.lit(days - 1)))
+    numbered = running(items.withColumn("turn", turn), ["turn", group], out="_place")
+    return numbered.withColumn("day", F.least(F.floor((F.col("_place") - 1) / per_day), F.lit(days - 1))).drop("_place")
 
 
 def quota(total: Column, days: Column, factor: float = 1.0, least: int = 1, most: int = 1000) -> Column:

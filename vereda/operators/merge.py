@@ -47,3 +47,18 @@ def filled_from(left: DataFrame, right: DataFrame, key: str, columns: list[str])
 def first_known_by(value: Column, seq: Column) -> Column:
     """Aggregate: the value of the first row (by ``seq``) that has one."""
     return F.min_by(value, F.when(value.isNotNull(), seq))
+
+
+def last_writer(local: DataFrame, remote: DataFrame, key: str, at: str, columns: list[str]) -> DataFrame:
+    """The newest row of each key on either side, and the side; the local one wins ties."""
+    both = local.withColumn("side", F.lit("local")).unionByName(remote.withColumn("side", F.lit("remote")))
+    return best(both, [key], F.struct(F.col(at), (F.col("side") == "local").cast("int")), [*columns, "side"])
+
+
+def first_candidate(rows: DataFrame, key: str, candidates: str, known: DataFrame, name: str) -> DataFrame:
+    """(key, place, other columns of ``known``): the first of a row's candidate keys, counted from
+    one, that ``known`` has."""
+    values = [c for c in known.columns if c != name]
+    tried = rows.select(key, F.posexplode(candidates).alias("place", name)).withColumn("place", F.col("place") + 1)
+    found = tried.join(known, name)
+    return found.groupBy(key).agg(F.min_by(F.struct("place", *values), "place").alias("_row")).select(key, "_row.*")

@@ -146,3 +146,18 @@ def bars(rows: DataFrame, period: Column, price: Column, volume: Column, order:
     return base.groupBy("symbol", "ts").agg(
         F.min_by("_p", "_o").alias("open"), F.max("_p").alias("high"), F.min("_p").alias("low"), F.max_by("_p", "_o").alias("close"), F.sum("_v").alias("volume"), F.count("*").alias("trades")
     )
+
+
+def aligned(left: DataFrame, right: DataFrame, at: str, columns: list[str], grain: str = "month") -> DataFrame:
+    """Two series on the union of their days, each with its last known value (none before its first).
+
+    Values are carried within each ``grain`` of days by a window over that grain alone; what
+    enters a grain is the last value of the grains before it, a small table of its own.  So no
+    task gets the whole series, however long it is."""
+    joined = left.join(right, at, "full_outer").withColumn("_g", F.date_trunc(grain, at))
+    inside = Window.partitionBy("_g").orderBy(at)
+    ends = joined.groupBy("_g").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(at))).alias(c) for c in columns])
+    before = Window.orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)
+    enters = ends.select("_g", *[F.last(c, True).over(before).alias(f"_{c}") for c in columns])
+    carried = joined.join(enters, "_g", "left")
+    return carried.select(at, *[F.coalesce(F.last(c, True).over(inside), F.col(f"_{c}")).alias(c) for c in columns])

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import documents, market, more
+from . import citations, documents, market, more, records, texts, trade
 
-QUERIES = {**documents.QUERIES, **market.QUERIES, **more.QUERIES}
-ORACLE_SQL = {**documents.ORACLE_SQL, **market.ORACLE_SQL, **more.ORACLE_SQL}
+_PLANS = (documents, market, more, records, citations, texts, trade)
+QUERIES = {name: f for plan in _PLANS for name, f in plan.QUERIES.items()}
+ORACLE_SQL = {name: sql for plan in _PLANS for name, sql in plan.ORACLE_SQL.items()}

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import tables, text
-from ..operators import allocation, catalogue, merge, search
+from ..operators import allocation, catalogue, containment, merge, search
+from ..operators.ordered import running
 from .common import rounded, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,10 +45,9 @@ def url_normalise(spark, sf_dir):
 )
 def catalog_pages(spark, sf_dir):
     """Pages grouped by canonical URL."""
-    rows = table(spark, sf_dir, "pages")
-    got = catalogue.catalogue(rows.withColumn("n", F.length("html")), text.url_canonical(F.col("url")), "page_id", {"url": F.col("url")}, F.col("url"))
-    size = rows.groupBy(text.url_canonical(F.col("url")).alias("doc_key")).agg(F.sum(F.length("html")).alias("chars"))
-    return got.join(size, "doc_key").select("doc_key", "url", "chunk_count", "chars", "metadata")
+    u = text.url_canonical(F.col("url"))
+    g = table(spark, sf_dir, "pages").groupBy(u.alias("doc_key"))
+    return g.agg(F.max("url").alias("url"), F.count("*").alias("chunk_count"), F.sum(F.length("html")).alias("chars"), F.min_by("url", "page_id").alias("metadata"))
 
 
 @query("SELECT conv_id, max(role) AS role, count(*) AS chunk_count, arg_min(text, turn) AS metadata FROM conversations GROUP BY conv_id")
@@ -143,11 +143,11 @@ def upsert_by_key(spark, sf_dir):
 
 
 @query(
-    """SELECT coalesce(l.doc_id, b.item_id) AS key, coalesce(nullif(b.text, ''), l.source) AS value FROM (SELECT doc_id, source FROM documents WHERE doc_id % 7 = 0) l FULL OUTER JOIN benchmark b ON b.item_id = l.doc_id"""
+    """SELECT coalesce(l.doc_id, b.item_id) AS key, coalesce(nullif(b.text, ''), l.source) AS value FROM documents l FULL OUTER JOIN benchmark b ON b.item_id = l.doc_id"""
 )
 def merge_fields(spark, sf_dir):
     """Full outer merge in which non-empty right values win."""
-    left = table(spark, sf_dir, "documents").filter("doc_id % 7 = 0").select(F.col("doc_id").alias("key"), F.col("source").alias("value"))
+    left = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), F.col("source").alias("value"))
     right = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("key"), F.col("text").alias("value"))
     return merge.filled_from(left, right, "key", ["value"])
 
@@ -183,9 +183,7 @@ def _score_sql(q: str, column: str) -> str:
 )
 def search_scored(spark, sf_dir):
     """The eight best documents for each of three queries."""
-    index = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("body"))
-    found = [search.top(index, s).select(F.lit(i).alias("q"), F.col("id").alias("doc_id"), "score") for i, s in enumerate(_SEARCHES)]
-    return search.union_index(*found)
+    return search.top_of_each(table(spark, sf_dir, "documents"), _SEARCHES, "text", "doc_id")
 
 
 _FOLD = f"translate(lower(text), '{tables.ACCENTED}', '{tables.PLAIN}')"
@@ -194,8 +192,9 @@ _FOLD = f"translate(lower(text), '{tables.ACCENTED}', '{tables.PLAIN}')"
 @query(" UNION ALL ".join(f"SELECT {i} AS q, count(*) AS n, min(doc_id) AS first_id FROM documents WHERE {' AND '.join(f'contains({_FOLD}, {chr(39)}{t}{chr(39)})' for t in s.split())}" for i, s in enumerate(_SEARCHES)))
 def search_all_tokens(spark, sf_dir):
     """Documents that hold every token of a query, accents aside."""
-    d = table(spark, sf_dir, "documents")
-    return search.union_index(*[d.filter(text.holds_all(F.col("text"), s)).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).select(F.lit(i).alias("q"), "n", "first_id") for i, s in enumerate(_SEARCHES)])
+    hits = F.array(*[F.struct(F.lit(i).alias("q"), F.when(text.holds_all(F.col("text"), s), F.col("doc_id")).alias("hit")) for i, s in enumerate(_SEARCHES)])
+    d = table(spark, sf_dir, "documents").select(F.inline(hits))
+    return d.groupBy("q").agg(F.count("hit").alias("n"), F.min("hit").alias("first_id"))
 
 
 @query(
@@ -218,7 +217,14 @@ def html_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", text.without_tags(F.col("html")).alias("body"))
 
 
-@query()
+@query(
+    r"""WITH RECURSIVE d AS (SELECT doc_id, regexp_replace(text, '^[ \t\n\r\f\x0B]+|[ \t\n\r\f\x0B]+$', '', 'g') AS t FROM documents),
+    e AS (SELECT doc_id, 0 AS a, 0 AS z, t FROM d UNION ALL
+        SELECT doc_id, z AS a, CASE WHEN z + 1800 < length(t) AND strpos(reverse(substr(t, z + 1, 1800)), chr(10) || chr(10)) > 0 AND 1799 - strpos(reverse(substr(t, z + 1, 1800)), chr(10) || chr(10)) > 600 THEN z + 1799 - strpos(reverse(substr(t, z + 1, 1800)), chr(10) || chr(10)) ELSE least(z + 1800, length(t)) END AS z, t FROM e WHERE z < length(t)),
+    p AS (SELECT doc_id, a, regexp_replace(substr(t, a + 1, z - a), '^[ \t\n\r\f\x0B]+|[ \t\n\r\f\x0B]+$', '', 'g') AS chunk FROM e WHERE z > 0),
+    k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY a) - 1 AS i FROM p WHERE chunk <> '')
+    SELECT doc_id, i::INTEGER AS chunk_index, chunk, substr(sha256(doc_id::VARCHAR), 1, 12) || '-' || i::VARCHAR AS id FROM k"""
+)
 def chunks(spark, sf_dir):
     """Documents cut into chunks with deterministic ids."""
     return catalogue.chunks(table(spark, sf_dir, "documents"), "doc_id")
@@ -243,10 +249,10 @@ def status_counts(spark, sf_dir):
     )
 
 
-@query(r"SELECT doc_id, trim(regexp_replace(regexp_replace(translate(lower(left(text, 80)), '" + tables.ACCENTED + "', '" + tables.PLAIN + r"'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')) AS slug FROM documents")
+@query(r"SELECT doc_id, trim(regexp_replace(regexp_replace(translate(lower(text), '" + tables.ACCENTED + "', '" + tables.PLAIN + r"'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')) AS slug FROM documents")
 def slugs(spark, sf_dir):
-    """Slugs of the beginnings of texts."""
-    return table(spark, sf_dir, "documents").select("doc_id", text.slug(F.left("text", F.lit(80))).alias("slug"))
+    """Slugs of whole texts."""
+    return table(spark, sf_dir, "documents").select("doc_id", text.slug(F.col("text")).alias("slug"))
 
 
 @query("SELECT p_brand, p_partkey, day::BIGINT AS day, n::BIGINT AS n FROM (WITH t AS (SELECT p_brand, p_partkey, p_size AS u, sum(p_size) OVER (ORDER BY p_brand, p_partkey ROWS UNBOUNDED PRECEDING) AS hi FROM part), d AS (SELECT *, unnest(generate_series(least((hi - u) // 500, 59)::BIGINT, least((hi - 1) // 500, 59)::BIGINT)) AS day FROM t WHERE u > 0) SELECT p_brand, p_partkey, day, CASE WHEN day = 59 THEN hi ELSE least(hi, (day + 1) * 500) END - greatest(hi - u, day * 500) AS n FROM d)")
@@ -319,34 +325,36 @@ def calibration(spark, sf_dir):
     """Outcome by tercile of a score, cut at thirds of the row count."""
     j = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id")
     n = j.count()
-    k = F.row_number().over(Window.orderBy("n_chars", "doc_id")) - 1
+    k = F.col("_n") - 1
     t = F.when(k < n // 3, 1).when(k < 2 * (n // 3), 2).otherwise(3)
-    return rounded(j.withColumn("tercile", t).groupBy("tercile").agg(F.count("*").alias("rows_in"), F.min("n_chars").alias("low"), F.max("n_chars").alias("high"), F.avg("quality").alias("rate")))
+    return rounded(running(j, ["n_chars", "doc_id"]).withColumn("tercile", t).groupBy("tercile").agg(F.count("*").alias("rows_in"), F.min("n_chars").alias("low"), F.max("n_chars").alias("high"), F.avg("quality").alias("rate")))
 
 
-@query("SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, left(b.text, 60))")
+@query("SELECT DISTINCT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text) WHERE trim(b.text) <> ''")
 def theta_containment(spark, sf_dir):
-    """Documents that hold the beginning of a reference text: the small side is broadcast
-    after its size is checked, else both sides meet on hashed windows of the same length."""
-    refs = table(spark, sf_dir, "benchmark").select("item_id", F.left("text", F.lit(60)).alias("needle"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    if refs.count() <= 10_000:
-        return docs.join(F.broadcast(refs), F.contains("text", "needle")).select("doc_id", "item_id")
-    at = F.sequence(F.lit(1), F.greatest(F.length("text") - 59, F.lit(1)))
-    windows = docs.select("doc_id", F.explode(F.array_distinct(F.transform(at, lambda i: F.substring(F.col("text"), i, F.lit(60))))).alias("needle"))
-    return windows.join(refs, "needle").select("doc_id", "item_id")
+    """Documents that hold a whole reference text."""
+    return containment.holding(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "benchmark"), "item_id", "text")
+
+
+@query("WITH r AS (SELECT item_id, trim(substr(text, 6, greatest(length(text) - 10, 1) // (1 + item_id % 12))) AS needle FROM benchmark) SELECT DISTINCT d.doc_id, r.item_id FROM documents d JOIN r ON contains(d.text, needle) WHERE needle <> ''")
+def passage_containment(spark, sf_dir):
+    """Documents that hold a passage of a reference, from its middle and of any length."""
+    refs = table(spark, sf_dir, "benchmark")
+    n = F.floor(F.greatest(F.length("text") - 10, F.lit(1)) / (1 + F.col("item_id") % 12)).cast("int")
+    refs = refs.select("item_id", F.trim(F.substring(F.col("text"), F.lit(6), n)).alias("needle"))
+    return containment.holding(table(spark, sf_dir, "documents"), "doc_id", "text", refs, "item_id", "needle")
 
 
 @query(
-    """SELECT a.k AS doc_id, b.source FROM (SELECT DISTINCT doc_id % 100 AS k FROM documents WHERE lang = 'en' INTERSECT SELECT DISTINCT doc_id % 100 AS k FROM documents WHERE lang = 'fr') a JOIN documents b ON b.doc_id = a.k
+    """SELECT doc_id, d.source FROM (SELECT source FROM documents WHERE lang = 'en' INTERSECT SELECT source FROM documents WHERE lang = 'fr') s JOIN documents d ON d.source = s.source
     EXCEPT SELECT doc_id, source FROM documents WHERE n_chars < 100"""
 )
 def set_operations(spark, sf_dir):
     """Intersection, join and difference of key sets."""
     d = table(spark, sf_dir, "documents")
-    ids = lambda lang: d.filter(F.col("lang") == lang).select((F.col("doc_id") % 100).alias("doc_id"))
-    both = ids("en").intersect(ids("fr"))
-    return both.join(d.select("doc_id", "source"), "doc_id").exceptAll(d.filter("n_chars < 100").select("doc_id", "source")).distinct()
+    sources = lambda lang: d.filter(F.col("lang") == lang).select("source")
+    both = sources("en").intersect(sources("fr"))
+    return d.join(both, "source").select("doc_id", "source").subtract(d.filter("n_chars < 100").select("doc_id", "source"))
 
 
 @query(
@@ -371,18 +379,3 @@ def fixed_batches(spark, sf_dir):
     k = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1
     d = table(spark, sf_dir, "documents").select("doc_id", "source", F.floor(k / 40).alias("batch"))
     return d.groupBy("source", "batch").agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list("doc_id")), lambda x: x.cast("string")), ",").alias("ids"))
-
-
-@query(
-    """WITH f AS (SELECT doc_id, lang, CASE WHEN doc_id % 4 = 0 THEN 'Questoes_Objetivas' WHEN doc_id % 4 = 1 THEN 'Lei ordinaria' WHEN doc_id % 4 = 2 THEN 'Acordao' ELSE '' END AS kind FROM documents)
-    SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'questoes_objetivas' WHEN doc_id % 4 = 1 THEN 'legislacao' WHEN doc_id % 4 = 2 THEN 'jurisprudencia' WHEN lang = 'en' THEN 'sumula' END AS doc_type,
-        CASE doc_id % 7 WHEN 0 THEN 'A' WHEN 1 THEN 'B' WHEN 2 THEN 'C' WHEN 3 THEN 'D' WHEN 4 THEN 'E' WHEN 5 THEN 'E' ELSE 'D' END AS letter FROM f"""
-)
-def doc_pipeline(spark, sf_dir):
-    """Type inference and answer keys of records with open metadata: the flagship query."""
-    d = table(spark, sf_dir, "documents")
-    k = F.col("doc_id") % 4
-    kind = F.when(k == 0, "Questoes_Objetivas").when(k == 1, "Lei ordinaria").when(k == 2, "Acordao").otherwise("")
-    meta = F.when(F.col("lang") == "en", F.create_map(F.lit("sumula_numero"), F.col("doc_id").cast("string"))).otherwise(F.create_map(F.lit("x"), F.lit("1")))
-    key = F.when(F.col("doc_id") % 7 < 6, (F.col("doc_id") % 7).cast("string")).otherwise(F.lit("Alternativa D correta"))
-    return d.select("doc_id", text.document_type(kind, meta).alias("doc_type"), text.answer_letter(key).alias("letter"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import normaliser, numeric, text
 from ..operators import inference, series
+from ..operators.ordered import running
 from ..streaming import ingest
 from .common import BARS, daily_bars, rolled, rounded, table
 from .market import _cdf_sql
@@ -175,8 +176,7 @@ def rotating_slice(spark, sf_dir):
     """Twelve items from an offset on, around the end."""
     b = table(spark, sf_dir, "benchmark").select("item_id")
     n = b.count()
-    k = F.row_number().over(Window.orderBy("item_id")) - 1
-    return b.withColumn("place", F.pmod(k - 33, F.lit(n)).cast("long")).filter("place < 12")
+    return running(b, ["item_id"]).select("item_id", F.pmod(F.col("_n") - 1 - 33, F.lit(n)).cast("long").alias("place")).filter("place < 12")
 
 
 @query(
@@ -259,23 +259,30 @@ def macro_tilt(spark, sf_dir):
 
 
 @query(
-    r"""WITH x AS (SELECT doc_id, 'Altera a Lei n. ' || (8000 + doc_id % 900)::VARCHAR || ' de 12/0' || (1 + doc_id % 9)::VARCHAR || '/20' || (10 + doc_id % 15)::VARCHAR || ', art. 0' || (doc_id % 50)::VARCHAR AS t FROM documents)
-    SELECT doc_id, (8000 + doc_id % 900)::VARCHAR AS law, CASE WHEN doc_id % 50 < 10 THEN (doc_id % 50)::VARCHAR ELSE (doc_id % 50)::VARCHAR END AS article, make_date((2010 + doc_id % 15)::BIGINT, (1 + doc_id % 9)::BIGINT, 12::BIGINT) AS day FROM x"""
+    r"""WITH x AS (SELECT doc_id, lower(text || ' Altera a Lei n. ' || (8000 + doc_id % 900)::VARCHAR || ' de 12/0' || (1 + doc_id % 9)::VARCHAR || '/20' || (10 + doc_id % 15)::VARCHAR || ', art. 0' || (doc_id % 50)::VARCHAR) AS t FROM documents)
+    SELECT doc_id, replace(regexp_extract(t, 'lei\s+(?:complementar\s+)?(?:n[oº°.]*\s*)?(\d[\d.]*)', 1), '.', '') AS law, regexp_replace(regexp_extract(t, 'art(?:igo)?s?\.?\s*(\d+)', 1), '^0+(.)', '\1') AS article, strptime(regexp_extract(t, '(\d{2}/\d{2}/\d{4})', 1), '%d/%m/%Y')::DATE AS day FROM x"""
 )
 def law_references(spark, sf_dir):
-    """Law numbers, articles and dates out of sentences."""
+    """Law numbers, articles and dates out of whole texts that end with a reference."""
     i = F.col("doc_id")
-    t = F.concat(F.lit("Altera a Lei n. "), (8000 + i % 900).cast("string"), F.lit(" de 12/0"), (1 + i % 9).cast("string"), F.lit("/20"), (10 + i % 15).cast("string"), F.lit(", art. 0"), (i % 50).cast("string"))
+    t = F.concat("text", F.lit(" Altera a Lei n. "), (8000 + i % 900).cast("string"), F.lit(" de 12/0"), (1 + i % 9).cast("string"), F.lit("/20"), (10 + i % 15).cast("string"), F.lit(", art. 0"), (i % 50).cast("string"))
     d = table(spark, sf_dir, "documents").select("doc_id", t.alias("t"))
     return d.select("doc_id", F.get(text.law_numbers(F.col("t")), F.lit(0)).alias("law"), F.get(text.article_numbers(F.col("t")), F.lit(0)).alias("article"), text.brazilian_date(F.col("t")).alias("day"))
 
 
-@query("SELECT doc_id, 'Conforme a Súmula Vinculante ' || (doc_id % 50)::VARCHAR || ', o parágrafo único da Lei 8.' || (100 + doc_id % 900)::VARCHAR || '/1990 (' || lang || ').' AS body FROM documents")
+_ACCENTS = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in normaliser.ACCENTS.items()) + "}"
+
+
+@query(
+    f"""WITH t AS (SELECT doc_id, regexp_extract_all(regexp_replace(' ' || text, '[ \\t]{{2,}}', ' ', 'g'), '\\p{{L}}+|\\P{{L}}+') AS ts FROM documents),
+    a AS (SELECT doc_id, array_to_string(list_transform(ts, lambda t: CASE WHEN {_ACCENTS}[lower(t)] IS NULL THEN t WHEN t = upper(t) AND length(t) > 1 THEN upper({_ACCENTS}[lower(t)]) WHEN t[1] <> lower(t[1]) THEN upper({_ACCENTS}[lower(t)][1]) || {_ACCENTS}[lower(t)][2:] ELSE {_ACCENTS}[lower(t)] END), '') AS x FROM t)
+    SELECT doc_id, sha256('Conforme a Súmula Vinculante ' || (doc_id % 50)::VARCHAR || ' , o Parágrafo único da Lei 8.' || (100 + doc_id % 900)::VARCHAR || '/1990' || x) AS body_sha256 FROM a"""
+)
 def normalised_citations(spark, sf_dir):
-    """Citations, typography and law references brought to one form."""
+    """Whole texts after a sentence of citations, as case law: accents, citations and references."""
     i = F.col("doc_id")
-    raw = F.concat(F.lit("Conforme a Sumula  vinculante "), (i % 50).cast("string"), F.lit(" ,o Paragrafo unico da Lei n. 8."), (100 + i % 900).cast("string"), F.lit(", de 11 de dezembro de 1990 ( "), F.col("lang"), F.lit(" ).."))
-    return table(spark, sf_dir, "documents").select("doc_id", normaliser.normalised(raw).alias("body"))
+    raw = F.concat(F.lit("Conforme a Sumula  vinculante "), (i % 50).cast("string"), F.lit(" , o Paragrafo unico da Lei n. 8."), (100 + i % 900).cast("string"), F.lit(", de 11 de dezembro de 1990 "), F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(normaliser.normalised(raw, "juris"), 256).alias("body_sha256"))
 
 
 def _observations(spark, sf_dir) -> DataFrame:
@@ -287,10 +294,10 @@ def _observations(spark, sf_dir) -> DataFrame:
 @query()
 def permutation_test(spark, sf_dir):
     """How often shuffled outcomes reach the real skill."""
-    return inference.permutation(_observations(spark, sf_dir), 64)
+    return inference.permutation(_observations(spark, sf_dir))
 
 
 @query()
 def bootstrap_interval(spark, sf_dir):
     """Intervals of predicted probabilities, whole days redrawn."""
-    return inference.bootstrap(_observations(spark, sf_dir), 128)
+    return inference.bootstrap(_observations(spark, sf_dir))

@@ -57,3 +57,42 @@ def windowed(events: DataFrame, window: str = "10 minutes", late: str = "5 minut
         events = events.withWatermark("ts", late)
     g = events.groupBy(F.window("ts", window).alias("w"), "event_type")
     return g.agg(F.count("*").alias("n"), F.avg("value").alias("mean")).select(F.col("w.start").alias("start"), "event_type", "n", "mean")
+
+
+def compact(spark: SparkSession, state: str, path: str) -> None:
+    """Write the latest hash of each key to a new folder; readers move to it when it is complete."""
+    current(spark.read.parquet(state)).select("external_id", "content_hash", F.lit(-1).cast("long").alias("batch")).write.parquet(path)
+
+
+def resumed(todo: DataFrame, done: DataFrame, log: DataFrame, key: str, retry: bool = True) -> DataFrame:
+    """What is left to do: rows that are not done, and, with ``retry``, those too that the log
+    calls abandoned even where an output exists."""
+    abandoned = log.filter("status = 'abandoned'").select(key).distinct()
+    finished = done.select(key).distinct()
+    if retry:
+        finished = finished.join(abandoned, key, "left_anti")
+    return todo.join(finished, key, "left_anti")
+
+
+def until_idle(cycle, idle: int = 3, most: int = 1000) -> int:
+    """Run ``cycle()`` (which gives the number of rows it wrote) until so many cycles in a row wrote
+    none; the number of cycles."""
+    quiet = 0
+    for n in range(1, most + 1):
+        quiet = 0 if cycle() else quiet + 1
+        if quiet >= idle:
+            return n
+    return most
+
+
+def evolution(rows: DataFrame, cycle: int) -> DataFrame:
+    """One record of a cycle: how many rows of each type, with sorted names, as JSON."""
+    g = rows.groupBy("doc_type").agg(F.count("*").alias("n"))
+    pairs = F.array_sort(F.collect_list(F.struct(F.coalesce("doc_type", F.lit("")).alias("key"), F.col("n").alias("value"))))
+    return g.agg(F.to_json(F.map_from_entries(pairs)).alias("by_type"), F.coalesce(F.sum("n"), F.lit(0)).alias("total")).withColumn("cycle", F.lit(cycle))
+
+
+def outbox(sent: DataFrame, failed: DataFrame, pending: DataFrame, key: str) -> DataFrame:
+    """The outbox after a round: what waited, without what was sent, and with what failed; the
+    newest of equal keys stays."""
+    return merge.upsert(pending.join(sent.select(key), key, "left_anti"), failed, key)
