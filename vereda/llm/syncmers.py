@@ -5,9 +5,13 @@ is at its first or last place.  Whether a k-mer is one depends on the k-mer alon
 texts choose the same anchors wherever they agree, however far apart those places are.
 
 ``anchors`` gives the anchors with their positions; ``fingerprints`` keeps, in each of 128
-registers, eight bits of the smallest anchor hash that falls into it.  Likeness of two
-fingerprints estimates the Jaccard index of the anchor sets, corrected for chance
-agreement of eight bits.
+registers, eight bits of the smallest anchor hash that falls into it and eight bits of that
+anchor's position, in steps of 64 code points.  Two registers match if their hashes agree;
+matches are *positional*: each has a displacement, the difference of its two positions, and
+only those within one step of the displacement that most of them share count.  Likeness is
+their share of the used registers, corrected for chance agreement of eight bits: for texts
+that agree in place, or shifted as a whole, it estimates the Jaccard index of the anchor sets,
+and for texts with the same passages in another order it is lower.
 
 Defined cases: a null text counts as empty; an empty text has an all-zero fingerprint,
 likeness 1 to another empty text and 0 to any other; a text shorter than k is one anchor;
@@ -30,6 +34,8 @@ from .ordered import with_heads
 from .words import runs
 
 K, S, REGISTERS = 16, 8, 128
+#: Code points to a step of position.
+STEP = 64
 #: Code points that are hashed at once.
 SLICE_CHARS = 1 << 20
 
@@ -58,12 +64,14 @@ def _short(text: str) -> int:
 
 
 def fingerprints(texts: list[str], k: int = K, s: int = S) -> np.ndarray:
-    """One row of REGISTERS bytes for each text; 0 is an empty register."""
+    """A row for each text: REGISTERS bytes of hash (0 is an empty register) and as many of
+    position."""
     top = np.uint64(0xFFFFFFFFFFFFFFFF)
     low = np.full(len(texts) * REGISTERS, top)
 
-    def put(owner: np.ndarray, h: np.ndarray) -> None:
-        np.minimum.at(low, owner * REGISTERS + (h >> np.uint64(57)).astype(np.int64), h & np.uint64((1 << 57) - 1))
+    def put(owner: np.ndarray, h: np.ndarray, place: np.ndarray) -> None:
+        step = (place // STEP).astype(np.uint64) & np.uint64(255)
+        np.minimum.at(low, owner * REGISTERS + (h >> np.uint64(57)).astype(np.int64), (h & np.uint64((1 << 57) - 1)) & ~np.uint64(255) | step)
 
     at = 0
     while at < len(texts):
@@ -77,18 +85,24 @@ def fingerprints(texts: list[str], k: int = K, s: int = S) -> np.ndarray:
         place, h = syncmers(points, k, s)
         owner = np.searchsorted(edge, place, side="right") - 1
         good = place + k <= edge[owner + 1] if len(place) else np.zeros(0, bool)
-        put(owner[good] + at, h[good])
+        put(owner[good] + at, h[good], (place - edge[owner])[good])
         if short := [i for i in range(at, to) if 0 < len(texts[i]) < k]:
-            put(np.array(short), np.array([_short(texts[i]) for i in short], np.uint64))
+            put(np.array(short), np.array([_short(texts[i]) for i in short], np.uint64), np.zeros(len(short), np.int64))
         at = to
-    out = (low % np.uint64(255)).astype(np.uint8) + np.uint8(1)
-    out[low == top] = 0
-    return out.reshape(-1, REGISTERS)
+    print_ = ((low >> np.uint64(8)) % np.uint64(255)).astype(np.uint8) + np.uint8(1)
+    step = low.astype(np.uint8)
+    print_[low == top] = step[low == top] = 0
+    return np.concatenate((print_.reshape(-1, REGISTERS), step.reshape(-1, REGISTERS)), axis=1)
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    used = ((a > 0) | (b > 0)).sum(1)
-    same = ((a > 0) & (a == b)).sum(1)
+    """Of fingerprints row by row: the share of registers that match at the common displacement."""
+    one, two = a[:, :REGISTERS], b[:, :REGISTERS]
+    used = ((one > 0) | (two > 0)).sum(1)
+    row, at = np.nonzero((one > 0) & (one == two))
+    shift = a[row, REGISTERS + at] - b[row, REGISTERS + at]  # eight bits, which wrap
+    votes = np.bincount(row * 256 + shift.astype(np.int64), minlength=256 * len(a)).reshape(-1, 256)
+    same = (votes + np.roll(votes, 1, 1) + np.roll(votes, -1, 1)).max(1, initial=0)
     raw = same / np.maximum(used, 1)
     return np.where(used == 0, 1.0, np.clip((raw - 1 / 255) / (1 - 1 / 255), 0, 1))
 
