@@ -10,12 +10,15 @@ the best features say of their share in U, if that is less.  The features are th
 has much oftener than the non-toxic part of U would.
 
 Training reads at most ``positives`` toxic and ``unlabelled`` other documents, chosen by a
-hash of their ids; their ids are the only thing that is broadcast for it, and they are bounded
-by these two parameters.  Scoring reads whole texts.
+hash of their ids, and of each at most ``sample_chars`` characters (documented bounds); their ids
+are the only thing that is broadcast for it, and they are bounded by the first two.  Scoring
+reads whole texts; a long one is cut into overlapping pieces whose features unite.
 
 Defined cases: null and empty texts have no features and get the score of the bias alone;
 with no toxic label every score is 0; repeated labels of a document count as toxic if one
-is; null labels are skipped; repeated rows are each scored.
+is; null labels and null ids are not learnt from; of rows that share an id the smallest text is
+learnt from; repeated rows are each scored; other columns are kept, and those named score or
+predicted are replaced; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Lookup, slices, text_bytes
+from .common import SLICE_BYTES, Lookup, slices, text_bytes
 
 SIZES = (5, 6)
 _PLAIN = np.arange(256, dtype=np.uint8)
@@ -82,16 +85,30 @@ def features(texts: pa.Array, chosen: Chosen | None = None) -> tuple[np.ndarray,
     return owner[new], key[new].astype(np.int64)
 
 
+def present(texts: pa.Array, chosen: Chosen, most: int = SLICE_BYTES) -> tuple[np.ndarray, np.ndarray]:
+    """As ``features``, but a text of more than ``most`` bytes is worked on piece by piece."""
+    data, edge = text_bytes(texts)
+    if not len(texts) or int(np.diff(edge).max()) <= most:
+        return features(texts, chosen)
+    rows, found = [], []
+    for i, (a, z) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)):
+        own = [features(pa.array([data[at : min(at + most + SIZES[-1] - 1, z)].tobytes()], pa.binary()), chosen)[1] for at in range(a, z, most)]
+        if own:
+            found.append(np.unique(np.concatenate(own)))
+            rows.append(np.full(len(found[-1]), i))
+    return (np.concatenate(rows), np.concatenate(found)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
 @dataclass
 class Model:
     chosen: Chosen
     weight: np.ndarray
     bias: float
 
-    def scores(self, texts: pa.Array) -> np.ndarray:
+    def scores(self, texts: pa.Array, most: int = SLICE_BYTES) -> np.ndarray:
         logit = np.full(len(texts), self.bias)
         if len(self.weight):
-            row, feature = features(texts, self.chosen)
+            row, feature = present(texts, self.chosen, most)
             logit += np.bincount(row, self.weight[feature], len(texts))
         return 1 / (1 + np.exp(-np.clip(logit, -500, 500)))
 
@@ -118,7 +135,7 @@ def train(row: np.ndarray, feature: np.ndarray, positive: np.ndarray, n_features
     return weight, float(bias)
 
 
-def fit(docs: DataFrame, labels: DataFrame, training: Column, positives: int = 4000, unlabelled: int = 8000, n_features: int = 2048, min_gain: float = 18.0, min_ratio: float = 5.0) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, training: Column, positives: int = 4000, unlabelled: int = 8000, n_features: int = 2048, min_gain: float = 18.0, min_ratio: float = 5.0, sample_chars: int = 1 << 18) -> Model:
     """Learn from the documents and labels for which ``training`` (on doc_id) holds.
 
     ``min_gain`` is the log likelihood ratio that an n-gram needs: about the logarithm of
@@ -138,7 +155,8 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column, positives: int = 4
     other = base.filter(training & F.col("doc_id").isNotNull()).select("doc_id").distinct().orderBy(order, "doc_id").select("doc_id", F.lit(False).alias("positive")).limit(unlabelled)
     # at most positives + unlabelled ids: a bounded table
     ids = spark.createDataFrame(some.unionByName(other).collect(), "doc_id long, positive boolean")
-    sample = base.join(F.broadcast(ids), "doc_id").select("positive", "text").repartition(6)
+    sample = base.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "positive").agg(F.min(F.substring("text", 1, sample_chars)).alias("text"))
+    sample = sample.select("positive", "text").repartition(6)
 
     def frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
