@@ -127,9 +127,10 @@ def organised_fields(spark, sf_dir):
 def record_kinds(spark, sf_dir):
     """Whether a record is a question, a norm, or hints at a source."""
     rows = open_records(spark, sf_dir).select("doc_id", "rec", records.opened(F.col("rec")).alias("r"))
-    q, r = records.is_question(F.col("r")), F.col("r")
-    normative = ~q & ((F.length(F.coalesce(records.body(r), F.lit(""))) >= 20) | records.title(r).isNotNull())
-    return rows.select("doc_id", q.alias("question"), normative.alias("normative"), F.lower("rec").contains("cebraspe").alias("hinted"))
+    r = F.col("r")
+    rows = rows.select("doc_id", "rec", records.is_question(r).alias("question"), F.length(records.body(r)).alias("n"), records.title(r).alias("title"))
+    normative = ~F.col("question") & ((F.coalesce("n", F.lit(0)) >= 20) | F.col("title").isNotNull())
+    return rows.select("doc_id", "question", normative.alias("normative"), F.lower("rec").contains("cebraspe").alias("hinted"))
 
 
 _SHAPES = """s AS (SELECT conv_id, turn, role, text, CASE conv_id % 4 WHEN 0 THEN json_object('a', ' ' || role || ' ', 'b', text)::VARCHAR WHEN 1 THEN json_array(json_object('letra', 'a', 'texto', text), json_object('ordem', 2, 'descricao', role))::VARCHAR
@@ -278,9 +279,11 @@ def doc_pipeline(spark, sf_dir):
     squeezed, type and answer are inferred, and of equal texts the first document stays."""
     r = F.col("r")
     rows = open_records(spark, sf_dir).select("doc_id", records.opened(F.col("rec")).alias("r"))
-    body = F.trim(F.regexp_replace(records.body(r), _WS, " "))
-    flat = records.flat_meta(r)
-    rows = rows.select("doc_id", F.sha2(body, 256).alias("body_sha256"), F.length(body).cast("long").alias("chars"), records.title(r).alias("title"), text.document_type(F.coalesce(records.value(F.col("r.top"), "type"), F.lit("")), flat).alias("doc_type"), text.answer_letter(records.value(flat, "gabarito")).alias("letter"))
+    # step by step: what several columns use is a column of its own
+    rows = rows.select("doc_id", F.trim(F.regexp_replace(records.body(r), _WS, " ")).alias("body"), records.flat_meta(r).alias("flat"), records.title(r).alias("title"), F.coalesce(records.value(F.col("r.top"), "type"), F.lit("")).alias("kind"))
+    kind, flat = F.col("kind"), F.col("flat")
+    rows = rows.select("doc_id", F.sha2("body", 256).alias("body_sha256"), F.length("body").cast("long").alias("chars"), "title", text.document_type(kind, flat).alias("doc_type"), records.value(flat, "gabarito").alias("key"))
+    rows = rows.withColumn("letter", text.answer_letter(F.col("key")))
     first = F.min_by(F.struct("doc_id", "doc_type", "letter", "title"), "doc_id")
     g = rows.groupBy("body_sha256").agg(first.alias("x"), F.count("*").alias("copies"), F.max("chars").alias("chars"))
     return g.select("x.doc_id", "body_sha256", "copies", "x.doc_type", "x.letter", "x.title", "chars")

@@ -66,14 +66,14 @@ def page_routes(spark, sf_dir):
 
 
 @query(
-    """WITH t AS (SELECT event_id, event_type, value, (props->>'$.k')::INTEGER AS k FROM events), s AS (SELECT event_id, CASE event_type WHEN 'click' THEN -round(value, 2) WHEN 'view' THEN round(value, 2) WHEN 'purchase' THEN -round(value * 10, 1) / 1000 END AS v FROM t)
+    """WITH t AS (SELECT event_id, event_type, value, (props->>'$.k')::INTEGER AS k FROM events), s AS (SELECT event_id, CASE event_type WHEN 'click' THEN -round(value, 2) WHEN 'view' THEN round(value, 2) WHEN 'purchase' THEN -round(value) / 1000 END AS v FROM t)
     SELECT event_id, round_even(v, 3) AS change, CASE WHEN v IS NULL THEN 'unknown' WHEN round_even(v, 3) < -0.5 THEN 'strong draw' WHEN round_even(v, 3) < 0 THEN 'draw' WHEN round_even(v, 3) > 0.5 THEN 'strong build' WHEN round_even(v, 3) > 0 THEN 'build' ELSE 'flat' END AS reading FROM s"""
 )
 def stock_changes(spark, sf_dir):
     """Changes that sentences report, signed by their verbs."""
     number = lambda x, n: F.regexp_replace(F.format_number(x, n), ",", "")
     v = F.round("value", 2)
-    s = F.when(F.col("event_type") == "click", F.concat(F.lit("Stocks Decreased by "), number(v, 2), F.lit("million barrels."))).when(F.col("event_type") == "view", F.concat(F.lit("They rose by "), number(v, 2), F.lit(" million barrels"))).when(F.col("event_type") == "purchase", F.concat(F.lit("gasoline drew by "), number(F.round(F.col("value") * 10, 1), 1), F.lit(" thousand barrels"))).otherwise("no news")
+    s = F.when(F.col("event_type") == "click", F.concat(F.lit("Stocks Decreased by "), number(v, 2), F.lit("million barrels."))).when(F.col("event_type") == "view", F.concat(F.lit("They rose by "), number(v, 2), F.lit(" million barrels"))).when(F.col("event_type") == "purchase", F.concat(F.lit("gasoline drew by "), number(F.round("value", 0), 0), F.lit(" thousand barrels"))).otherwise("no news")
     change = parsing.change(s)
     return table(spark, sf_dir, "events").select("event_id", change.alias("change"), parsing.reading(change).alias("reading"))
 

@@ -158,13 +158,13 @@ def macro_panel(spark, sf_dir):
 
 @query(
     f"""WITH {BARS}, k AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS k FROM b)
-    SELECT symbol, array_to_string(list_transform(list(close ORDER BY ts), lambda x: printf('%.2f', x)), ',') AS spark, count(*) AS n FROM k WHERE k <= 30 GROUP BY symbol"""
+    SELECT symbol, array_to_string(list_transform(list(close ORDER BY ts), lambda x: floor(x * 100)::BIGINT::VARCHAR), ',') AS spark, count(*) AS n FROM k WHERE k <= 30 GROUP BY symbol"""
 )
 def spark_lines(spark, sf_dir):
-    """The last thirty closes of each series as one array."""
+    """The last thirty closes of each series, in cents, as one array."""
     w = Window.partitionBy("symbol").orderBy(F.desc("ts"))
     k = daily_bars(spark, sf_dir).withColumn("k", F.row_number().over(w)).filter("k <= 30")
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("ts", "close"))), lambda x: F.format_string("%.2f", x["close"]))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("ts", "close"))), lambda x: F.floor(x["close"] * 100).cast("string"))
     return k.groupBy("symbol").agg(F.array_join(ordered, ",").alias("spark"), F.count("*").alias("n"))
 
 
