@@ -11,36 +11,42 @@ The trees of all languages are merged: for each n-gram that any language has see
 cost under every language is worked out beforehand, so that a byte needs one look-up and not
 one for each language.
 
-Training reads at most about ``per_lang`` documents of each language, chosen by a hash of
-their ids (a documented bound: the model has a size that does not follow the corpus).  The
-set of language labels is taken to be small.
-
-Defined cases: null text or text without letters is ``und`` with score 0; with no training
-language every text is; equal costs go to the smaller name; repeated rows are each scored.
+Training reads about ``per_lang`` documents of each language, chosen by a hash of their ids
+and texts (equal rows once), and of each at most ``sample_bytes`` bytes (documented bounds: the model has a size that
+does not follow the corpus).  There may be up to MOST_LANGS languages; more raise an error.
+Prediction reads whole texts; a long one is cut into pieces whose costs are added.
+
+Defined cases: a letter is a character of Unicode's category L (numerals such as 12½ or Ⅷ are
+none); null text or text without letters is ``und`` with score 0; with no training
+language every text is; equal costs go to the smaller name; repeated rows are each scored; null
+ids take part like any other; other columns are kept, and those named lang_pred or score are
+replaced; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Lookup, slices
+from .common import SLICE_BYTES, Lookup, slices
 
 ORDER = 3
 PAD = b" " * ORDER
-LETTER = re.compile(r"[^\W\d_]")
+MOST_LANGS = 1024
+LETTER = regex.compile(r"\p{L}")
 _WIDE = np.uint64(256)
 
 
-def grams(texts: list[bytes]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Keys of the byte n-grams that end at each byte, by order; and each text's bounds."""
-    raw = np.frombuffer(PAD + PAD.join(texts), np.uint8)
+def grams(texts: list[bytes], before: list[bytes] | None = None) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Keys of the byte n-grams that end at each byte, by order; and each text's bounds.
+    ``before`` has the ORDER bytes that stand before each text."""
+    raw = np.frombuffer(b"".join([x for pair in zip(before, texts, strict=True) for x in pair]) if before else PAD + PAD.join(texts), np.uint8)
     size = np.array([len(t) for t in texts])
     end = np.cumsum(size + ORDER)
     keys = [raw.astype(np.uint64)]
@@ -85,9 +91,29 @@ class Model:
             below, find_below = cost, find
         return out
 
-    def costs(self, texts: list[bytes]) -> np.ndarray:
-        """Log likelihood of each text under each language."""
-        keys, start, end = grams(texts)
+    def costs(self, texts: list[bytes], most: int = SLICE_BYTES) -> np.ndarray:
+        """Log likelihood of each text under each language; texts are cut into pieces, and no
+        more than ``most`` bytes are worked on at once."""
+        out = np.zeros((len(texts), len(self.langs)))
+        some: list[bytes] = []
+        before: list[bytes] = []
+        owner: list[int] = []
+        have = 0
+        for i, t in enumerate(texts):
+            for a in range(0, max(len(t), 1), most):
+                some.append(t[a : a + most])
+                before.append(t[a - ORDER : a] if a else PAD)
+                owner.append(i)
+                have += len(some[-1])
+                if have >= most:
+                    np.add.at(out, owner, self._costs(some, before))
+                    some, before, owner, have = [], [], [], 0
+        if some:
+            np.add.at(out, owner, self._costs(some, before))
+        return out
+
+    def _costs(self, texts: list[bytes], before: list[bytes]) -> np.ndarray:
+        keys, start, end = grams(texts, before)
         total = np.zeros((len(keys[0]) + 1, len(self.langs)), np.float32)
         left = None  # the bytes not yet found in any longer context
         for k in range(ORDER, -1, -1):
@@ -110,16 +136,20 @@ class Model:
         return np.add.reduceat(total, bounds, axis=0, dtype=np.float64)[::2] * (end > start)[:, None]
 
 
-def fit(docs: DataFrame, training: Column, per_lang: int = 400) -> Model | None:
+def fit(docs: DataFrame, training: Column, per_lang: int = 400, sample_bytes: int = 1 << 17) -> Model | None:
     """Count n-grams of the sampled training rows in Spark and build the trees."""
     rows = docs.filter(training & F.col("lang").isNotNull())
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGS + 1).collect()}
+    if len(sizes) > MOST_LANGS:
+        raise ValueError(f"more than {MOST_LANGS} languages")
     if not sizes:
         return None
     langs = sorted(sizes)
     share = F.create_map(*[x for name in langs for x in (F.lit(name), F.lit(min(1.0, per_lang / sizes[name])))])
-    chance = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("ppm")), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    sample = rows.filter(chance < share[F.col("lang")]).select("lang", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
+    hashed = rows.select("lang", "text", F.xxhash64(F.col("doc_id").cast("string"), F.lit("ppm"), F.col("text")).alias("h"))
+    chosen = hashed.filter(F.pmod("h", F.lit(1 << 20)) / F.lit(float(1 << 20)) < share[F.col("lang")])
+    # equal rows are chosen alike, however many they are, and count once
+    sample = chosen.select("lang", "h", F.substring(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 1, sample_bytes).alias("text")).dropDuplicates(["lang", "h"]).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
