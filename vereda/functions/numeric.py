@@ -70,7 +70,7 @@ def flow_label(mfi: Column) -> Column:
 
 
 def candle(o: Column, h: Column, low: Column, c: Column) -> Column:
-    """Shape of one bar."""
+    """Shape of one bar; the shares of body and shadows and the names are fixed values."""
     size, body = h - low, F.abs(c - o)
     above, below, up = h - F.greatest(o, c), F.least(o, c) - low, c >= o
     return (

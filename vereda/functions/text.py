@@ -88,10 +88,14 @@ def brazilian_date(x: Column) -> Column:
     return F.try_to_date(F.regexp_extract(x, r"(\d{2}/\d{2}/\d{4})", 1), "dd/MM/yyyy")
 
 
+#: Fixed value: what counts as a token of a query.
+QUERY_TOKEN = r"[0-9a-záéíóúâêôãõç]{2,}"
+
+
 def tokens(query: str) -> list[str]:
     import re
 
-    return [t.lower() for t in re.findall(r"[0-9a-záéíóúâêôãõç]{2,}", query, re.I)]
+    return [t.lower() for t in re.findall(QUERY_TOKEN, query, re.I)]
 
 
 def containment_score(text: Column, query: str) -> Column:
@@ -121,7 +125,8 @@ def stem_key(statement: Column, options: Column) -> Column:
 
 
 def document_type(kind: Column, meta: Column) -> Column:
-    """Type from an explicit name, else from the fields of ``meta`` (map of strings), in order."""
+    """Type from an explicit name, else from the fields of ``meta`` (map of strings), in order.
+    The names of types, their needles and the fields' names are fixed values."""
     t = F.replace(F.lower(F.trim(kind)), F.lit(" "), F.lit("_"))
     has = lambda *names: reduce(lambda a, b: a | b, [F.coalesce(F.try_element_at(meta, F.lit(n)), F.lit("")) != "" for n in names])
     form = F.lower(F.coalesce(F.try_element_at(meta, F.lit("formato_questao")), F.try_element_at(meta, F.lit("tipo_questao"))))
