@@ -46,7 +46,7 @@ _IND = """i AS (SELECT s_suppkey, CASE WHEN s_suppkey % 7 <> 0 THEN s_acctbal /
         {_mean([(0.55, f"CASE WHEN roe IS NOT NULL THEN {_clip('(roe - 12) * 5')} END"), (0.45, _clip('(margem - 10) * 3'))])} AS qualidade, {_mean([(0.55, _clip('receita * 4')), (0.45, f"CASE WHEN lucro IS NOT NULL THEN {_clip('lucro * 3')} END")])} AS crescimento,
         CASE WHEN NOT bank THEN {_clip('(1.0 - div_pl / 100.0) * 70')} END AS saude FROM i),
     s AS (SELECT *, {_clip(_mean([(0.30, "valor"), (0.35, "qualidade"), (0.20, "crescimento"), (0.15, "saude")]))} AS score FROM p)
-    SELECT s_suppkey, round(valor, 6) AS valor, round(qualidade, 6) AS qualidade, round(crescimento, 6) AS crescimento, round(saude, 6) AS saude, round(score, 6) AS score, CASE WHEN score >= 45 THEN 'FORTE' WHEN score >= 15 THEN 'SÓLIDA' WHEN score > -15 THEN 'NEUTRA' WHEN score > -45 THEN 'ATENÇÃO' ELSE 'FRÁGIL' END AS tag FROM s"""
+    SELECT s_suppkey, round(valor, 4) AS valor, round(qualidade, 4) AS qualidade, round(crescimento, 4) AS crescimento, round(saude, 4) AS saude, round(score, 4) AS score, CASE WHEN score >= 45 THEN 'FORTE' WHEN score >= 15 THEN 'SÓLIDA' WHEN score > -15 THEN 'NEUTRA' WHEN score > -45 THEN 'ATENÇÃO' ELSE 'FRÁGIL' END AS tag FROM s"""
 )
 def fundamental_scores(spark, sf_dir):
     """Value, quality, growth and health of issuers, out of the indicators that are known."""
@@ -56,7 +56,7 @@ def fundamental_scores(spark, sf_dir):
         (b / 700).alias("margem"), (k % 31 - 15).cast("double").alias("receita"), F.when(k % 4 != 0, (k % 41 - 20).cast("double")).alias("lucro"), (k % 190).cast("double").alias("div_pl"), (F.col("s_nationkey") % 5 == 0).alias("bank"),
     )
     i = i.select("s_suppkey", numeric.fundamentals(*[F.col(c) for c in ("pl", "pvp", "ev_ebitda", "dy", "roe", "margem", "receita", "lucro", "div_pl", "bank")]).alias("f"))
-    return rounded(i.select("s_suppkey", "f.*"))
+    return rounded(i.select("s_suppkey", "f.*"), 4)
 
 
 @query(
