@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import impacts, language, minhash, mixing, ngrams, pieces, repeats, store, syncmers, toxicity
+from . import impacts, language, minhash, mixing, ngrams, pieces, repeats, store, syncmers, toxicity, variants
 from .common import crc_mod, table
 
 
@@ -67,6 +67,10 @@ def op10_toxicity_nnpu(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_syncmer_fingerprints": op1_syncmer_fingerprints,
     "op2_ppm_language_id": op2_ppm_language_id,
@@ -78,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_toxicity_nnpu": op10_toxicity_nnpu,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -113,4 +118,23 @@ ORACLE_SQL: dict[str, str] = {
         SELECT m.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.component_id, m.doc_id = m.component_id AS kept
         FROM m LEFT JOIN n ON n.doc_id = m.doc_id
     """,
+    "op13_spelling_variants": r"""
+        WITH RECURSIVE t AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) r(i))),
+        r AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+        k AS (SELECT doc_id, run, count(*) AS n FROM r WHERE length(run) >= 7 GROUP BY ALL),
+        b AS (SELECT run, n, flatten(list_transform(string_split(concat(doc_id, ':', run), ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [195, unicode(c)::BIGINT - 64] END)) AS bs FROM k),
+        h AS (SELECT run, n, xor(list_reduce(list_prepend(4294967295, bs), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS h FROM b, t),
+        m AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM h),
+        w AS (SELECT word, sum(n)::BIGINT AS n FROM m GROUP BY word HAVING length(word) >= 7 AND sum(n) >= 2),
+        d AS (SELECT word, n, unnest(generate_series(1, length(word))) AS i FROM w),
+        g AS (SELECT word, n, i, substr(word, 1, i - 1) AS head, substr(word, i + 1) AS tail FROM d),
+        e AS (SELECT a.word, b.word AS other, b.n AS other_n FROM g a JOIN g b ON a.i = b.i AND a.head = b.head AND a.tail = b.tail AND a.word <> b.word
+              UNION SELECT g.word, w.word, w.n FROM g JOIN w ON w.word = g.head || g.tail
+              UNION SELECT w.word, g.word, g.n FROM g JOIN w ON w.word = g.head || g.tail),
+        s AS (SELECT word, count(*) AS n_near, first(other ORDER BY other_n DESC, other) AS top, max(other_n) AS top_n FROM e GROUP BY word),
+        f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN top_n >= 10 * w.n THEN top END AS form, CASE WHEN top_n >= 10 * w.n THEN top_n END AS form_n FROM w LEFT JOIN s ON s.word = w.word),
+        c AS (SELECT word, word AS stop, 0 AS depth FROM f UNION ALL SELECT c.word, f.form, depth + 1 FROM c JOIN f ON f.word = c.stop WHERE f.form IS NOT NULL),
+        z AS (SELECT word, last(stop ORDER BY depth) AS root FROM c GROUP BY word)
+        SELECT f.word, form, root, n, n_near, form_n FROM f JOIN z ON z.word = f.word
+    """,
 }
