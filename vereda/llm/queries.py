@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import impacts, language, minhash, mixing, ngrams, pieces, repeats, store, syncmers, toxicity, variants
+from . import alignment, impacts, language, minhash, mixing, ngrams, pieces, repeats, store, syncmers, toxicity, variants
 from .common import crc_mod, table
 
 
@@ -67,6 +67,13 @@ def op10_toxicity_nnpu(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str, tokenizer: str | None = None, model: str | None = None) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return alignment.align_tokenizers(docs, tokenizer or public_tokenizers.path("byte_bpe_50k.json"), model or public_tokenizers.path("piece_bpe_32k.model"))[0]
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.spelling_variants(table(spark, sf_dir, "documents"))
 
@@ -82,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_toxicity_nnpu": op10_toxicity_nnpu,
+    "op11_tokenizer_alignment": op11_tokenizer_alignment,
     "op13_spelling_variants": op13_spelling_variants,
 }
 
