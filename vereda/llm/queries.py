@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, impacts, language, minhash, mixing, ngrams, pieces, repeats, store, syncmers, toxicity, variants
+from . import alignment, impacts, language, lattice, minhash, mixing, ngrams, pieces, repeats, store, syncmers, toxicity, variants
 from .common import crc_mod, table
 
 
@@ -74,6 +74,10 @@ def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str, tokenizer: str |
     return alignment.align_tokenizers(docs, tokenizer or public_tokenizers.path("byte_bpe_50k.json"), model or public_tokenizers.path("piece_bpe_32k.model"))[0]
 
 
+def op12_lattice_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_embeddings(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.spelling_variants(table(spark, sf_dir, "documents"))
 
@@ -90,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sentencepiece": op9_sentencepiece,
     "op10_toxicity_nnpu": op10_toxicity_nnpu,
     "op11_tokenizer_alignment": op11_tokenizer_alignment,
+    "op12_lattice_near_dedup": op12_lattice_near_dedup,
     "op13_spelling_variants": op13_spelling_variants,
 }
 
@@ -145,4 +150,13 @@ ORACLE_SQL: dict[str, str] = {
         z AS (SELECT word, last(stop ORDER BY depth) AS root FROM c GROUP BY word)
         SELECT f.word, form, root, n, n_near, form_n FROM f JOIN z ON z.word = f.word
     """,
+    "op12_lattice_near_dedup": """
+        WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings WHERE embedding IS NOT NULL),
+        u AS (SELECT vec_id, x, sqrt(list_dot_product(x, x)) AS s FROM v),
+        e AS (SELECT a.vec_id AS u, b.vec_id AS v FROM u a JOIN u b ON a.vec_id <> b.vec_id WHERE list_dot_product(a.x, b.x) >= 0.9 * a.s * b.s),
+        r AS (SELECT vec_id AS u, vec_id AS v FROM embeddings UNION SELECT r.u, e.v FROM r JOIN e ON e.u = r.v),
+        m AS (SELECT u AS vec_id, min(v) AS component_id FROM r GROUP BY u),
+        n AS (SELECT u AS vec_id, count(*) AS n FROM e GROUP BY u)
+        SELECT m.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, m.component_id, m.vec_id = m.component_id AS kept FROM m LEFT JOIN n ON n.vec_id = m.vec_id
+    """,
 }
