@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 def checkpoint_dir(spark: SparkSession) -> None:
     """Have a folder for checkpoints: the one that the cluster names, and in a local session that
     names none a temporary one."""
-    if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
+    if spark.sparkContext.getCheckpointDir():
+        return
+    if named := spark.conf.get("spark.checkpoint.dir", None):
+        spark.sparkContext.setCheckpointDir(named)  # a session's setting doesn't reach the context by itself
         return
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
