@@ -109,7 +109,13 @@ def test_harvest(spark):
     got = harvest.questions(spark.createDataFrame(rows, "k int, p string"), "k", "p").collect()
     assert sorted((r.k, r.kind, r.wrong) for r in got) == [(1, "discursive", None), (1, "objective", False)]
     assert harvest.questions(spark.createDataFrame(rows, "k int, p string"), "k", "p", wrong_only=True).count() == 0
-    assert len(list(harvest.objects('{"a":' * 900 + "1" + "}" * 900, most=50))) == 50
+    assert len(harvest.objects('{"a":' * 900 + "1" + "}" * 900)) == 900 and harvest.objects("[" * 10**6) == []
+
+
+def test_harvest_walks_all_of_a_long_payload(spark):
+    one = {"statement_html": "Q", "options": [{"label": "a", "text": "x"}, {"label": "b", "text": "y"}], "gabarito": "b"}
+    got = harvest.questions(spark.createDataFrame([(1, json.dumps([{"q": one}] * 3000))], "k int, p string"), "k", "p")
+    assert got.filter("kind = 'objective' and answer = 'b'").count() == 3000
 
 
 def test_identities(spark):

@@ -124,6 +124,23 @@ def test_sequential_allocation_covers_units(spark):
     assert day == {0: 5, 1: 5, 2: 5, 3: 9}
 
 
+def test_matching_equals_the_greedy_rule(spark):
+    rng = np.random.default_rng(8)
+    for n, specs in ((60, 6), (200, 25)):
+        fits = [(int(i), int(s)) for i in range(n) for s in set(rng.integers(0, specs, rng.integers(0, 6)))]
+        take = {s: int(rng.integers(0, 6)) for s in range(specs)}
+        prio = {s: int(k) for s, k in enumerate(rng.permutation(specs))}
+        df = spark.createDataFrame([*fits, fits[0], (None, 1)], "item int, spec int")
+        places = spark.createDataFrame([(s, prio[s], take[s]) for s in range(specs)], "spec int, prio int, take int")
+        used, want = set(), set()
+        for s in sorted(range(specs), key=prio.get):
+            mine = sorted(i for i, t in fits if t == s and i not in used)[: take[s]]
+            used |= set(mine)
+            want |= {(i, s, k + 1) for k, i in enumerate(mine)}
+        assert {tuple(r) for r in allocation.matched(df, "item", places).collect()} == want
+    assert allocation.matched(df.limit(0), "item", places).count() == 0
+
+
 def test_json_lines_lineage(spark, tmp_path):
     raw = b'# note\n{"id": "a", "v": 1}\r\n\nnot json\n[1]\n{"id": "b"}'
     (tmp_path / "x.jsonl").write_bytes(raw)

@@ -248,7 +248,7 @@ def merged_enrichment(spark, sf_dir):
 
 
 @query(
-    """WITH q AS (SELECT doc_id, text FROM documents WHERE lang IN ('en', 'de') UNION ALL SELECT doc_id, reverse(text) AS text FROM documents WHERE lang = 'de'), d AS (SELECT doc_id, text FROM documents WHERE lang = 'fr')
+    """WITH q AS (SELECT doc_id, text FROM documents WHERE lang IS NULL OR lang <> 'fr' UNION ALL SELECT doc_id, reverse(text) AS text FROM documents WHERE lang = 'de'), d AS (SELECT doc_id, text FROM documents WHERE lang = 'fr')
     SELECT doc_id, 'objective' AS kind, count(*) AS found, sum(length(trim(text)))::BIGINT AS chars FROM q WHERE length(trim(text)) > 0 GROUP BY doc_id
     UNION ALL SELECT doc_id, 'discursive' AS kind, 1 AS found, length(trim(text)) AS chars FROM d WHERE length(trim(text)) >= 15"""
 )
@@ -262,7 +262,7 @@ def harvest_rows(spark, sf_dir):
         F.when(F.col("lang") == "en", F.to_json(F.struct(F.struct(one(F.col("text")).alias("item")).alias("data"))))
         .when(F.col("lang") == "de", F.to_json(F.struct(F.array(F.struct(one(F.col("text")).alias("q")), F.struct(one(F.reverse("text")).alias("q"))).alias("items"))))
         .when(F.col("lang") == "fr", F.to_json(F.array(free)))
-        .otherwise("[1, {broken")
+        .otherwise(F.to_json(F.array(F.struct(F.array(F.struct(F.lit(1).alias("n"), F.struct(F.col("text").alias("statement_html"), options.alias("options"), F.lit("a").alias("gabarito")).alias("q"))).alias("list")))))
     )
     rows = harvest.questions(d.select("doc_id", payload.alias("payload")), "doc_id", "payload")
     return rows.groupBy("doc_id", "kind").agg(F.count("*").alias("found"), F.sum(F.length("statement")).alias("chars"))

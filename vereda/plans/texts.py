@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import numeric, parsing, records
-from ..operators import catalogue
+from ..operators import allocation, catalogue
 from .common import rounded, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -157,17 +157,27 @@ def joined_quotes(spark, sf_dir):
     return p.select("p_partkey", F.when(F.date_diff(F.lit(now), "d") <= 45, F.col("d")).alias("recent"), F.round("price", 2).alias("price"), "n", "disc")
 
 
-@query(
-    """WITH s AS (SELECT * FROM (VALUES (1, 'PROMO', 3), (2, 'SMALL', 2), (3, 'STANDARD', 4)) v(prio, needle, take)), m AS (SELECT p_partkey, min(prio) AS prio FROM part JOIN s ON contains(upper(p_type), needle) GROUP BY 1), r AS (SELECT m.p_partkey, m.prio, row_number() OVER (PARTITION BY m.prio ORDER BY m.p_partkey) AS k FROM m)
-    SELECT r.p_partkey, r.prio::INTEGER AS prio, k::INTEGER AS place FROM r JOIN s ON s.prio = r.prio WHERE k <= take"""
-)
+#: Specifications by priority: what fits, and how many are taken.
+_SPECS = [("p_type = 'PROMO'", 3), ("p_size <= 10", 5), ("p_type IN ('PROMO', 'SMALL')", 4), ("p_size <= 20 AND p_type <> 'LARGE'", 6)]
+
+
+def _greedy() -> str:
+    """One specification after the other, each from what is left."""
+    steps, taken = [], []
+    for i, (fits, take) in enumerate(_SPECS, 1):
+        left = "".join(f" AND p_partkey NOT IN (SELECT p_partkey FROM s{j})" for j in taken)
+        steps.append(f"s{i} AS (SELECT p_partkey, {i} AS spec, (row_number() OVER (ORDER BY p_partkey))::INTEGER AS place FROM part WHERE {fits}{left} QUALIFY place <= {take})")
+        taken.append(i)
+    return "WITH " + ", ".join(steps) + " " + " UNION ALL ".join(f"SELECT p_partkey, spec, place FROM s{i}" for i in taken)
+
+
+@query(_greedy())
 def spec_matches(spark, sf_dir):
-    """Specifications against documents without reuse: each document goes to the first that fits."""
-    specs = [(1, "PROMO", 3), (2, "SMALL", 2), (3, "STANDARD", 4)]
-    fits = F.array_compact(F.array(*[F.when(F.upper("p_type").contains(n), F.struct(F.lit(p).alias("prio"), F.lit(t).alias("take"))) for p, n, t in specs]))
-    m = table(spark, sf_dir, "part").select("p_partkey", F.inline(F.slice(fits, 1, 1)))
-    w = Window.partitionBy("prio").orderBy("p_partkey")
-    return m.withColumn("place", F.row_number().over(w)).filter("place <= take").select("p_partkey", "prio", "place")
+    """Specifications against documents without reuse; what a full one turns away goes to its
+    second choice."""
+    specs = spark.createDataFrame([(i, i, take) for i, (_, take) in enumerate(_SPECS, 1)], "spec int, prio int, take int")
+    fits = F.array_compact(F.array(*[F.when(F.expr(e), F.lit(i)) for i, (e, _) in enumerate(_SPECS, 1)]))
+    return allocation.matched(table(spark, sf_dir, "part").select("p_partkey", F.explode(fits).alias("spec")), "p_partkey", specs)
 
 
 @query(

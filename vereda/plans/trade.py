@@ -287,10 +287,11 @@ def last_good_values(spark, sf_dir):
 def slot_plan(spark, sf_dir):
     """Every day with every place, the day's figures, and whether the place has its slot then."""
     d = table(spark, sf_dir, "events").groupBy(F.to_date("ts").alias("day")).agg(F.sum(F.when(F.col("event_type") == "purchase", 1)).alias("sold"))
-    n = table(spark, sf_dir, "nation").select("n_name", "n_nationkey")
-    # twenty-five places: a stated list, each dealt to every day by an exploded array
-    places = F.array(*[F.struct(F.lit(r["n_name"]).alias("n_name"), F.lit(r["n_nationkey"]).alias("k")) for r in n.limit(1000).collect()])
-    return d.select("day", "sold", F.inline(places)).select("day", "n_name", "sold", (F.col("k") % 7 == F.weekday("day")).alias("slotted"))
+    # each place is dealt to every day between the first and the last; days without events drop out
+    span = d.agg(F.min("day").alias("a"), F.max("day").alias("z"))
+    n = table(spark, sf_dir, "nation").select("n_name", F.col("n_nationkey").alias("k"))
+    n = n.join(F.broadcast(span)).select("n_name", "k", F.explode(F.sequence("a", "z")).alias("day"))  # one row
+    return d.join(n, "day").select("day", "n_name", "sold", (F.col("k") % 7 == F.weekday("day")).alias("slotted"))
 
 
 @query(
