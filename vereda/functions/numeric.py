@@ -105,6 +105,23 @@ def black_scholes(call: Column, spot: Column, strike: Column, years: Column, rat
     return F.when(live, price).otherwise(F.greatest(F.lit(0.0), F.when(call, spot - strike).otherwise(strike - spot)))
 
 
+def implied_volatility(call: Column, premium: Column, spot: Column, strike: Column, years: Column, rate: Column, most: float = 5.0, steps: int = 60) -> Column:
+    """The volatility at which the option is worth ``premium``, by bisection inside one expression
+    (a price rises with volatility); null where none up to ``most`` is, or an argument is not
+    positive."""
+    least = F.lit(1e-6)
+
+    def step(s: Column, _: Column) -> Column:
+        mid = (s["low"] + s["high"]) / 2
+        rise = black_scholes(call, spot, strike, years, rate, mid) < premium
+        return F.struct(F.when(rise, mid).otherwise(s["low"]).alias("low"), F.when(rise, s["high"]).otherwise(mid).alias("high"))
+
+    start = F.struct(least.alias("low"), F.lit(most).alias("high"))
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step, lambda s: (s["low"] + s["high"]) / 2)
+    inside = (black_scholes(call, spot, strike, years, rate, least) <= premium) & (black_scholes(call, spot, strike, years, rate, F.lit(most)) >= premium)
+    return F.when((premium > 0) & (years > 0) & (spot > 0) & (strike > 0) & inside, found)
+
+
 def implied_spot(call: Column, premium: Column, strike: Column, years: Column, rate: Column, sigma: Column, steps: int = 80) -> Column:
     """The spot at which the option is worth ``premium``, by bisection inside one expression;
     null where no spot between 0.01 and ten strikes is, or an argument is not positive."""
