@@ -27,8 +27,8 @@ def test_top_lists_in_one_scan(spark):
         for name, n, order in (("most", 5, lambda r: (-r[2], r[0])), ("least", 3, lambda r: (r[2], r[0]))):
             assert [got[g, name, p + 1][0] for p in range(n)] == [r[0] for r in sorted(mine, key=order)[:n]] and (g, name, n + 1) not in got
         assert [got[g, "some", p + 1][0] for p in range(5)] == [r[0] for r in sorted((r for r in mine if r[2] > 10), key=lambda r: (-r[3], r[0]))[:5]]
-    plan = found._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Scan ") == 1 and "WindowGroupLimit" in plan  # cut before the shuffle
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") == 1 and "WindowGroupLimit" in plan  # cut before the shuffle
     assert top_lists(df.limit(0), "k", lists).count() == 0
 
 
