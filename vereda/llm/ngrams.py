@@ -16,9 +16,11 @@ All n-grams are kept, from a count of 1, and counted in Spark: tasks combine the
 and deal them by hash to buckets, whose merged counts stay on the executors.  The number of
 buckets follows the bytes of text, so that a bucket holds the n-grams of BUCKET_BYTES at most
 however large the corpus is.  The filter is
-cut likewise: a bucket fills its own filter, in parts of at most ``bits`` bits, one after
-another, so the number of parts grows with the n-grams and no part is broadcast.  Probes go
-to the filter: the distinct words of each batch of texts meet the unigrams of their
+cut likewise: where a bucket is merged it fills its filter once, in parts of at most ``bits``
+bits, and these are what is stored; the counts and keys of bigrams are dropped there, so that
+scoring has nothing but the filter to read them from.  (A filter of all n-grams of a large corpus
+has no size that could be broadcast: the number of parts grows with the n-grams.)  Probes go
+to the stored parts: the distinct words of each batch of texts meet the unigrams of their
 bucket and go back with their levels, and then the batch's bigrams, with the levels of both
 words, meet the bigrams of their bucket and go back as one sum for each text of the batch.
 Bigrams of a word that has level 0 were not seen and are not asked for.
@@ -148,26 +150,24 @@ def _counted(t: pa.Table, keys: type, counts: type) -> tuple[np.ndarray, np.ndar
     return tuple(np.concatenate([np.zeros(0, k), *(unpack(x, k) for x in t.column(c).to_pylist())]) for c, k in (("keys", keys), ("counts", counts)))
 
 
-def _merge(t: pa.Table) -> pa.Table:
-    out: dict[str, list] = {"bucket": [], "kind": [], "keys": [], "counts": [], "tokens": [], "types": [], "single": []}
+def _merge(t: pa.Table, bits: int) -> pa.Table:
+    """A bucket's n-grams: its filters, the exact counts of words, and sums."""
+    out: dict[str, list] = {c: [] for c in ("bucket", "kind", "keys", "counts", "parts", "filter", "tokens", "types", "single")}
     kinds = t.column("kind").to_numpy()
     for kind in (UNI, BI):
         rows = np.flatnonzero(kinds == kind)
         take = t.take(pa.array(rows))
         keys, n = _merged(*_counted(take, np.uint64 if kind == UNI else np.uint32, np.uint32))
-        total = int(n.sum())
-        out["bucket"].append(t.column("bucket")[0].as_py())
-        out["kind"].append(kind)
-        out["keys"].append(pack(keys))
-        out["counts"].append(pack(n.astype(np.int64) if kind == UNI else level_of(n, kind).astype(np.uint8)))
-        out["tokens"].append(total)
-        out["types"].append(len(keys))
-        out["single"].append(int((n == 1).sum()))
-    kind = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
-    return pa.table({c: pa.array(v, k) for (c, v), k in zip(out.items(), kind, strict=True)})
+        parts, held = filled(keys, level_of(n, kind), kind, bits)
+        exact = kind == UNI  # the base score needs them
+        cells = {"bucket": t.column("bucket")[0].as_py(), "kind": kind, "keys": pack(keys) if exact else None, "counts": pack(n.astype(np.int64)) if exact else None, "parts": parts, "filter": held, "tokens": int(n.sum()), "types": len(keys), "single": int((n == 1).sum())}
+        for c, v in cells.items():
+            out[c].append(v)
+    types = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+    return pa.table({c: pa.array(v, k) for (c, v), k in zip(out.items(), types, strict=True)})
 
 
-_MERGED = _COUNTS + ", tokens long, types long, single long"
+_MERGED = "bucket int, kind int, keys binary, counts binary, parts int, filter binary, tokens long, types long, single long"
 
 
 class Filter:
@@ -201,28 +201,45 @@ class Filter:
         return out
 
 
-def read_back(keys: np.ndarray, levels: np.ndarray, kind: int, probes: np.ndarray, bits: int) -> np.ndarray:
-    """The levels that a filter of a bucket's keys has for the probes, part after part."""
+def filled(keys: np.ndarray, levels: np.ndarray, kind: int, bits: int) -> tuple[int, bytes]:
+    """The filter of a bucket's keys, in equal parts of at most ``bits`` bits: their number, and
+    their bits one after the other."""
     need = int(levels.sum()) * WIDTH
     parts = max(1, -(-need // (bits // 8 * 8)))
     size = max(1 << 12, -(-need // parts // 8) * 8)
-    own, asked = (mix(x.astype(np.uint64) * _A) for x in (keys, probes))
-    own_part, asked_part = bucket_of(own, parts), bucket_of(asked, parts)
-    out = np.zeros(len(probes), np.int64)
+    own = mix(keys.astype(np.uint64) * _A)
+    part_of, out = bucket_of(own, parts), []
     for part in range(parts):
-        mine, at = own_part == part, np.flatnonzero(asked_part == part)
-        if not mine.any() or not len(at):
-            continue
+        mine = part_of == part
         f = Filter(1, size, False)
         ident, level, held = f.ident(own[mine], 1), levels[mine], np.zeros(size, bool)
-        for k in range(1, int(level.max()) + 1):
+        for k in range(1, int(level.max(initial=0)) + 1):
             for place in f.places(ident[level >= k], k, kind):
                 held[place.astype(np.int64)] = True
-        f.bytes = np.packbits(held, bitorder="little")
-        out[at] = f.level(asked[at], kind, 1)
+        out.append(np.packbits(held, bitorder="little").tobytes())
+    return parts, b"".join(out)
+
+
+def probed(parts: int, held: bytes, kind: int, probes: np.ndarray) -> np.ndarray:
+    """The levels that a stored filter has for the probes."""
+    asked = mix(probes.astype(np.uint64) * _A)
+    part_of, out = bucket_of(asked, parts), np.zeros(len(probes), np.int64)
+    width = len(held) // parts
+    for part in range(parts):
+        if len(at := np.flatnonzero(part_of == part)):
+            f = Filter(1, 8 * width, False)
+            f.bytes = np.frombuffer(held, np.uint8, width, part * width)
+            out[at] = f.level(asked[at], kind, 1)
     return out
 
 
+def _stored(t: pa.Table, kind: int, probes: np.ndarray) -> np.ndarray:
+    """The same from the one row that a bucket has, or has not."""
+    if not t.num_rows:
+        return np.zeros(len(probes), np.int64)
+    return probed(t.column("parts")[0].as_py(), t.column("filter")[0].as_py(), kind, probes)
+
+
 @dataclass
 class Model:
     tokens: int
@@ -235,7 +252,7 @@ class Model:
 
 
 def fit(docs: DataFrame, training: Column, bits: int = BITS, hot: int = HOT) -> tuple[Model, DataFrame]:
-    """Count and merge; the frequent words, and the merged counts by bucket."""
+    """Count and merge; the frequent words, and by bucket the filters and the words' counts."""
     size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     buckets = max(8, partitions(docs.sparkSession), -(-size // BUCKET_BYTES))
 
@@ -259,7 +276,7 @@ def fit(docs: DataFrame, training: Column, bits: int = BITS, hot: int = HOT) ->
             yield from hand_on()
 
     counted = docs.filter(training).select("text").mapInArrow(count, _COUNTS)
-    merged = settle(counted.groupBy("bucket").applyInArrow(_merge, _MERGED), "ngrams")
+    merged = settle(counted.groupBy("bucket").applyInArrow(lambda t: _merge(t, bits), _MERGED), "ngrams")
     sums = {r["kind"]: r for r in merged.groupBy("kind").agg(*[F.sum(c).alias(c) for c in ("tokens", "types", "single")]).collect()}
     count_of = lambda kind, what: int(sums[kind][what] or 0) if kind in sums else 0
     share = 1 - count_of(BI, "single") / max(1, count_of(BI, "tokens"))
@@ -269,10 +286,10 @@ def fit(docs: DataFrame, training: Column, bits: int = BITS, hot: int = HOT) ->
             for i in range(b.num_rows):
                 keys, n = (unpack(b.column(c)[i].as_py(), k) for c, k in (("keys", np.uint64), ("counts", np.int64)))
                 top = np.argsort(-n, kind="stable")[: 4 * hot // buckets + 64]
-                level = read_back(keys, level_of(n, UNI), UNI, keys[top], bits)
+                level = probed(b.column("parts")[i].as_py(), b.column("filter")[i].as_py(), UNI, keys[top])
                 yield pa.record_batch({"h": keys[top].view(np.int64), "n": n[top], "level": level})
 
-    top = merged.filter(F.col("kind") == UNI).select("keys", "counts").mapInArrow(frequent, "h long, n long, level long").orderBy(F.desc("n"), "h").limit(hot).toPandas()
+    top = merged.filter(F.col("kind") == UNI).select("keys", "counts", "parts", "filter").mapInArrow(frequent, "h long, n long, level long").orderBy(F.desc("n"), "h").limit(hot).toPandas()
     columns = top["h"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64), top["level"].to_numpy(np.int64)
     model = Model(count_of(UNI, "tokens"), count_of(UNI, "types"), *columns, buckets, min(max(share, 0.05), 0.95))
     return model, merged
@@ -350,7 +367,7 @@ def scores(docs: DataFrame, training: Column, share: float | None = SHARE, bits:
         if len(keys):
             at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
             count = np.where(keys[at] == h, n[at], 0)
-        level = read_back(keys, level_of(n, UNI), UNI, h, bits).astype(np.uint8)
+        level = _stored(counts, UNI, h).astype(np.uint8)
         edge = np.cumsum([0, *(len(x[0]) for _, _, x in rows)])
         return pa.Table.from_batches([_row(f, 0, [x[0], count[a:z], level[a:z]]) for (f, _, x), a, z in zip(rows, edge, edge[1:], strict=False)])
 
@@ -388,13 +405,12 @@ def scores(docs: DataFrame, training: Column, share: float | None = SHARE, bits:
             out.append(_row(flush, b, [(own >> np.uint64(14)).astype(np.uint32), *two, times, text[a:z]]))
         return pa.Table.from_batches(out)
 
-    def pairs_met(counts: pa.Table, asked: pa.Table) -> pa.Table:
+    def pairs_met(filters: pa.Table, asked: pa.Table) -> pa.Table:
         """The sums of the bigrams' log probabilities for each text."""
-        keys, levels = _counted(counts, np.uint32, np.uint8)
         rows = list(_cells(asked, (np.uint32, np.uint8, np.uint8, np.uint32, np.uint32)))
         if not rows:
             return _EMPTY
-        found = values(BI)[read_back(keys, levels, BI, np.concatenate([x[0] for _, _, x in rows]), bits)]
+        found = values(BI)[_stored(filters, BI, np.concatenate([x[0] for _, _, x in rows]))]
         edge = np.cumsum([0, *(len(x[0]) for _, _, x in rows)])
         out = []
         for (flush, _, (_, before, after, times, text)), a, z in zip(rows, edge, edge[1:], strict=False):
@@ -417,8 +433,8 @@ def scores(docs: DataFrame, training: Column, share: float | None = SHARE, bits:
 
     def met(rows: DataFrame, kind: int, f) -> DataFrame:
         """Rows of the flushes themselves, and what their other rows find in the buckets."""
-        counts = merged.filter(F.col("kind") == kind).select("bucket", "keys", "counts")
-        found = counts.groupBy("bucket").cogroup(rows.filter("bucket >= 0").groupBy("bucket")).applyInArrow(f, _SCORED)
+        stored = merged.filter(F.col("kind") == kind).select("bucket", "parts", "filter", *(["keys", "counts"] if kind == UNI else []))
+        found = stored.groupBy("bucket").cogroup(rows.filter("bucket >= 0").groupBy("bucket")).applyInArrow(f, _SCORED)
         return rows.filter("bucket < 0").unionByName(found)
 
     first = settle(base.mapInArrow(ask, _SCORED), "words")
