@@ -16,8 +16,9 @@ in blocks.  Each pair of a batch and a block gives k rows for each query at most
 Defined cases: null vectors, vectors with null or non-finite components and null ids take no
 part; shorter vectors are padded with zeros; of repeated ids the smallest vector counts; fewer
 candidates than k give all; an empty table gives an empty result.
-Components are to be below 2**26 after scaling in vectors of up to 64 components, so that
-scores are exact; vectors of more than 65536 components raise an error.
+Components keep 64 bits.  Scores that floating point may round are given a slack that covers it,
+before the integer rescoring.  Vectors of more than 65536 components, and vectors so large that
+a score might not fit into 64 bits, raise an error.
 """
 
 from __future__ import annotations
@@ -82,12 +83,12 @@ def postings(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def packed(row: np.ndarray, dim: np.ndarray, value: np.ndarray) -> bytes:
-    return row.astype(np.uint16).tobytes() + dim.astype(np.uint16).tobytes() + value.astype(np.int32).tobytes()
+    return row.astype(np.uint16).tobytes() + dim.astype(np.uint16).tobytes() + value.astype(np.int64).tobytes()
 
 
 def unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    n = len(blob) // 8
-    return tuple(np.frombuffer(blob, kind, n, at * n).astype(np.int64) for kind, at in ((np.uint16, 0), (np.uint16, 2), (np.int32, 4)))
+    n = len(blob) // 12
+    return tuple(np.frombuffer(blob, kind, n, at * n).astype(np.int64) for kind, at in ((np.uint16, 0), (np.uint16, 2), (np.int64, 4)))
 
 
 def search(ids: np.ndarray, index: tuple[np.ndarray, np.ndarray, np.ndarray], width: int, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -95,7 +96,11 @@ def search(ids: np.ndarray, index: tuple[np.ndarray, np.ndarray, np.ndarray], wi
     row, dim, value = index
     level = impact(value)
     top = int(np.abs(queries).max(initial=0)) * int(np.abs(value).max(initial=0)) * width
+    if top >= 1 << 63:
+        raise ValueError("a score may not fit into 64 bits")
     kind = np.float32 if top < 1 << 24 else np.float64
+    # what sums of rounded products may be off by: nothing while all of them are exact
+    blur = 0.0 if top < 1 << 53 else 2.0 * (width + 2) * 2.0**-53 * top
     active = np.arange(len(queries))  # queries that have not stopped
     q = queries.T.astype(kind)
     score = np.zeros((len(ids), len(queries)), kind)
@@ -112,7 +117,7 @@ def search(ids: np.ndarray, index: tuple[np.ndarray, np.ndarray, np.ndarray], wi
             continue
         # a segment ends here
         rest -= np.bincount(row[level == level[a]], value[level == level[a]].astype(np.float64) ** 2, len(ids))
-        slack = np.sqrt(np.maximum(rest, 0))[:, None] * length[None, active] + 1e-3
+        slack = np.sqrt(np.maximum(rest, 0))[:, None] * length[None, active] + 1e-3 + blur
         low = np.where(own, -np.inf, score - slack)
         bar = np.partition(low, len(ids) - k, axis=0)[len(ids) - k]
         possible = ~own & (score + slack >= bar)
@@ -123,11 +128,11 @@ def search(ids: np.ndarray, index: tuple[np.ndarray, np.ndarray, np.ndarray], wi
             active, score, own, q = active[~done], score[:, ~done], own[:, ~done], q[:, ~done]
             if not len(active):
                 break
-    if len(active):  # no early stop: the scores are exact
+    if len(active):  # no early stop: the scores are exact, but for the blur
         exact = np.where(own, -np.inf, score)
         good = ~own
         if len(ids) > k:
-            good &= exact >= np.partition(exact, len(ids) - k, axis=0)[len(ids) - k]
+            good &= exact >= np.partition(exact, len(ids) - k, axis=0)[len(ids) - k] - 2 * blur
         rows, qs = np.nonzero(good)
         found.append((active[qs], rows))
     qs, rows = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
