@@ -12,8 +12,10 @@ cost under every language is worked out beforehand, so that a byte needs one loo
 one for each language.
 
 Training reads about ``per_lang`` documents of each language, chosen by a hash of their ids
-and texts (equal rows once), and of each at most ``sample_bytes`` bytes (documented bounds: the model has a size that
-does not follow the corpus).  There may be up to MOST_LANGS languages; more raise an error.
+and texts (equal rows once).  In the order of that hash, a language's texts are taken, each
+whole, until they come to its share of ``sample_bytes`` bytes, the last of them included
+(documented bounds: the model has a size that does not follow the corpus).  There may be up
+to MOST_LANGS languages; more raise an error.  A language without any text to learn from is none.
 Prediction reads whole texts; a long one is cut into pieces whose costs are added.
 
 Defined cases: a letter is a character of Unicode's category L (numerals such as 12½ or Ⅷ are
@@ -31,7 +33,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import SLICE_BYTES, Lookup, slices
@@ -136,9 +138,9 @@ class Model:
         return np.add.reduceat(total, bounds, axis=0, dtype=np.float64)[::2] * (end > start)[:, None]
 
 
-def fit(docs: DataFrame, training: Column, per_lang: int = 400, sample_bytes: int = 1 << 17) -> Model | None:
+def fit(docs: DataFrame, training: Column, per_lang: int = 400, sample_bytes: int = 1 << 25) -> Model | None:
     """Count n-grams of the sampled training rows in Spark and build the trees."""
-    rows = docs.filter(training & F.col("lang").isNotNull())
+    rows = docs.filter(training & F.col("lang").isNotNull() & (F.length("text") > 0))
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGS + 1).collect()}
     if len(sizes) > MOST_LANGS:
         raise ValueError(f"more than {MOST_LANGS} languages")
@@ -149,7 +151,10 @@ def fit(docs: DataFrame, training: Column, per_lang: int = 400, sample_bytes: in
     hashed = rows.select("lang", "text", F.xxhash64(F.col("doc_id").cast("string"), F.lit("ppm"), F.col("text")).alias("h"))
     chosen = hashed.filter(F.pmod("h", F.lit(1 << 20)) / F.lit(float(1 << 20)) < share[F.col("lang")])
     # equal rows are chosen alike, however many they are, and count once
-    sample = chosen.select("lang", "h", F.substring(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 1, sample_bytes).alias("text")).dropDuplicates(["lang", "h"]).select("lang", "text")
+    sample = chosen.select("lang", "h", F.col("text").cast("binary").alias("text")).dropDuplicates(["lang", "h"])
+    before = Window.partitionBy("lang").orderBy("h").rowsBetween(Window.unboundedPreceding, -1)  # some per_lang rows
+    taken = F.coalesce(F.sum(F.octet_length("text")).over(before), F.lit(0))
+    sample = sample.withColumn("taken", taken).filter(F.col("taken") < max(1, sample_bytes // len(langs))).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -167,6 +172,7 @@ def fit(docs: DataFrame, training: Column, per_lang: int = 400, sample_bytes: in
     counted = sample.mapInArrow(count, "lang string, k int, key long, n long").groupBy("lang", "k", "key").agg(F.sum("n").alias("n")).toPandas()
     if counted.empty:
         return None
+    langs = sorted(set(counted["lang"]))
     place = {name: i for i, name in enumerate(langs)}
     return Model.build(langs, counted["lang"].map(place).to_numpy(), counted["k"].to_numpy(), counted["key"].to_numpy().astype(np.uint64), counted["n"].to_numpy())
 
