@@ -320,3 +320,36 @@ def test_pipeline_run(spark, sf_dir):
     sure = {i for i in cut if drawn(i) < chance[i] - 1e-4}
     assert sure <= set(got) <= {i for i in cut if drawn(i) < chance[i] + 1e-4}
     assert all(got[i] == sp.encode(cut[i]) for i in got) and len(got) > 20
+
+
+def test_large_components_keep_their_values(spark):
+    """Scores beyond what 32 bits and what a double hold exactly."""
+    rng = random.Random(31)
+    for scale in (1_000_000_000 / 64, 2.0**22 + 0.5):
+        rows = [(i, [float(rng.randint(-99, 99)) / 100 * scale for _ in range(4)]) for i in range(60)] + [(60, [scale] * 4), (61, [scale] * 3 + [scale + 1 / 64])]
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        whole = {i: [math.floor(64 * x) for x in v] for i, v in rows}
+        got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in impacts.top_k(df, F.col("vec_id") % 20 == 0, 5).collect()}
+        for q in (0, 20, 40, 60):
+            want = sorted((-sum(a * b for a, b in zip(whole[q], v, strict=True)), i) for i, v in whole.items() if i != q)[:5]
+            assert [got[q, k + 1] for k in range(5)] == [(i, -s) for s, i in want]
+    wide = spark.createDataFrame([(0, [1 / 64]), (1, [3e9 / 64]), (2, [2e9 / 64]), (3, [-3e9 / 64])], "vec_id long, embedding array<double>")
+    assert [(r.vec_id, r.score) for r in impacts.top_k(wide, F.col("vec_id") == 0).orderBy("rank").collect()] == [(1, 3_000_000_000), (2, 2_000_000_000), (3, -3_000_000_000)]
+    huge = spark.createDataFrame([(0, [3_000_000_000.0] * 4), (1, [3_000_000_000.0] * 4)], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="64 bits"):
+        impacts.top_k(huge, F.lit(True)).collect()
+
+
+def test_what_stands_late_in_a_long_text_is_learnt(spark):
+    """Samples are bounded in rows and bytes; the texts in them are read whole."""
+    late = "filler " * 50000
+    docs = spark.createDataFrame([(i, late + ("zxqj vbnk " * 200 if i % 2 else "meme noodle " * 200), "aa" if i % 2 else "bb") for i in range(8)] + [(20, None, "cc"), (21, "", "cc")], "doc_id long, text string, lang string")
+    model = language.fit(docs, F.lit(True))
+    assert model.langs == ["aa", "bb"]  # no text, no language
+    new = spark.createDataFrame([(1, "zxqj vbnk zxqj"), (2, "noodle meme"), (3, "Жук")], "doc_id long, text string")
+    got = {r.doc_id: r.lang_pred for r in language.predict(new, model).collect()}
+    assert got[1] == "aa" and got[2] == "bb" and got[3] in ("aa", "bb")
+    bad = spark.createDataFrame([(i, late + ("grobnik " * 20 if i < 40 else ""), 0) for i in range(120)], "doc_id long, text string, n int")
+    marks = spark.createDataFrame([(i, int(i < 40)) for i in range(120)], "doc_id long, toxic int")
+    found = toxicity.score(bad, toxicity.fit(bad, marks, F.lit(True))).select("doc_id", "predicted").collect()
+    assert {r.doc_id for r in found if r.predicted} == set(range(40))

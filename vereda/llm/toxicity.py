@@ -10,9 +10,9 @@ the best features say of their share in U, if that is less.  The features are th
 has much oftener than the non-toxic part of U would.
 
 Training reads at most ``positives`` toxic and ``unlabelled`` other documents, chosen by a
-hash of their ids, and of each at most ``sample_chars`` characters (documented bounds); their ids
-are the only thing that is broadcast for it, and they are bounded by the first two.  Scoring
-reads whole texts; a long one is cut into overlapping pieces whose features unite.
+hash of their ids (documented bounds), and each of them whole; their ids are the only thing that
+is broadcast for it.  Training and scoring cut a long text into overlapping pieces whose
+features unite.
 
 Defined cases: null and empty texts have no features and get the score of the bias alone;
 with no toxic label every score is 0; repeated labels of a document count as toxic if one
@@ -85,7 +85,7 @@ def features(texts: pa.Array, chosen: Chosen | None = None) -> tuple[np.ndarray,
     return owner[new], key[new].astype(np.int64)
 
 
-def present(texts: pa.Array, chosen: Chosen, most: int = SLICE_BYTES) -> tuple[np.ndarray, np.ndarray]:
+def present(texts: pa.Array, chosen: Chosen | None, most: int = SLICE_BYTES) -> tuple[np.ndarray, np.ndarray]:
     """As ``features``, but a text of more than ``most`` bytes is worked on piece by piece."""
     data, edge = text_bytes(texts)
     if not len(texts) or int(np.diff(edge).max()) <= most:
@@ -135,7 +135,7 @@ def train(row: np.ndarray, feature: np.ndarray, positive: np.ndarray, n_features
     return weight, float(bias)
 
 
-def fit(docs: DataFrame, labels: DataFrame, training: Column, positives: int = 4000, unlabelled: int = 8000, n_features: int = 2048, min_gain: float = 18.0, min_ratio: float = 5.0, sample_chars: int = 1 << 18) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, training: Column, positives: int = 4000, unlabelled: int = 8000, n_features: int = 2048, min_gain: float = 18.0, min_ratio: float = 5.0) -> Model:
     """Learn from the documents and labels for which ``training`` (on doc_id) holds.
 
     ``min_gain`` is the log likelihood ratio that an n-gram needs: about the logarithm of
@@ -155,12 +155,12 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column, positives: int = 4
     other = base.filter(training & F.col("doc_id").isNotNull()).select("doc_id").distinct().orderBy(order, "doc_id").select("doc_id", F.lit(False).alias("positive")).limit(unlabelled)
     # at most positives + unlabelled ids: a bounded table
     ids = spark.createDataFrame(some.unionByName(other).collect(), "doc_id long, positive boolean")
-    sample = base.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "positive").agg(F.min(F.substring("text", 1, sample_chars)).alias("text"))
+    sample = base.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "positive").agg(F.min("text").alias("text"))
     sample = sample.select("positive", "text").repartition(6)
 
     def frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            row, key = features(b.column("text"))
+            row, key = present(b.column("text"), None)
             mark = b.column("positive").to_numpy(zero_copy_only=False)[row]
             for side in (True, False):
                 value, n = np.unique(key[mark == side], return_counts=True)
@@ -191,7 +191,7 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column, positives: int = 4
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            row, feature = features(b.column("text"), shared.value)
+            row, feature = present(b.column("text"), shared.value)
             cut = np.split(feature.astype(np.int32), np.searchsorted(row, np.arange(1, b.num_rows)))
             yield pa.record_batch({"positive": b.column("positive"), "feature": pa.array(cut, pa.list_(pa.int32()))})
 
