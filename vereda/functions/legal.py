@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import sections
 from .text import folded
 
 # Kinds of acts (as read, without accents → as kept → as shown).
@@ -30,25 +33,37 @@ def paragraphs(body: Column) -> Column:
     return F.filter(F.transform(F.split(body, r"\n[ \t]*\n"), F.trim), lambda p: p != "")
 
 
-def kind_of(paragraph: Column) -> Column:
-    out = F.lit("texto")
-    for kind, pattern in reversed(_KINDS):
-        out = F.when(paragraph.rlike(pattern), kind).otherwise(out)
-    return out
-
-
 def structure(body: Column) -> Column:
     """(kind, text) of a statute's blocks; text that follows an article belongs to it."""
-    start = F.array().cast("array<struct<kind:string,text:string>>")
+    classes = [(name, re.compile(pattern.replace("(?iu)", "(?i)"))) for name, pattern in _KINDS]
+
+    def cut(text: str | None) -> list[dict] | None:
+        found = sections.blocks(text, classes, "texto", {"artigo"})
+        return None if found is None else [{"kind": k, "text": t} for k, t in found]
+
+    return sections.each(body, cut, "array<struct<kind:string,text:string>>")
+
+
+#: What a line of a summary's page begins with that is not its statement.
+_NO_STATEMENT = r"(?iu)^(STF|STJ|TST|TSE|Súmula|Sumula|Julgamento|Publicação|Conversação|Olá|SV\s+[0-9])"
+
 
-    def add(blocks: Column, p: Column) -> Column:
-        last = F.try_element_at(blocks, F.lit(-1))
-        joins = (kind_of(p) == "texto") & (last["kind"] == "artigo")
-        joined = F.struct(last["kind"].alias("kind"), F.concat(last["text"], F.lit("\n"), p).alias("text"))
-        longer = F.concat(F.slice(blocks, 1, F.greatest(F.size(blocks) - 1, F.lit(0))), F.array(joined))
-        return F.when(F.coalesce(joins, F.lit(False)), longer).otherwise(F.concat(blocks, F.array(F.struct(kind_of(p).alias("kind"), p.alias("text")))))
+def summary_page(text: Column, url: Column) -> Column:
+    """A case-law summary's page as fields: number, court, binding, judged, published, statement.
 
-    return F.aggregate(paragraphs(body), start, add)
+    The statement is the first line of twelve characters after the dates that is neither a heading
+    nor a dash; without one, the last line that is not blank."""
+    u = F.lower(F.coalesce(url, F.lit("")))
+    found = lambda p, g=1: F.nullif(F.trim(F.regexp_extract(text, p, g)), F.lit(""))
+    number = F.coalesce(found(r"(?iu)s[úu]mula\s+vinculante\s+(\d+)"), found(r"(?iu)s[úu]mula\s+(\d+)"))
+    court = F.when(u.contains("stj"), "STJ").when(u.contains("tst"), "TST").when(u.contains("tse"), "TSE").otherwise("STF")
+    binding = u.contains("vinculante") | text.rlike(r"(?iu)s[úu]mula\s+vinculante")
+    after = F.element_at(F.split(text, r"(?iu)publica[cç][aã]o:[^\n]+\n"), -1)
+    lines = F.filter(F.transform(F.split(after, "\n"), F.trim), lambda s: s != "")
+    good = F.filter(lines, lambda s: (F.length(s) >= 12) & ~s.rlike(_NO_STATEMENT))
+    plain = F.filter(good, lambda s: ~s.rlike(r"^[—–-]\s"))
+    statement = F.coalesce(F.get(plain, F.lit(0)), F.get(good, F.lit(0)), F.try_element_at(lines, F.lit(-1)))
+    return F.struct(number.cast("int").alias("number"), court.alias("court"), binding.alias("binding"), found(r"(?iu)julgamento:\s*([^\n]+)").alias("judged"), found(r"(?iu)publica[cç][aã]o:\s*([^\n]+)").alias("published"), statement.alias("statement"))
 
 
 def article(body: Column, number: Column) -> Column:

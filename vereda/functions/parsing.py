@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import sections
 from .text import folded
 
 #: Fixed value: characters of a page.
@@ -21,16 +22,7 @@ FNV_START, FNV_FACTOR = 2166136261, 16777619
 def pages(x: Column, size: int = PAGE) -> Column:
     """Lines packed into pages of at most ``size`` characters; a text of up to 1.2 pages stays whole,
     and so does a line that is longer than a page."""
-    lines = F.filter(F.transform(F.split(x, "\n"), F.trim), lambda s: s != "")
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
-
-    def add(state: Column, line: Column) -> Column:
-        full = (F.length(state["open"]) + F.length(line) + 1 > size) & (state["open"] != "")
-        done = F.when(full, F.concat(state["done"], F.array(state["open"]))).otherwise(state["done"])
-        return F.struct(done.alias("done"), F.when(full | (state["open"] == ""), F.concat(line, F.lit("\n"))).otherwise(F.concat(state["open"], line, F.lit("\n"))).alias("open"))
-
-    packed = F.aggregate(lines, start, add, lambda s: F.when(s["open"] == "", s["done"]).otherwise(F.concat(s["done"], F.array(s["open"]))))
-    return F.when(F.length(x) <= F.lit(size * 1.2), F.array(x)).otherwise(F.transform(packed, lambda p: F.regexp_replace(p, r"\n$", "")))
+    return sections.each(x, lambda t: sections.pages(t, size), "array<string>")
 
 
 def court(url: Column) -> Column:
