@@ -5,11 +5,12 @@ import datetime
 import difflib
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from vereda.functions import numeric, similar
-from vereda.operators import asof
+from vereda.operators import asof, orderstats
 from vereda.operators.toplists import TopList, top_lists
 from vereda.plans import rankings
 
@@ -77,3 +78,23 @@ def test_implied_volatility_finds_the_price_again(spark):
         assert r.found is not None or r.p <= 1e-6 or r.p < max(0, r.s - r.k, r.k - r.s) + 1e-3
     wrong = spark.createDataFrame([(True, -1.0), (True, 0.0), (True, 1e9), (True, None)], "c boolean, p double")
     assert [r[0] for r in wrong.select(numeric.implied_volatility(F.col("c"), F.col("p"), F.lit(100.0), F.lit(100.0), F.lit(1.0), F.lit(0.1))).collect()] == [None] * 4
+
+
+@pytest.mark.parametrize("stretch", [4096, 7])
+def test_rolling_order_equals_sorting_each_window(spark, monkeypatch, stretch):
+    monkeypatch.setattr(orderstats, "STRETCH", stretch)
+    rng = random.Random(5)
+    rows = [(s, t, rng.choice([None, float("nan"), *[float(rng.randrange(30)) for _ in range(40)]])) for s in "ab" for t in range(150)]
+    df = spark.createDataFrame(rows + [("c", 0, 1.0)], "symbol string, ts int, v double")
+    got = {(r.symbol, r.ts): r for r in orderstats.rolling_order(df.withColumn("rank", F.lit("old")), "v", 10, {"q10": 0.1, "q75": 0.75}).collect()}
+    assert len(got) == len(rows) + 1
+    for s in "ab":
+        mine = [v for k, _, v in rows if k == s]
+        for t in range(150):
+            window = mine[max(0, t - 9) : t + 1]
+            r = got[s, t]
+            if len(window) < 10 or any(v is None or v != v for v in window):
+                assert r["rank"] is None and r.q10 is None
+            else:
+                assert r["rank"] == pytest.approx(sum(v <= mine[t] for v in window) / 10)
+                assert (r.q10, r.q75) == pytest.approx((np.quantile(window, 0.1), np.quantile(window, 0.75)))

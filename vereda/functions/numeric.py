@@ -27,6 +27,15 @@ def technical_score(price: Column, sma50: Column, sma200: Column, rsi: Column, m
     return clip(stack + momentum + swing + F.when(stretch > 30, -15.0).otherwise(0.0))
 
 
+def index_score(price: Column, sma20: Column, sma50: Column, sma200: Column, month: Column, rsi: Column, mfi: Column) -> Column:
+    """An index's stack of averages, its place over the short one, momentum, oscillator extremes and
+    money flow, within ±100; what is not known adds nothing."""
+    stack = F.when((price > sma50) & (sma50 > sma200), 40.0).when((price < sma50) & (sma50 < sma200), -40.0).when(price > sma200, 15.0).otherwise(-15.0)
+    place = F.when(price > sma20, 18.0).otherwise(-18.0)
+    swing = F.when(rsi > 72, -12.0).when(rsi < 28, 12.0).otherwise(0.0)
+    return clip(stack + place + clip(F.coalesce(month, F.lit(0.0)) * 3, -18, 18) + swing + F.when(mfi.isNotNull(), clip((mfi - 50) * 0.5, -12, 12)).otherwise(0.0))
+
+
 def trend_label(score: Column) -> Column:
     return F.when(score >= 30, "ALTA").when(score <= -30, "BAIXA").otherwise("NEUTRO")
 

@@ -9,12 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import numeric, similar
-from ..operators import asof, views
+from ..operators import asof, orderstats, series, views
 from ..operators.identity import top_of_each
 from ..operators.ordered import checkpoint_dir, running
 from ..operators.toplists import TopList, top_lists
 from . import market
-from .common import rounded, table
+from .common import BARS, daily_bars, rolled, rounded, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -149,3 +149,68 @@ def title_suspects(spark, sf_dir):
     p = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1).alias("title"), first.alias("line"))
     p = p.withColumn("likeness", F.round(similar.likeness(F.col("title"), F.col("line")), 6))
     return running(p, ["likeness", "page_id"], out="place").select("page_id", "title", "line", "likeness", "place")
+
+
+@query(
+    f"""WITH {BARS}, w AS (SELECT symbol, ts, close, count(*) OVER f AS n, quantile_cont(close, 0.8) OVER f AS q80, quantile_cont(close, 0.25) OVER f AS q25, list(close) OVER f AS xs FROM b WINDOW f AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 59 PRECEDING AND CURRENT ROW))
+    SELECT symbol, ts, CASE WHEN n = 60 THEN round(len(list_filter(xs, lambda x: x <= close)) / 60.0, 6)::DOUBLE END AS rank, CASE WHEN n = 60 THEN round(q80, 6) END AS q80, CASE WHEN n = 60 THEN round(q25, 6) END AS q25 FROM w"""
+)
+def rolling_ranks(spark, sf_dir):
+    """The place of each close among its last sixty, and their quantiles."""
+    found = orderstats.rolling_order(daily_bars(spark, sf_dir).select("symbol", "ts", "close"), "close", 60, {"q80": 0.8, "q25": 0.25})
+    return rounded(found.select("symbol", "ts", "rank", "q80", "q25"))
+
+
+@query(
+    f"""WITH {BARS}, f AS (SELECT symbol, ts, close, row_number() {market.W} AS i, avg(close) OVER s AS m60, stddev_pop(close) OVER s AS d60, close / lag(close, 5) {market.W} - 1 AS m5, close / lag(close, 20) {market.W} - 1 AS m20, max(close) OVER y AS hi, min(close) OVER y AS lo,
+            {rolled("avg", "close", 50)} AS sma50, {rolled("avg", "close", 200)} AS sma200, quantile_cont(volume, 0.9) OVER s AS v90, count(*) OVER s AS n60, volume FROM b
+        WINDOW s AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 59 PRECEDING AND CURRENT ROW), y AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 251 PRECEDING AND CURRENT ROW)),
+    z AS (SELECT *, round((close - m60) / (d60 + 1e-9), 6) AS z FROM f WHERE i >= 30),
+    l AS (SELECT symbol, ts, list_filter([CASE WHEN z > 2 THEN 'anomaly above' WHEN z < -2 THEN 'anomaly below' END, CASE WHEN m5 > 0.03 AND m20 > 0.05 THEN 'momentum up' WHEN m5 < -0.03 AND m20 < -0.05 THEN 'momentum down' END,
+        CASE WHEN n60 = 60 AND volume > v90 THEN 'volume above percentile 90' END, CASE WHEN i >= 120 THEN CASE WHEN close >= hi * 0.99 THEN 'year high' WHEN close <= lo * 1.01 THEN 'year low' END END,
+        CASE WHEN close > sma50 AND sma50 > sma200 THEN 'above averages' WHEN close < sma50 AND sma50 < sma200 THEN 'below averages' END], lambda x: x IS NOT NULL) AS ls FROM z)
+    SELECT symbol, ts, array_to_string(ls[1:4], '; ') AS labels FROM l WHERE len(ls) > 0"""
+)
+def series_patterns(spark, sf_dir):
+    """The patterns of every bar, the first four that hold: anomaly, momentum, volume beyond its
+    percentile, extremes of the year, and the stack of averages."""
+    c, s = F.col("close"), series.series()
+    last = lambda f, n: f.over(s.rowsBetween(1 - n, 0))
+    f = daily_bars(spark, sf_dir).select(
+        "symbol", "ts", "close", "volume", F.row_number().over(s).alias("i"), last(F.avg(c), 60).alias("m60"), last(F.stddev_pop(c), 60).alias("d60"), series.change(c, 5).alias("m5"), series.change(c, 20).alias("m20"),
+        last(F.max(c), 252).alias("hi"), last(F.min(c), 252).alias("lo"), series.rolling(F.avg, c, 50).alias("sma50"), series.rolling(F.avg, c, 200).alias("sma200"),
+    )
+    f = orderstats.rolling_order(f, "volume", 60, {"v90": 0.9}).filter("i >= 30")
+    z = F.round((c - F.col("m60")) / (F.col("d60") + 1e-9), 6)
+    labels = F.array_compact(
+        F.array(
+            F.when(z > 2, "anomaly above").when(z < -2, "anomaly below"),
+            F.when((F.col("m5") > 0.03) & (F.col("m20") > 0.05), "momentum up").when((F.col("m5") < -0.03) & (F.col("m20") < -0.05), "momentum down"),
+            F.when(F.col("volume") > F.col("v90"), "volume above percentile 90"),
+            F.when(F.col("i") >= 120, F.when(c >= F.col("hi") * 0.99, "year high").when(c <= F.col("lo") * 1.01, "year low")),
+            F.when((c > F.col("sma50")) & (F.col("sma50") > F.col("sma200")), "above averages").when((c < F.col("sma50")) & (F.col("sma50") < F.col("sma200")), "below averages"),
+        )
+    )
+    return f.select("symbol", "ts", F.array_join(F.slice(labels, 1, 4), "; ").alias("labels")).filter("labels <> ''")
+
+
+@query(
+    f"""WITH {BARS}, g AS (SELECT symbol, ts, close - lag(close) {market.W} AS dd FROM b), n AS (SELECT symbol, ts, greatest(dd, 0) AS up, greatest(-dd, 0) AS down, row_number() {market.W} - 1 AS i FROM g WHERE dd IS NOT NULL),
+    {market._ema_sql("up", "(1.0/14)", "au", "n", "e1")}, {market._ema_sql("down", "(1.0/14)", "ad", "e1", "e2")},
+    o AS (SELECT symbol, ts, CASE WHEN ad = 0 THEN CASE WHEN au = 0 THEN NULL ELSE 100 END ELSE 100 - 100 / (1 + au / ad) END AS rsi FROM e2),
+    t AS (SELECT *, (high + low + close) / 3 AS tp FROM b), r AS (SELECT *, coalesce(tp > lag(tp) {market.W}, false) AS rose FROM t), q AS (SELECT *, CASE WHEN rose THEN tp * volume ELSE 0 END AS fi, CASE WHEN rose THEN 0 ELSE tp * volume END AS fo FROM r),
+    m AS (SELECT symbol, ts, close, row_number() {market.W} AS i, {rolled("sum", "fi", 14)} AS si, {rolled("sum", "fo", 14)} AS so, {rolled("avg", "close", 20)} AS sma20, {rolled("avg", "close", 50)} AS sma50, avg(close) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 199 PRECEDING AND CURRENT ROW) AS sma200,
+        round((close / lag(close, 21) {market.W} - 1) * 100, 6) AS month FROM q),
+    s AS (SELECT m.symbol, m.ts, CASE WHEN close > sma50 AND sma50 > sma200 THEN 40 WHEN close < sma50 AND sma50 < sma200 THEN -40 WHEN close > sma200 THEN 15 ELSE -15 END + CASE WHEN close > sma20 THEN 18 ELSE -18 END + least(greatest(coalesce(month, 0) * 3, -18), 18)
+        + CASE WHEN rsi > 72 THEN -12 WHEN rsi < 28 THEN 12 ELSE 0 END + CASE WHEN so > 0 THEN least(greatest((100 - 100 / (1 + si / so) - 50) * 0.5, -12), 12) ELSE 0 END AS score FROM m LEFT JOIN o ON o.symbol = m.symbol AND o.ts = m.ts WHERE i >= 60),
+    k AS (SELECT symbol, ts, round(least(greatest(score, -100), 100), 4) AS score FROM s)
+    SELECT symbol, ts, score::DOUBLE AS score, CASE WHEN score >= 30 THEN 'up' WHEN score <= -30 THEN 'down' ELSE 'neutral' END AS regime FROM k"""
+)
+def index_regime(spark, sf_dir):
+    """Score and regime of an index on every day: averages, momentum, oscillator and money flow."""
+    c, s = F.col("close"), series.series()
+    f = series.rsi(series.mfi(daily_bars(spark, sf_dir)))
+    f = f.withColumns({"i": F.row_number().over(s), "sma20": series.rolling(F.avg, c, 20), "sma50": series.rolling(F.avg, c, 50), "sma200": F.avg(c).over(s.rowsBetween(-199, 0)), "month": F.round(series.change(c, 21) * 100, 6)})
+    score = numeric.index_score(c, F.col("sma20"), F.col("sma50"), F.col("sma200"), F.col("month"), F.col("rsi"), F.col("mfi"))
+    k = f.filter("i >= 60").select("symbol", "ts", F.round(score, 4).alias("score"))
+    return k.withColumn("regime", F.when(F.col("score") >= 30, "up").when(F.col("score") <= -30, "down").otherwise("neutral"))
