@@ -218,3 +218,16 @@ def test_aligned_series(spark):
     a = spark.createDataFrame([(d(1, 1), 1.0), (d(3, 1), 3.0)], "d date, a double")
     b = spark.createDataFrame([(d(2, 1), 2.0), (d(3, 1), None)], "d date, b double")
     assert [tuple(r) for r in series.aligned(a, b, "d", ["a", "b"]).orderBy("d").collect()] == [(d(1, 1), 1.0, None), (d(2, 1), 1.0, 2.0), (d(3, 1), 3.0, 2.0)]
+
+
+def test_fundamentals_of_unknown_issuers(spark):
+    from vereda.functions import numeric
+
+    df = spark.createDataFrame([(None,) * 9 + (False,), (8.0, 1.0, 5.0, 6.0, 20.0, 15.0, 10.0, 10.0, 50.0, False), (None, None, None, None, 14.84, None, None, None, None, True)], ", ".join(f"c{i} double" for i in range(9)) + ", bank boolean")
+    got = [r.f for r in df.select(numeric.fundamentals(*[F.col(c) for c in df.columns]).alias("f")).collect()]
+    assert (got[0].score, got[0].tag) == (0.0, "NEUTRA") and got[1].tag == "SÓLIDA"
+    assert (got[2].score, got[2].tag) == (14.0, "NEUTRA")  # 14.2 is 14: the tag goes by the whole number
+    fund = spark.createDataFrame([(0.9, 0.1), (1.5, 5.0), (None, None), (0.0, None)], "p double, d double")
+    found = [r.f for r in fund.select(numeric.real_estate(F.col("p"), F.col("d")).alias("f")).collect()]
+    assert found[0].valor == pytest.approx(0.55 * 10.5 + 0.45 * 60) and found[0].qualidade == pytest.approx(12) and found[0].tag == "SÓLIDA"
+    assert found[1].qualidade == pytest.approx(0.6 * -24 + 0.4 * 10) and found[2].score == 0 and found[2].valor is None and found[3].qualidade == 0

@@ -154,17 +154,35 @@ def place_in_range(x: Column, low: Column, high: Column) -> Column:
 
 
 def fundamentals(pl: Column, pvp: Column, ev_ebitda: Column, dy: Column, roe: Column, margin: Column, revenue: Column, profit: Column, debt: Column, bank: Column) -> Column:
-    """(valor, qualidade, crescimento, saude, score, tag): parts by their weights, as far as known.
-    Banks have neither enterprise value nor debt.  The weights and slopes are fixed values."""
+    """(valor, qualidade, crescimento, saude, score, tag): parts by their weights, as far as known;
+    without any the score is 0.  Banks have neither enterprise value nor debt.  The score is a
+    whole number, and the tag is that of the number.  The weights and slopes are fixed values."""
     value = weighted([(0.40, F.when(pl > 0, clip((14 - pl) * 8))), (0.30, F.when(pvp > 0, clip((2.2 - pvp) * 45))), (0.20, F.when((ev_ebitda > 0) & ~bank, clip((8 - ev_ebitda) * 12))), (0.10, clip_known(dy * 8))])
     quality = weighted([(0.55, clip_known((roe - 12) * 5)), (0.45, clip_known((margin - 10) * 3))])
     growth = weighted([(0.55, clip_known(revenue * 4)), (0.45, clip_known(profit * 3))])
     health = F.when(~bank, clip_known((1.0 - debt / 100.0) * 70))
-    score = clip(weighted([(0.30, value), (0.35, quality), (0.20, growth), (0.15, health)]))
-    tag = F.when(score >= 45, "FORTE").when(score >= 15, "SÓLIDA").when(score > -15, "NEUTRA").when(score > -45, "ATENÇÃO").otherwise("FRÁGIL")
+    score = F.bround(clip(F.coalesce(weighted([(0.30, value), (0.35, quality), (0.20, growth), (0.15, health)]), F.lit(0.0))), 0)
+    tag = strength(score)
     return F.struct(value.alias("valor"), quality.alias("qualidade"), growth.alias("crescimento"), health.alias("saude"), score.alias("score"), tag.alias("tag"))
 
 
+def strength(score: Column) -> Column:
+    """What a fundamental score is called."""
+    return F.when(score >= 45, "FORTE").when(score >= 15, "SÓLIDA").when(score > -15, "NEUTRA").when(score > -45, "ATENÇÃO").otherwise("FRÁGIL")
+
+
+def real_estate(pvp: Column, dy: Column) -> Column:
+    """(valor, qualidade, score, tag) of a real-estate fund, by price over book value and yield (a
+    share below 1 or percent).  The weights and slopes are fixed values."""
+    yearly = F.when(dy < 1, dy * 100).otherwise(dy)
+    value = weighted([(0.55, F.when(pvp > 0, clip((1.05 - pvp) * 70))), (0.45, clip_known(yearly * 6))])
+    price = F.when(pvp > 1.3, clip((pvp - 0.7) * -30)).when((pvp <= 1.0) & (pvp != 0), 10.0).otherwise(0.0)
+    paid = F.when(yearly >= 8, 15.0).when(yearly.isNull(), 0.0).otherwise(clip_known(yearly * 2))
+    quality = 0.60 * price + 0.40 * paid
+    score = F.bround(clip(F.coalesce(weighted([(0.55, value), (0.45, quality)]), F.lit(0.0))), 0)
+    return F.struct(value.alias("valor"), quality.alias("qualidade"), score.alias("score"), strength(score).alias("tag"))
+
+
 def clip_known(x: Column) -> Column:
     """``clip``, but null stays null (least and greatest skip nulls)."""
     return F.when(x.isNotNull(), clip(x))

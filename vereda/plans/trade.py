@@ -45,7 +45,7 @@ _IND = """i AS (SELECT s_suppkey, CASE WHEN s_suppkey % 7 <> 0 THEN s_acctbal /
     f"""WITH {_IND}, p AS (SELECT s_suppkey, {_mean([(0.40, f"CASE WHEN pl > 0 THEN {_clip('(14 - pl) * 8')} END"), (0.30, f"CASE WHEN pvp > 0 THEN {_clip('(2.2 - pvp) * 45')} END"), (0.20, f"CASE WHEN ev_ebitda > 0 AND NOT bank THEN {_clip('(8 - ev_ebitda) * 12')} END"), (0.10, _clip('dy * 8'))])} AS valor,
         {_mean([(0.55, f"CASE WHEN roe IS NOT NULL THEN {_clip('(roe - 12) * 5')} END"), (0.45, _clip('(margem - 10) * 3'))])} AS qualidade, {_mean([(0.55, _clip('receita * 4')), (0.45, f"CASE WHEN lucro IS NOT NULL THEN {_clip('lucro * 3')} END")])} AS crescimento,
         CASE WHEN NOT bank THEN {_clip('(1.0 - div_pl / 100.0) * 70')} END AS saude FROM i),
-    s AS (SELECT *, {_clip(_mean([(0.30, "valor"), (0.35, "qualidade"), (0.20, "crescimento"), (0.15, "saude")]))} AS score FROM p)
+    s AS (SELECT *, round_even({_clip("coalesce(" + _mean([(0.30, "valor"), (0.35, "qualidade"), (0.20, "crescimento"), (0.15, "saude")]) + ", 0)")}, 0) AS score FROM p)
     SELECT s_suppkey, round(valor, 4) AS valor, round(qualidade, 4) AS qualidade, round(crescimento, 4) AS crescimento, round(saude, 4) AS saude, round(score, 4) AS score, CASE WHEN score >= 45 THEN 'FORTE' WHEN score >= 15 THEN 'SÓLIDA' WHEN score > -15 THEN 'NEUTRA' WHEN score > -45 THEN 'ATENÇÃO' ELSE 'FRÁGIL' END AS tag FROM s"""
 )
 def fundamental_scores(spark, sf_dir):
@@ -59,6 +59,24 @@ def fundamental_scores(spark, sf_dir):
     return rounded(i.select("s_suppkey", "f.*"), 4)
 
 
+@query(
+    """WITH l AS (SELECT l_partkey, round(avg(l_discount), 8) AS dy FROM lineitem GROUP BY 1), b AS (SELECT p_brand, round(avg(p_retailprice), 8) AS book FROM part GROUP BY 1),
+    i AS (SELECT p_partkey, round(p_retailprice / book, 8) AS pvp, CASE WHEN dy < 1 THEN dy * 100 ELSE dy END AS dy FROM part JOIN b USING (p_brand) LEFT JOIN l ON l_partkey = p_partkey),
+    p AS (SELECT p_partkey, CASE WHEN dy IS NULL THEN least(greatest((1.05 - pvp) * 70, -100), 100) ELSE 0.55 * least(greatest((1.05 - pvp) * 70, -100), 100) + 0.45 * least(greatest(dy * 6, -100), 100) END AS valor,
+        0.6 * CASE WHEN pvp > 1.3 THEN least(greatest((pvp - 0.7) * -30, -100), 100) WHEN pvp <= 1 THEN 10 ELSE 0 END + 0.4 * CASE WHEN dy >= 8 THEN 15 WHEN dy IS NULL THEN 0 ELSE least(greatest(dy * 2, -100), 100) END AS qualidade FROM i),
+    s AS (SELECT *, round_even(least(greatest(0.55 * valor + 0.45 * qualidade, -100), 100), 0) AS score FROM p)
+    SELECT p_partkey, round(valor, 4)::DOUBLE AS valor, round(qualidade, 4)::DOUBLE AS qualidade, score::DOUBLE AS score, CASE WHEN score >= 45 THEN 'FORTE' WHEN score >= 15 THEN 'SÓLIDA' WHEN score > -15 THEN 'NEUTRA' WHEN score > -45 THEN 'ATENÇÃO' ELSE 'FRÁGIL' END AS tag FROM s"""
+)
+def real_estate_scores(spark, sf_dir):
+    """Value and quality of real-estate funds: a part's price over the mean of its brand, and the
+    mean discount of its lines as the yield."""
+    dy = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.round(F.avg("l_discount"), 8).alias("dy"))
+    p = table(spark, sf_dir, "part")
+    book = p.groupBy("p_brand").agg(F.round(F.avg("p_retailprice"), 8).alias("book"))
+    i = p.join(book, "p_brand").join(dy, "p_partkey", "left").select("p_partkey", F.round(F.col("p_retailprice") / F.col("book"), 8).alias("pvp"), "dy")
+    return rounded(i.select("p_partkey", numeric.real_estate(F.col("pvp"), F.col("dy")).alias("f")).select("p_partkey", "f.*"), 4)
+
+
 @query(
     """WITH a AS (SELECT c_custkey, CASE WHEN c_custkey % 4 <> 0 THEN 1 + c_custkey % 5 END AS mean, CASE WHEN c_custkey % 3 <> 0 THEN c_acctbal / 200 END AS up FROM customer)
     SELECT c_custkey, CASE WHEN mean IS NOT NULL OR up IS NOT NULL THEN round(least(greatest((coalesce((3 - mean) / 2.0 * 100 * 0.6, 0) + CASE WHEN up IS NULL THEN 0 ELSE least(greatest(up * 3, -100), 100) * 0.4 END) / nullif(CASE WHEN mean IS NULL THEN 0 ELSE 0.6 END + CASE WHEN up IS NULL THEN 0 ELSE 0.4 END, 0), -100), 100), 6) END AS score,
