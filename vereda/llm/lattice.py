@@ -41,7 +41,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import drop_settled, settle
@@ -197,8 +197,9 @@ def _homes(df: DataFrame, g: Geometry, seed: int, keep: str) -> DataFrame:
 
 
 def balls(classes: DataFrame, g: Geometry) -> tuple[DataFrame, DataFrame]:
-    """``classes(id, unit, n)`` → members (id, unit, n, ball, off: the angle to the leader) and
-    balls (ball, unit of the leader, radius, members, n: rows of all members)."""
+    """``classes(id, unit, n, low)`` → members (id, unit, n, low, ball, off: the angle to the leader)
+    and balls (ball, unit of the leader, radius, members, n: rows of all members, low: the
+    smallest of theirs)."""
     reach = g.angle / 2 - _SLACK
 
     def attach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,32 +207,32 @@ def balls(classes: DataFrame, g: Geometry) -> tuple[DataFrame, DataFrame]:
             off = _angles((matrix(b.column("unit"), g.dim) * matrix(b.column("lead_unit"), g.dim)).sum(1))
             own = b.column("id").to_numpy() == b.column("lead").to_numpy()
             joined = pa.array(np.where(own, 0.0, off), mask=(off > reach) & ~own)
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("unit"), b.column("n"), b.column("lead"), joined], names=["id", "unit", "n", "ball", "off"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("id", "unit", "n", "low", "lead")), joined], names=["id", "unit", "n", "low", "ball", "off"])
 
-    left, done = classes.select("id", "unit", "n"), []
+    left, done = classes.select("id", "unit", "n", "low"), []
     before = left.count()
     for r in range(ROUNDS):
-        keyed = settle(_homes(left, g, 1000 + r, "id, unit, n"), "cells")
+        keyed = settle(_homes(left, g, 1000 + r, "id, unit, n, low"), "cells")
         lead = keyed.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", F.lit(r)).alias("h"), "id", "unit")).alias("lead"))
         lead = settle(lead.select("key", F.col("lead.id").alias("lead"), F.col("lead.unit").alias("lead_unit")), "leads")
-        met = settle(keyed.join(lead, "key").select("id", "unit", "n", "lead", "lead_unit").mapInArrow(attach, "id long, unit binary, n long, ball long, off double"), "attached")
+        met = settle(keyed.join(lead, "key").select("id", "unit", "n", "low", "lead", "lead_unit").mapInArrow(attach, "id long, unit binary, n long, low long, ball long, off double"), "attached")
         drop_settled(keyed)
         drop_settled(lead)
         # leaders without followers go back
         alone = met.filter("off is not null").groupBy("ball").count().filter("count = 1").select("ball")
         state = settle(met.join(alone.withColumn("alone", F.lit(True)), "ball", "left").withColumn("in", F.col("off").isNotNull() & F.col("alone").isNull()), "attached")
-        done.append(state.filter("`in`").select("id", "unit", "n", "ball", "off"))
-        left = state.filter("not `in`").select("id", "unit", "n")
+        done.append(state.filter("`in`").select("id", "unit", "n", "low", "ball", "off"))
+        left = state.filter("not `in`").select("id", "unit", "n", "low")
         drop_settled(met)
         now = left.count()
         if not now or (before - now) * 100 < before:
             break
         before = now
-    members = left.select("id", "unit", "n", F.col("id").alias("ball"), F.lit(0.0).alias("off"))
+    members = left.select("id", "unit", "n", "low", F.col("id").alias("ball"), F.lit(0.0).alias("off"))
     for part in done:
         members = members.unionByName(part)
     members = settle(members, "members")
-    of = members.groupBy("ball").agg(F.max("off").alias("radius"), F.count("*").alias("members"), F.sum("n").alias("n"))
+    of = members.groupBy("ball").agg(F.max("off").alias("radius"), F.count("*").alias("members"), F.sum("n").alias("n"), F.min("low").alias("low"))
     return members, settle(of.join(members.select(F.col("id").alias("ball"), "unit"), "ball"), "balls")
 
 
@@ -307,13 +308,16 @@ def _compared(pairs: DataFrame, of: DataFrame, g: Geometry) -> DataFrame:
     return pairs.join(side("u"), "u").join(side("v"), "v").mapInArrow(stage, "u long, v long, u_n long, v_n long, all boolean")
 
 
+def _salt() -> Column:
+    """Deals the members of a ball to parts of about BLOCK, however large it is."""
+    return F.pmod(F.xxhash64("id"), F.ceil(F.col("members") / BLOCK))
+
+
 def _sum_open(open_pairs: DataFrame, members: DataFrame, of: DataFrame, g: Geometry) -> DataFrame:
     """For pairs of balls that their leaders don't settle: (u, v, id, n): members of u and how
     many rows of v they are linked with, if any."""
     sides = settle(open_pairs.select("u", "v").unionByName(open_pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))), "open")
-    # about BLOCK members each: no group has more, however large the ball
-    salt = F.pmod(F.xxhash64("id"), F.ceil(F.col("members") / BLOCK))
-    inside = members.join(sides.select(F.col("u").alias("ball")).distinct(), "ball", "left_semi").withColumn("salt", salt)
+    inside = members.join(sides.select(F.col("u").alias("ball")).distinct(), "ball", "left_semi").withColumn("salt", _salt())
     blocks = settle(inside.groupBy("ball", "salt").agg(F.collect_list(F.struct("id", "n", "unit")).alias("of")), "blocks")
 
     def arrays(x: pa.Scalar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -347,7 +351,7 @@ def _sum_open(open_pairs: DataFrame, members: DataFrame, of: DataFrame, g: Geome
     lead = of.select(F.col("ball").alias("v"), *[F.col(c).alias(f"v_{c}") for c in ("unit", "radius", "n")])
     first = sides.join(blocks.select(F.col("ball").alias("u"), "of"), "u").join(lead, "v")
     first = settle(first.mapInArrow(by_leader, "u long, v long, id long, n long, unit binary"), "sides")
-    wide = first.filter("unit is not null").join(of.select(F.col("ball").alias("u"), "members"), "u").withColumn("salt", salt)
+    wide = first.filter("unit is not null").join(of.select(F.col("ball").alias("u"), "members"), "u").withColumn("salt", _salt())
     wide = wide.groupBy("u", "v", "salt").agg(F.collect_list(F.struct("id", F.lit(1).cast("long").alias("n"), "unit")).alias("open"))
     rest = wide.join(blocks.select(F.col("ball").alias("v"), "of"), "v").mapInArrow(by_member, "u long, v long, id long, n long")
     return settle(first.filter("unit is null").select("u", "v", "id", "n").unionByName(rest), "sums")
@@ -368,7 +372,7 @@ def near_embeddings(table: DataFrame, cosine: float = COSINE) -> DataFrame:
 
     g = Geometry(dim=8 * math.ceil(width / 8), angle=math.acos(COSINE))
     classes = settle(found.groupBy("e").agg(F.count("*").alias("n"), F.min("vec_id").alias("low")).withColumn("id", F.monotonically_increasing_id()), "classes")
-    units = settle(classes.select("id", "e").mapInArrow(_unit_stage(g.dim), "id long, unit binary").join(classes.select("id", "n"), "id"), "units")
+    units = settle(classes.select("id", "e").mapInArrow(_unit_stage(g.dim), "id long, unit binary").join(classes.select("id", "n", "low"), "id"), "units")
     most = g.dim // 8
     g.m = min(most, max(1, math.ceil(math.log(max(1, units.count()) / CROWD) / 4)))
     members, of = balls(units, g)
@@ -385,12 +389,14 @@ def near_embeddings(table: DataFrame, cosine: float = COSINE) -> DataFrame:
     by_ball = sure.select(F.col("u").alias("ball"), F.col("v_n").alias("k")).unionByName(sure.select(F.col("v").alias("ball"), F.col("u_n").alias("k"))).groupBy("ball").agg(F.sum("k").alias("k"))
     by_class = sums.groupBy("id").agg(F.sum("n").alias("own"))
 
-    named = placed.select("id", "ball").join(classes.select("id", "low"), "id").join(joined.withColumnRenamed("node", "ball"), "ball", "left").withColumn("component", F.coalesce("component", "ball"))
-    named = settle(named, "named")
-    least = settle(named.groupBy("component").agg(F.min("low").alias("component_id")), "least")
-    whole_balls = settle(of.select("ball", "n").join(by_ball, "ball", "left").select("ball", (F.col("n") - 1 + F.coalesce("k", F.lit(0))).alias("n_links")), "counts")
-    named = named.join(least, "component").join(whole_balls, "ball").join(by_class, "id", "left")
-    named = settle(named.select("id", "component_id", (F.col("n_links") + F.coalesce("own", F.lit(0))).alias("n_links")), "named")
+    # what a ball's members have in common is worked out a ball at a time, and dealt to parts of it
+    of_ball = of.select("ball", "n", "members", "low").join(joined.withColumnRenamed("node", "ball"), "ball", "left").join(by_ball, "ball", "left")
+    of_ball = settle(of_ball.withColumn("component", F.coalesce("component", "ball")), "named")
+    least = settle(of_ball.groupBy("component").agg(F.min("low").alias("component_id")), "least")
+    parts = F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("members") / BLOCK) - 1))
+    of_ball = of_ball.join(least, "component").select("ball", "component_id", (F.col("n") - 1 + F.coalesce("k", F.lit(0))).alias("shared"), parts.alias("salt"))
+    named = placed.select("id", "ball", _salt().alias("salt")).join(settle(of_ball, "named"), ["ball", "salt"]).join(by_class, "id", "left")
+    named = settle(named.select("id", "component_id", (F.col("shared") + F.coalesce("own", F.lit(0))).alias("n_links")), "named")
     named = settle(classes.select("e", "id").join(named, "id").select("e", "component_id", "n_links"), "named")
     component = F.coalesce("component_id", "vec_id")
     return rows.join(named, "e", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
