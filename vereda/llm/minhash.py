@@ -12,13 +12,14 @@ texts are linked if their sets have a Jaccard index of at least 0.75.
    smallest and the largest number (numbers follow a hash, so these are any two): two stars,
    twice as many pairs as members.  What the bit counts estimate far below the threshold goes;
    the rest is confirmed on full sets.  The links give components.
-4. In buckets that still hold several components, the members outside the largest are
-   compared with the members of the others: estimate, then the estimate from a signature of
-   1024 minima made for these classes alone, then full sets; a pair counts in the first band
-   that it shares.  Pairs inside a component need no
-   test, so no link between different texts that would change a component is lost and no
-   group is expanded into its pairs.  (Classes that share all four minima of a band and yet
-   are not linked are compared with each other: their number is what this step costs.)
+4. Buckets that still hold several components are open: links between their components may be
+   missing.  Their classes, alone, are joined on full sets by prefix filtering.  Shingles are
+   ordered from rare to frequent among these classes; two sets of Jaccard index 0.75 share one
+   among the first quarter of either (and one more), so only these meet.  What very many of them
+   share, such as the minima that brought them into one bucket, is last in that order and meets
+   nowhere.  Pairs of different components that meet, and whose sizes and bit counts allow a
+   link, are confirmed on full sets.  Pairs inside a component need no test, so no link between
+   different texts that would change a component is lost and no bucket is expanded into pairs.
 
 Two texts at the threshold share no band with probability 5e-6, and the estimates drop a
 pair at the threshold with probability below 1e-5.
@@ -39,16 +40,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words
 from .common import drop_settled, mix, repeated_ids, settle, slices, stream, text_bytes
 from .components import components
 
-SHINGLE, PERMS, ROWS, WIDE = 5, 128, 4, 1024
+SHINGLE, PERMS, ROWS = 5, 128, 4
 BANDS = PERMS // ROWS
-_ODD = stream(WIDE, 21) | np.uint64(1)
+_ODD = stream(PERMS, 21) | np.uint64(1)
 _MASK = np.uint64((1 << 52) - 1)
 
 
@@ -134,12 +135,6 @@ def _likely(a: str, b: str) -> Column:
     return (F.least(n, m) * 100 >= F.greatest(n, m) * 75) & (estimate(a, b) >= 0.5)
 
 
-def _first_shared() -> Column:
-    """No band before this one is shared, too."""
-    at = lambda side, i: F.substring(F.col(f"{side}.bands"), 8 * i + 1, F.lit(8))
-    return (F.col("a.j") == 0) | ~F.exists(F.sequence(F.lit(0), F.greatest(F.col("a.j") - 1, F.lit(0))), lambda i: at("a", i) == at("b", i))
-
-
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The shingle sets of classes, from the texts that have their hash."""
     for b in slices(batches, rows=4000):
@@ -151,17 +146,32 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({"id": b.column("id").take(pa.array(good, pa.int64())), "shingles": pa.array([h[edge[i] : edge[i + 1]].tobytes() for i in good], pa.binary())})
 
 
-def _widen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The low bits of WIDE minima of full sets, 32 of them to an integer."""
+def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each shingle of a set."""
     for b in slices(batches, "shingles"):
         data, offsets = text_bytes(b.column("shingles"))
-        h = mix(np.frombuffer(data.tobytes(), np.uint64).copy())
-        start = offsets[:-1] // 8
-        bits = np.zeros((WIDE // 32, b.num_rows), np.uint64)
-        for j in range(WIDE):
-            low = np.minimum.reduceat(h * _ODD[j], start)
-            bits[j // 32] |= ((low >> np.uint64(24)) & np.uint64(3)) << np.uint64(2 * (j % 32))
-        yield pa.RecordBatch.from_arrays([b.column("id"), *(pa.array(x.view(np.int64)) for x in bits)], names=["id", *(f"w{i}" for i in range(WIDE // 32))])
+        owner = np.repeat(np.arange(b.num_rows), np.diff(offsets) // 8)
+        yield pa.record_batch({"shingle": pa.array(np.frombuffer(data.tobytes(), np.int64)), "id": b.column("id").take(pa.array(owner))})
+
+
+def _meeting(sets: DataFrame, sketch: DataFrame, component: DataFrame) -> DataFrame:
+    """(u, v), u < v: pairs of different components that share a shingle of both prefixes, and may
+    be linked by their sizes and bit counts.  ``component(id, component)`` has the classes that
+    are compared."""
+    spread = settle(sets.join(component.select("id"), "id", "left_semi").mapInArrow(_spread, "shingle long, id long"), "shingles")
+    often = settle(spread.groupBy("shingle").agg(F.count("*").alias("often")).filter("often > 1"), "often")
+    # shingles of one class only come first in the order and meet nothing: they are counted, not joined
+    shared = settle(spread.join(often, "shingle"), "shared")
+    size = sketch.select("id", "n")
+    inside = Window.partitionBy("id")  # one set's shingles
+    placed = shared.join(size, "id").withColumn("at", F.row_number().over(inside.orderBy("often", "shingle"))).withColumn("rare", F.col("n") - F.count("*").over(inside))
+    first = settle(placed.filter(F.col("rare") + F.col("at") <= F.floor(F.col("n") / 4) + 1).select("shingle", "id"), "prefix")
+    full = first.join(sketch.join(component, "id"), "id")
+    met = full.alias("a").join(full.alias("b"), (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.component") != F.col("b.component")) & _likely("a", "b"))
+    out = settle(met.select(F.col("a.id").alias("u"), F.col("b.id").alias("v")).distinct(), "met")
+    for done in (spread, often, shared, first):
+        drop_settled(done)
+    return out
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,22 +227,14 @@ def _linked(docs: DataFrame) -> DataFrame:
     links = settle(confirmed(stars, sets), "links")
     found = components(links)
 
-    labelled = shared.select("band", "j", "id").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    parts = labelled.groupBy("band", "component").agg(F.count("*").alias("k"))
-    largest = parts.groupBy("band").agg(F.count("*").alias("kinds"), F.max(F.struct("k", "component")).alias("top")).filter("kinds > 1")
-    largest = settle(largest.select("band", F.col("top.component").alias("major")), "largest")
-    open_rows = labelled.join(largest, "band").withColumn("major", F.col("component") == F.col("major"))
-    open_rows = settle(open_rows, "open")
-    wide = sets.join(open_rows.select("id").distinct(), "id", "left_semi").mapInArrow(_widen, "id long, " + ", ".join(f"w{i} long" for i in range(WIDE // 32)))
-    full = open_rows.join(sketch.join(classes.select("id", "bands"), "id").join(wide, "id"), "id")
-    minor = full.filter("not major").alias("a")
-    pairs = (
-        minor.join(full.alias("b"), (F.col("a.band") == F.col("b.band")) & (F.col("a.component") != F.col("b.component")) & (F.col("b.major") | (F.col("a.id") < F.col("b.id"))) & _likely("a", "b") & (estimate("a", "b", "w", WIDE // 32) >= 0.68) & _first_shared())
-        .select(F.least("a.id", "b.id").alias("u"), F.greatest("a.id", "b.id").alias("v"))
-        .join(stars, ["u", "v"], "left_anti")
-    )
+    labelled = shared.select("band", "id").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    parts = labelled.select("band", "component").distinct()
+    open_bands = settle(parts.groupBy("band").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("band"), "open")
+    open_ids = settle(labelled.join(open_bands, "band").select("id", "component").distinct(), "open")
+    met = _meeting(sets, sketch, open_ids)
+    pairs = met.join(stars, ["u", "v"], "left_anti")
     more = settle(confirmed(pairs, sets), "links")
-    for done in (sets, stars, shared, largest, open_rows):
+    for done in (sets, stars, shared, open_bands, open_ids, met):
         drop_settled(done)
     if more.limit(1).count():
         drop_settled(found)
