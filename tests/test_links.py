@@ -75,7 +75,7 @@ def test_phrases_by_automaton_and_by_join(spark, limit):
     vocab = ["codigo", "penal", "civil", "lei", "do", "da", "execucao", "acao", "aa", "a"]
     text = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
     phrases = [*{text(rng.randint(2, 6)) for _ in range(300)}, "codigo penal", "codigo penal", "penal", "aa a", "odigo pen", None, " "]
-    texts = {i: text(rng.randint(0, 40)) for i in range(80)} | {100: "penal", 101: "", 102: text(30000)}
+    texts = {i: text(rng.randint(0, 40)) for i in range(80)} | {100: "penal", 101: "", 102: text(30000 if limit else 1500)}
     df = spark.createDataFrame([*texts.items(), (103, None)], "id int, text string")
     aliases = spark.createDataFrame([(i, p, i % 7) for i, p in enumerate(phrases)], "place int, alias string, target int")
     want = {(i, p) for i, t in texts.items() for p in set(phrases) if p and p.strip() and p in t}

@@ -3,6 +3,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -196,6 +197,52 @@ def test_stream_skips_what_it_knows(spark, tmp_path):
     assert sorted((r.external_id, r.body) for r in got.collect()) == [("a", "x"), ("b", "new"), ("b", "y")]
 
 
+def plain_weights(x, y):
+    """Ridge logistic regression row by row: plain gradient steps until they vanish."""
+    w = np.zeros(x.shape[1])
+    for _ in range(200):
+        p = 1 / (1 + np.exp(-x @ w))
+        slope = x.T @ (p - y) + np.array([0, inference.RIDGE]) * w
+        curve = (x * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ x + np.diag([0, inference.RIDGE])
+        w = w - np.linalg.solve(curve, slope)
+        if np.abs(slope).max() < 1e-12:
+            break
+    return w
+
+
+def plain_skill(x, y, day):
+    """Each day's rows from a fit of the other days, day by day."""
+    guess, base = np.zeros(len(y)), np.zeros(len(y))
+    for d in set(day):
+        rest = day != d
+        base[~rest] = y[rest].mean()
+        guess[~rest] = 1 / (1 + np.exp(-x[~rest] @ plain_weights(x[rest], y[rest]))) if rest.sum() >= inference.LEAST else base[~rest]
+    return 1 - ((guess - y) ** 2).mean() / ((base - y) ** 2).mean()
+
+
+def test_resampling_equals_plain_loops(spark):
+    rng = np.random.default_rng(4)
+    rows = [(d, x, float(np.clip(rng.normal(0.4 + 0.25 * x, 0.2), 0, 1))) for d in range(12) for x in (0, 1) if rng.random() < 0.9]
+    df = spark.createDataFrame([(f"d{d:02d}", x, y) for d, x, y in rows], "day string, x int, y double")
+    order = sorted(rows, key=lambda r: (r[0], r[1]))
+    x, y, day = np.array([[1.0, r[1]] for r in order]), np.array([r[2] for r in order]), np.array([r[0] for r in order])
+    real = plain_skill(x, y, day)
+    shuffled = [plain_skill(x, np.random.default_rng([7, i]).permutation(y), day) for i in range(60)]
+    got = inference.permutation(df, replicas=60).first()
+    assert got.skill == pytest.approx(real, abs=1e-7) and got.replicas == 60
+    assert got.p == pytest.approx((sum(s >= real for s in shuffled) + 1) / 61)
+    days = sorted(set(day))
+    made = {0.0: [], 1.0: []}
+    for i in range(80):
+        drawn = [days[k] for k in np.random.default_rng([7, i]).integers(0, len(days), len(days))]
+        at = np.concatenate([np.flatnonzero(day == d) for d in drawn])
+        w = plain_weights(x[at], y[at])
+        for g, out in made.items():
+            out.append(1 / (1 + np.exp(-(w[0] + g * w[1]))))
+    for r in inference.bootstrap(df, replicas=80).collect():
+        assert (r.low, r.high) == pytest.approx(tuple(np.quantile(made[r.x], (0.025, 0.975))), abs=1e-6)
+
+
 def test_ridge_and_skill():
     rng = np.random.default_rng(3)
     x = np.column_stack((np.ones(200), rng.integers(0, 2, 200)))
