@@ -379,3 +379,25 @@ def test_crowded_bands_are_not_expanded_into_pairs(spark, monkeypatch):
     got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == plain_links(rows)
     assert seen and seen[0] < 200  # all pairs would be a million
+
+
+def test_stages_on_hostile_tables(spark, odd, tmp_path):
+    """Every stage on nulls, empty and long texts, repeated rows and clashing columns, and on nothing."""
+    few = spark.createDataFrame([(i, 0, int(i == 20)) for i in range(20, 40)], "doc_id long, quality int, toxic int")
+    labels(spark).filter("doc_id is null or doc_id = 22").unionByName(few).write.parquet(f"{tmp_path}/labels.parquet")
+    docs, ids = hostile(spark, odd), collections.Counter(i for i, *_ in odd)
+    outs = {name: stage(spark, docs, str(tmp_path)) for name, stage in cp.STAGES}
+    for name, stage in cp.STAGES:
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
+        if name != "sentencepiece":
+            assert outs[name].columns == list(cp.COLUMNS), name
+    assert collections.Counter(r.doc_id for r in outs["toxicity"].collect()) == ids
+    near = collections.Counter(r.doc_id for r in outs["near_dedup"].collect())
+    assert near[5] == 1 and not near[6] and not near[8] and near[None] == ids[None] and near[7] == 2 and near[1] == near[2] == near[3] == 1
+    cut = outs["substring_dedup"].collect()
+    assert collections.Counter(r.doc_id for r in cut) == ids and all(r.text is not None and r.n_chars == len(r.text) for r in cut)
+    assert {r.text for r in cut if r.doc_id == 1} == {""}
+    sampled = collections.Counter(r.doc_id for r in outs["mixing"].collect())
+    assert sampled <= ids and (sampled[5] in (0, 2)) and sampled
+    pieces_of = outs["sentencepiece"].collect()
+    assert collections.Counter(r.doc_id for r in pieces_of) == ids and all(r.n_pieces == 0 for r in pieces_of if r.doc_id in (1, 2))
