@@ -139,6 +139,14 @@ def test_articles_and_revocation(spark):
     assert one(spark, legal.referred_laws(lit("a Lei nº 8.112, a lei 8112 e o Decreto-Lei 200"))) == ["8112", "200"]
 
 
+def test_paragraphs_keep_digits_at_their_edges(spark):
+    body = "0 a\n\n 1 b 1 \n\nc 555-9192\n \nd 3"
+    assert one(spark, legal.paragraphs(lit(body))) == ["0 a", "1 b 1", "c 555-9192", "d 3"]
+    assert one(spark, legal.without_revoked(lit(body))) == "0 a\n\n1 b 1\n\nc 555-9192\n\nd 3"
+    page = legal.summary_page(lit("Publicação: 1/2/2003\n011 enunciado da súmula\n"), lit("x"))
+    assert one(spark, page).statement == "011 enunciado da súmula"
+
+
 def test_parsing(spark):
     assert one(spark, parsing.pages(lit("a\n" * 10), 8)) == ["a\na\na\na", "a\na\na\na", "a\na"] and one(spark, parsing.pages(lit("ab\n\nc"), 8)) == ["ab\n\nc"]
     assert one(spark, parsing.change(lit("crude inventories fell by 1,234.0 thousand barrels"))) == -1.234

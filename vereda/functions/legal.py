@@ -30,7 +30,8 @@ _KINDS = [("titulo", r"(?iu)^t[ií]tulo\b"), ("capitulo", r"(?iu)^cap[ií]tulo\b
 
 def paragraphs(body: Column) -> Column:
     """What stands between blank lines, trimmed; empty ones go."""
-    return F.filter(F.transform(F.split(body, r"\n[ \t]*\n"), F.trim), lambda p: p != "")
+    # F.trim by itself would be given the place, too, as the characters to take off
+    return F.filter(F.transform(F.split(body, r"\n[ \t]*\n"), lambda p: F.trim(p)), lambda p: p != "")
 
 
 def structure(body: Column) -> Column:
@@ -59,7 +60,7 @@ def summary_page(text: Column, url: Column) -> Column:
     court = F.when(u.contains("stj"), "STJ").when(u.contains("tst"), "TST").when(u.contains("tse"), "TSE").otherwise("STF")
     binding = u.contains("vinculante") | text.rlike(r"(?iu)s[úu]mula\s+vinculante")
     after = F.element_at(F.split(text, r"(?iu)publica[cç][aã]o:[^\n]+\n"), -1)
-    lines = F.filter(F.transform(F.split(after, "\n"), F.trim), lambda s: s != "")
+    lines = F.filter(F.transform(F.split(after, "\n"), lambda s: F.trim(s)), lambda s: s != "")
     good = F.filter(lines, lambda s: (F.length(s) >= 12) & ~s.rlike(_NO_STATEMENT))
     plain = F.filter(good, lambda s: ~s.rlike(r"^[—–-]\s"))
     statement = F.coalesce(F.get(plain, F.lit(0)), F.get(good, F.lit(0)), F.try_element_at(lines, F.lit(-1)))
