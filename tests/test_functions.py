@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from vereda.functions import dates, legal, normaliser, numeric, parsing, records, text
 from vereda.operators import allocation, catalogue, containment, harvest, merge, ordered, references, search, series
+from vereda.plans import citations
 
 
 def one(spark, column):
@@ -147,6 +148,14 @@ def test_paragraphs_keep_digits_at_their_edges(spark):
     assert one(spark, page).statement == "011 enunciado da súmula"
 
 
+def test_unique_paragraphs_are_told_by_whole_texts(spark, tmp_path):
+    rows = [(i, f"x {i}", "en", "src1") for i in (3574, 5495, 1)] + [(7, "ends with 33", "de", "src2"), (8, "ends with 1034", "de", "src3")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    # the text's paragraph is the fourth and, in lower case, the eleventh: digits 3, 1 and 0 stay
+    got = {r.doc_id: r.paragraphs for r in citations.unique_paragraphs(spark, str(tmp_path)).collect()}
+    assert got == {i: 7 for i in (3574, 5495, 1, 7, 8)}
+
+
 def test_parsing(spark):
     assert one(spark, parsing.pages(lit("a\n" * 10), 8)) == ["a\na\na\na", "a\na\na\na", "a\na"] and one(spark, parsing.pages(lit("ab\n\nc"), 8)) == ["ab\n\nc"]
     assert one(spark, parsing.change(lit("crude inventories fell by 1,234.0 thousand barrels"))) == -1.234
