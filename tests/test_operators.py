@@ -77,6 +77,19 @@ def test_implied_spot_of_the_whole_chain(spark, sf_dir):
     assert [r.x is None for r in found] == [True, True, True, True, False]
 
 
+def test_bisections_work_terms_out_once(spark):
+    args = [F.lit(x) for x in (100.0, 0.1, 0.05, 0.3)]
+    for found in (numeric.implied_spot(F.lit(True), F.col("p"), *args), numeric.implied_volatility(F.lit(True), F.col("p"), F.lit(100.0), *args[:3])):
+        plan = spark.range(1).select(F.rand().alias("p")).select(found.alias("x"))._jdf.queryExecution().analyzed().toString()
+        # lambdas repeat what is written again: one price in the step, three at the bounds
+        assert 1 <= plan.upper().count("LN(") <= 4
+
+
+def test_implied_spots_are_dealt_to_tasks(spark, sf_dir):
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert market.implied_spot(spark, sf_dir).rdd.getNumPartitions() == n
+
+
 def test_answer_letters(spark):
     df = spark.createDataFrame([("0",), ("1",), ("5",), ("b",), ("Alternativa B correta",), ("",), (None,)], "k string")
     assert [r.x for r in df.select(text.answer_letter(F.col("k")).alias("x")).collect()] == ["A", "B", "E", "B", "B", None, None]

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import let
+
 
 def clip(x: Column, low: float = -100, high: float = 100) -> Column:
     return F.least(F.greatest(x, F.lit(float(low))), F.lit(float(high)))
@@ -98,54 +101,84 @@ _CDF = (0.319381530, -0.356563782, 1.781477937, -1.821255978, 1.330274429)
 
 def normal_cdf(x: Column) -> Column:
     """Within 7.5e-8 of the normal distribution function; Spark has none of its own."""
-    t = 1 / (1 + 0.2316419 * F.abs(x))
-    poly = reduce(lambda acc, b: (acc + F.lit(b)) * t, reversed(_CDF), F.lit(0.0))
-    tail = F.exp(-x * x / 2) / 2.5066282746310002 * poly
-    return F.when(x >= 0, 1 - tail).otherwise(tail)
+    return _cdf(x, lambda v, f: f(v))
+
+
+def _cdf(x: Column, bound: Callable[[Column, Callable[[Column], Column]], Column]) -> Column:
+    def of(t: Column) -> Column:
+        poly = reduce(lambda acc, b: (acc + F.lit(b)) * t, reversed(_CDF), F.lit(0.0))
+        tail = F.exp(-x * x / 2) / 2.5066282746310002 * poly
+        return F.when(x >= 0, 1 - tail).otherwise(tail)
+
+    return bound(1 / (1 + 0.2316419 * F.abs(x)), of)
 
 
 def black_scholes(call: Column, spot: Column, strike: Column, years: Column, rate: Column, sigma: Column) -> Column:
     """Price; the intrinsic value where time or volatility is not positive."""
+    return _price(call, spot, strike, years, rate, sigma, lambda v, f: f(v))
+
+
+def _price(call: Column, spot: Column, strike: Column, years: Column, rate: Column, sigma: Column, bound: Callable[[Column, Callable[[Column], Column]], Column]) -> Column:
+    """``black_scholes``.  A lambda of Spark works out a term as often as it is written, so inside one
+    ``bound`` is ``let``; elsewhere Spark finds the common terms."""
     live = (years > 0) & (sigma > 0) & (spot > 0) & (strike > 0)
     root = sigma * F.sqrt(F.greatest(years, F.lit(1e-12)))
-    d1 = (F.ln(spot / strike) + (rate + sigma * sigma / 2) * years) / root
-    d2, paid = d1 - root, strike * F.exp(-rate * years)
-    price = F.when(call, spot * normal_cdf(d1) - paid * normal_cdf(d2)).otherwise(paid * normal_cdf(-d2) - spot * normal_cdf(-d1))
+    paid = strike * F.exp(-rate * years)
+
+    def worth(d1: Column) -> Column:
+        cdf = lambda x: bound(x, lambda v: _cdf(v, bound))
+        d2 = d1 - root
+        return F.when(call, spot * cdf(d1) - paid * cdf(d2)).otherwise(paid * cdf(-d2) - spot * cdf(-d1))
+
+    price = bound((F.ln(spot / strike) + (rate + sigma * sigma / 2) * years) / root, worth)
     return F.when(live, price).otherwise(F.greatest(F.lit(0.0), F.when(call, spot - strike).otherwise(strike - spot)))
 
 
+def _halved(low: Column, high: Column, steps: int, rises: Callable[[Column], Column]) -> Column:
+    """Bisection inside one expression: where ``rises`` of the middle holds, the lower half goes.
+
+    A step in which no number lies between the bounds any more changes nothing and is left out."""
+
+    def step(s: Column, _: Column) -> Column:
+        half = lambda m: F.when(rises(m), F.struct(m.alias("low"), s["high"].alias("high"))).otherwise(F.struct(s["low"].alias("low"), m.alias("high")))
+        return let((s["low"] + s["high"]) / 2, lambda m: F.when((m != s["low"]) & (m != s["high"]), half(m)).otherwise(s))
+
+    start = F.struct(low.alias("low"), high.cast("double").alias("high"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step, lambda s: (s["low"] + s["high"]) / 2)
+
+
+def _inside(args: list[Column], found: Callable[..., Column]) -> Column:
+    """``found`` of the arguments, each worked out once, before it goes into lambdas."""
+    packed = F.struct(*[a.alias(f"a{i}") for i, a in enumerate(args)])
+    return let(packed, lambda p: found(*[p[f"a{i}"] for i in range(len(args))]))
+
+
 def implied_volatility(call: Column, premium: Column, spot: Column, strike: Column, years: Column, rate: Column, most: float = 5.0, steps: int = 60) -> Column:
     """The volatility at which the option is worth ``premium``, by bisection inside one expression
     (a price rises with volatility); null where none up to ``most`` is, or an argument is not
     positive."""
-    least = F.lit(1e-6)
+    return _inside([call, premium, spot, strike, years, rate], lambda *given: _implied_volatility(*given, most, steps))
 
-    def step(s: Column, _: Column) -> Column:
-        mid = (s["low"] + s["high"]) / 2
-        rise = black_scholes(call, spot, strike, years, rate, mid) < premium
-        return F.struct(F.when(rise, mid).otherwise(s["low"]).alias("low"), F.when(rise, s["high"]).otherwise(mid).alias("high"))
 
-    start = F.struct(least.alias("low"), F.lit(most).alias("high"))
-    found = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step, lambda s: (s["low"] + s["high"]) / 2)
-    inside = (black_scholes(call, spot, strike, years, rate, least) <= premium) & (black_scholes(call, spot, strike, years, rate, F.lit(most)) >= premium)
+def _implied_volatility(call: Column, premium: Column, spot: Column, strike: Column, years: Column, rate: Column, most: float, steps: int) -> Column:
+    worth = lambda v: _price(call, spot, strike, years, rate, v, let)
+    least = F.lit(1e-6)
+    found = _halved(least, F.lit(most), steps, lambda v: worth(v) < premium)
+    inside = (worth(least) <= premium) & (worth(F.lit(most)) >= premium)
     return F.when((premium > 0) & (years > 0) & (spot > 0) & (strike > 0) & inside, found)
 
 
 def implied_spot(call: Column, premium: Column, strike: Column, years: Column, rate: Column, sigma: Column, steps: int = 80) -> Column:
     """The spot at which the option is worth ``premium``, by bisection inside one expression;
     null where no spot between 0.01 and ten strikes is, or an argument is not positive."""
-    least, most = F.lit(0.01), strike * 10
-    start = F.struct(least.alias("low"), most.cast("double").alias("high"))
+    return _inside([call, premium, strike, years, rate, sigma], lambda *given: _implied_spot(*given, steps))
 
-    def step(s: Column, _: Column) -> Column:
-        mid = (s["low"] + s["high"]) / 2
-        worth = black_scholes(call, mid, strike, years, rate, sigma)
-        rise = F.when(call, worth < premium).otherwise(worth > premium)
-        return F.struct(F.when(rise, mid).otherwise(s["low"]).alias("low"), F.when(rise, s["high"]).otherwise(mid).alias("high"))
-
-    found = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step, lambda s: (s["low"] + s["high"]) / 2)
-    at_least, at_most = (black_scholes(call, x, strike, years, rate, sigma) for x in (least, most))
-    inside = F.when(call, at_most >= premium).otherwise((at_least >= premium) & (at_most <= premium))
+
+def _implied_spot(call: Column, premium: Column, strike: Column, years: Column, rate: Column, sigma: Column, steps: int) -> Column:
+    worth = lambda spot: _price(call, spot, strike, years, rate, sigma, let)
+    least, most = F.lit(0.01), strike * 10
+    found = _halved(least, most, steps, lambda x: let(worth(x), lambda w: F.when(call, w < premium).otherwise(w > premium)))
+    inside = F.when(call, worth(most) >= premium).otherwise((worth(least) >= premium) & (worth(most) <= premium))
     return F.when((premium > 0) & (sigma > 0) & (years > 0) & inside, found)
 
 

@@ -14,6 +14,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows of a small file dealt to as many tasks as a shuffle has, for work that is heavy for each
+    row; adaptive execution does not merge a stated number again."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def daily_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bars of each return flag and ship date: price is extended price over quantity."""
     rows = table(spark, sf_dir, "lineitem")

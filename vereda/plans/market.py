@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numeric
 from ..operators import series
-from .common import BARS, daily_bars, rolled, rounded, table
+from .common import BARS, daily_bars, rolled, rounded, spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -407,7 +407,7 @@ def implied_spot_chain(spark, sf_dir):
 
 
 def _implied(spark, sf_dir) -> DataFrame:
-    a = _chain(spark, sf_dir).withColumn("premium", numeric.black_scholes(*[F.col(c) for c in ("is_call", "spot", "strike", "years", "rate", "sigma")]))
+    a = spread(_chain(spark, sf_dir), "p_partkey").withColumn("premium", numeric.black_scholes(*[F.col(c) for c in ("is_call", "spot", "strike", "years", "rate", "sigma")]))
     return a.withColumn("found", numeric.implied_spot(*[F.col(c) for c in ("is_call", "premium", "strike", "years", "rate", "sigma")]))
 
 
