@@ -90,6 +90,11 @@ def test_implied_spots_are_dealt_to_tasks(spark, sf_dir):
     assert market.implied_spot(spark, sf_dir).rdd.getNumPartitions() == n
 
 
+def test_implied_chain_is_dealt_to_tasks(spark, sf_dir):
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert market.implied_spot_chain(spark, sf_dir).rdd.getNumPartitions() == n
+
+
 def test_answer_letters(spark):
     df = spark.createDataFrame([("0",), ("1",), ("5",), ("b",), ("Alternativa B correta",), ("",), (None,)], "k string")
     assert [r.x for r in df.select(text.answer_letter(F.col("k")).alias("x")).collect()] == ["A", "B", "E", "B", "B", None, None]
