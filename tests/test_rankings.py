@@ -98,3 +98,8 @@ def test_rolling_order_equals_sorting_each_window(spark, monkeypatch, stretch):
             else:
                 assert r["rank"] == pytest.approx(sum(v <= mine[t] for v in window) / 10)
                 assert (r.q10, r.q75) == pytest.approx((np.quantile(window, 0.1), np.quantile(window, 0.75)))
+
+
+def test_implied_volatilities_are_dealt_to_tasks(spark, sf_dir):
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert rankings.implied_volatilities(spark, sf_dir).rdd.getNumPartitions() == n

@@ -14,7 +14,7 @@ from ..operators.identity import top_of_each
 from ..operators.ordered import checkpoint_dir, running
 from ..operators.toplists import TopList, top_lists
 from . import market
-from .common import BARS, daily_bars, rolled, rounded, table
+from .common import BARS, daily_bars, rolled, rounded, spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -119,7 +119,7 @@ def implied_volatilities(spark, sf_dir):
     """The volatility found back from each option's price, near the money."""
     p = table(spark, sf_dir, "part").filter("p_size >= 5").select("p_partkey", (F.col("p_partkey") % 2 == 0).alias("call"), (100.0 + F.col("p_size")).alias("spot"), (F.col("p_size") / 365.0).alias("years"), (0.15 + (F.col("p_partkey") % 50) / 100.0).alias("sigma"))
     args = [F.col("spot"), F.col("spot") * 1.01, F.col("years"), F.lit(0.1)]
-    p = p.withColumn("premium", numeric.black_scholes(F.col("call"), *args, F.col("sigma")))
+    p = spread(p, "p_partkey").withColumn("premium", numeric.black_scholes(F.col("call"), *args, F.col("sigma")))
     return p.select("p_partkey", F.round(numeric.implied_volatility(F.col("call"), F.col("premium"), *args), 4).alias("sigma"))
 
 
