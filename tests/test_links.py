@@ -64,6 +64,13 @@ def test_overlaps_equal_all_pairs(spark, least):
         assert [(r.r, r.place) for r in sorted(top, key=lambda r: r.place) if r.l == i] == [(j, k + 1) for k, (_, j) in enumerate(mine)]
 
 
+def test_overlaps_return_no_more_pairs_than_asked(spark):
+    hot = [f"w{i}" for i in range(9)]
+    df = lambda n, k: spark.createDataFrame([(i, hot + [f"{k}{i}"]) for i in range(n)], f"{k} int, tokens array<string>")
+    got = overlap.overlapping(df(40, "l"), df(500, "r"), 7, 3)  # 20,000 pairs meet
+    assert got.count() == 3 * 40 and {(r.r, r.overlap) for r in got.collect()} == {(0, 9), (1, 9), (2, 9)}
+
+
 def test_tokens_are_folded_and_distinct(spark):
     df = spark.createDataFrame([("Súmula SUMULA sobre alternativa ab1234 curto não",), (None,)], "t string")
     assert [r[0] for r in df.select(overlap.tokens(F.col("t"))).collect()] == [["sumula", "ab1234", "curto"], []]

@@ -1,9 +1,14 @@
-"""Texts that share at least so many words, by prefix filtering."""
+"""Texts that share at least so many words, counted in blocks of posting lists."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions.text import folded
 from .identity import top_of_each
@@ -11,6 +16,10 @@ from .ordered import checkpoint_dir
 
 #: Words that say nothing about a question's subject.
 SILENT = ["sobre", "como", "para", "pela", "pelo", "uma", "com", "direito", "questao", "alternativa"]
+#: Tokens of a block of the right side and of a batch of the left one, on average: both bound a task's memory.
+BLOCK, BATCH = 1 << 21, 1 << 18
+#: Blocks that a small right side is cut into, so that several tasks count; each holds some tokens at least.
+TASKS, LEAST_BLOCK = 24, 1 << 17
 
 
 def tokens(text: Column, shortest: int = 5) -> Column:
@@ -19,37 +28,78 @@ def tokens(text: Column, shortest: int = 5) -> Column:
     return F.array_distinct(F.filter(found, lambda w: ~w.isin(SILENT)))
 
 
-def overlapping(left: DataFrame, right: DataFrame, least: int = 7) -> DataFrame:
+def _sets(column: pa.ListScalar) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Ids, tokens end to end, and the number of the set that each token is of."""
+    ids, held = column.values.field("id"), column.values.field("tokens")
+    sizes = np.diff(held.offsets.to_numpy())
+    return ids, held.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(ids)), sizes)
+
+
+def shared(asked: np.ndarray, of: np.ndarray, n: int, held: np.ndarray, row: np.ndarray, m: int, least: int, top: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Number of the left set, of the right set, and common tokens, of all pairs with at least
+    ``least``; with ``top`` only that many of a left set, the first of equals."""
+    by = np.argsort(held, kind="stable")
+    held, row = held[by], row[by]
+    first, after = np.searchsorted(held, asked), np.searchsorted(held, asked, side="right")
+    bounds = np.searchsorted(of, np.arange(n + 1))
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for i in range(n):
+        a, b = first[bounds[i] : bounds[i + 1]], after[bounds[i] : bounds[i + 1]]
+        lists = [row[x:y] for x, y in zip(a.tolist(), b.tolist(), strict=True) if y > x]
+        if len(lists) < least:
+            continue
+        n_common = np.bincount(np.concatenate(lists), minlength=m)  # a set holds a token once
+        right = np.flatnonzero(n_common >= least)
+        if top is not None and len(right) > top:
+            right = right[np.lexsort((right, -n_common[right]))[:top]]
+        found.append((np.full(len(right), i), right, n_common[right]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+
+
+def overlapping(left: DataFrame, right: DataFrame, least: int = 7, top: int | None = None) -> DataFrame:
     """``left(l, tokens)`` and ``right(r, tokens)``, distinct tokens → (l, r, overlap) of all pairs
-    with at least ``least`` tokens in common.
+    with at least ``least`` tokens in common; with ``top`` at least those among the ``top`` largest
+    overlaps of a left set (ties: smaller r).
 
-    Tokens are ordered from rare to frequent.  Two sets with ``least`` common tokens share one
-    among the first size - least + 1 of each, so only these meet in the join: the frequent
-    tokens, at which very many sets would meet, stay out.  What meets is compared on whole sets.
+    Tokens of both sides become numbers.  The right side is dealt to blocks of posting lists, the
+    left one to batches, and every batch meets every block: common tokens are counted in a task,
+    set by set, and no pair is shuffled but those that are returned.  The steps are as many as
+    pairs of equal tokens; memory is bounded by a block, a batch and the pairs returned.
 
     Defined cases: null ids and sets that are too small are in no pair; repeated ids count as
     one set, the union of theirs."""
-    checkpoint_dir(left.sparkSession)
+    spark = left.sparkSession
+    checkpoint_dir(spark)
 
     def prepared(side: DataFrame, key: str) -> DataFrame:
-        return side.filter(F.col(key).isNotNull() & (F.size("tokens") > 0)).select(F.col(key), F.explode("tokens").alias("token")).distinct()
+        return side.filter(F.col(key).isNotNull() & (F.size("tokens") >= 0)).select(F.col(key).alias("id"), F.explode("tokens").alias("token"))
 
-    a, b = prepared(left, "l").checkpoint(), prepared(right, "r").checkpoint()
+    a, b = prepared(left, "l"), prepared(right, "r")
     # tokens of one side only are in no pair
-    both = a.groupBy("token").agg(F.count("*").alias("n")).join(b.groupBy("token").agg(F.count("*").alias("m")), "token")
-    both = both.select("token", (F.col("n") * F.col("m")).alias("cost")).checkpoint()
-
-    def prefix(side: DataFrame, key: str) -> DataFrame:
-        held = side.join(both, "token")
-        w = Window.partitionBy(key)  # one set's tokens
-        return held.withColumn("size", F.count("*").over(w)).withColumn("at", F.row_number().over(w.orderBy("cost", "token"))).filter(F.col("at") <= F.col("size") - least + 1).select(key, "token")
-
-    met = prefix(a, "l").join(prefix(b, "r"), "token").select("l", "r").distinct()
-    sets = lambda side, key: side.join(both, "token", "left_semi").groupBy(key).agg(F.collect_list("token").alias(f"{key}_tokens"))
-    pairs = met.join(sets(a, "l"), "l").join(sets(b, "r"), "r")
-    return pairs.select("l", "r", F.size(F.array_intersect("l_tokens", "r_tokens")).alias("overlap")).filter(F.col("overlap") >= least)
+    known = a.select("token").distinct().join(b.select("token").distinct(), "token")
+    known = known.withColumn("number", F.monotonically_increasing_id()).checkpoint()
+    numbered = lambda side: side.join(known, "token").groupBy("id").agg(F.array_sort(F.collect_set("number")).alias("tokens")).filter(F.size("tokens") >= least).checkpoint()
+    a, b = numbered(a), numbered(b)
+    total = lambda side: side.agg(F.sum(F.size("tokens"))).first()[0] or 0
+    n_held = total(b)
+    blocks = max(1, -(-n_held // BLOCK), min(TASKS, -(-n_held // LEAST_BLOCK)))
+    batches = max(1, -(-total(a) // BATCH))
+    dealt = lambda side, n, name: side.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias(name)).agg(F.array_sort(F.collect_list(F.struct("id", "tokens"))).alias(f"{name}_sets"))
+    held = dealt(b, blocks, "block").repartition(blocks, "block")
+    asked = dealt(a, batches, "batch").select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "batch_sets").repartition(blocks, "block")
+    schema = StructType([StructField("l", a.schema["id"].dataType), StructField("r", b.schema["id"].dataType), StructField("overlap", IntegerType())])
+
+    def counted(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found in rows:
+            for i in range(found.num_rows):
+                ls, asked, of = _sets(found.column("batch_sets")[i])
+                rs, held, row = _sets(found.column("block_sets")[i])
+                l_at, r_at, n = shared(asked, of, len(ls), held, row, len(rs), least, top)
+                yield pa.RecordBatch.from_arrays([ls.take(pa.array(l_at)), rs.take(pa.array(r_at)), pa.array(n.astype(np.int32))], ["l", "r", "overlap"])
+
+    return asked.join(held.hint("shuffle_hash"), "block").select("batch_sets", "block_sets").mapInArrow(counted, schema)
 
 
 def most_overlapping(left: DataFrame, right: DataFrame, least: int = 7, top: int = 3) -> DataFrame:
     """(l, r, overlap, place): the ``top`` sets with the largest overlap, ties to the smaller id."""
-    return top_of_each(overlapping(left, right, least), ["l"], [F.desc("overlap"), F.col("r")], top)
+    return top_of_each(overlapping(left, right, least, top), ["l"], [F.desc("overlap"), F.col("r")], top)
