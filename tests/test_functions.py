@@ -156,6 +156,19 @@ def test_unique_paragraphs_are_told_by_whole_texts(spark, tmp_path):
     assert got == {i: 7 for i in (3574, 5495, 1, 7, 8)}
 
 
+def test_unique_paragraphs_of_other_spaces_and_capitals(spark, tmp_path):
+    import duckdb
+
+    edge = "".join(map(chr, (0xA0, 0x1680, 0x2003, 0x202F, 0x205F, 0x3000)))
+    assert one(spark, legal.paragraphs(lit(f"{edge}a{edge}b {edge}\n\n{edge}\n\n\tc\u200b"))) == [f"a{edge}b", "\tc\u200b"]
+    assert one(spark, text.lowered(lit("İI ΑΣ ΣΑΣ É"))) == "ii ασ σασ é"
+    texts = [f"{edge}wide{edge}", "İI ΑΣ\n\nii ας\n\nii ασ", f"a\n\n{edge}\n\n{edge}A"]
+    spark.createDataFrame([(i, t, "x", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(map(tuple, citations.unique_paragraphs(spark, str(tmp_path)).collect()))
+    sql = citations.ORACLE_SQL["unique_paragraphs"].replace("FROM documents", f"FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert got == sorted(duckdb.sql(sql).fetchall())
+
+
 def test_impacts_are_counted_without_pairs(spark, sf_dir):
     hits = spark.createDataFrame([(i, "Revoga a Lei nº 8.001 e a Lei 8.002" if i % 2 else "Altera a Lei nº 8.001, e a lei 8001") for i in range(20)] + [(1, "Revoga a Lei nº 8.001"), (None, "Altera a Lei 8.009")], "h long, t string")
     laws = spark.createDataFrame([(i, f"lei {8001 + i % 3}") for i in range(30)] + [(0, "lei 8001"), (7, "lei 8009")], "e long, n string")

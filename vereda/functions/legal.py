@@ -30,8 +30,7 @@ _KINDS = [("titulo", r"(?iu)^t[ií]tulo\b"), ("capitulo", r"(?iu)^cap[ií]tulo\b
 
 def paragraphs(body: Column) -> Column:
     """What stands between blank lines, trimmed; empty ones go."""
-    # F.trim by itself would be given the place, too, as the characters to take off
-    return F.filter(F.transform(F.split(body, r"\n[ \t]*\n"), lambda p: F.trim(p)), lambda p: p != "")
+    return F.filter(F.transform(F.split(body, r"\n[ \t]*\n"), lambda p: F.trim(p, F.lit(sections.SPACES))), lambda p: p != "")
 
 
 def structure(body: Column) -> Column:

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: What counts as white space at the edges of a part.
 WHITE = " \t\n\r\f\v"
+#: Unicode's spaces (category Zs), which a plain trim of the queries' SQL takes off; tabs are none.
+SPACES = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 _BLANK = re.compile(r"\n[ \t]*\n")
 
 Classes = list[tuple[str, re.Pattern[str]]]
@@ -27,7 +29,7 @@ def blocks(text: str | None, classes: Classes, rest: str, takes: set[str]) -> li
     if text is None:
         return None
     out: list[tuple[str, list[str]]] = []
-    for p in (x.strip(" ") for x in _BLANK.split(text)):
+    for p in (x.strip(SPACES) for x in _BLANK.split(text)):
         if not p:
             continue
         kind = next((name for name, pattern in classes if pattern.match(p)), rest)
@@ -45,7 +47,7 @@ def pages(text: str | None, size: int) -> list[str] | None:
         return None if text is None else [text]
     out: list[list[str]] = []
     used = 0
-    for line in (x.strip(" ") for x in text.split("\n")):
+    for line in (x.strip(SPACES) for x in text.split("\n")):
         if not line:
             continue
         if not out or used + len(line) + 1 > size:
