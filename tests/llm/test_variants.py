@@ -94,3 +94,15 @@ def test_keys_are_shared_once_by_near_words():
             assert not near(a, words[j]) or len(of[i] & of[j]) == 1
             assert variants.one_apart(a, words[j]) == near(a, words[j]) == variants.one_apart(words[j], a)
     assert np.array_equal(variants.delete_keys([])[0], np.zeros(0, np.int64))
+
+
+def test_no_table_of_words_is_broadcast(spark, capsys):
+    """Small files make Spark broadcast a table of a million words through the driver."""
+    rows = [(i, "variant variant varient varients spelling speling spellings") for i in range(40)]
+    found = variants.spelling_variants(spark.createDataFrame(rows, "doc_id long, text string"))
+    words = spark.createDataFrame([(1, "spelling", 5), (2, "speling", 2)], "id long, word string, n long")
+    for df in (found, variants.near_pairs(words)):
+        df.collect()
+        df.explain()
+    plan = capsys.readouterr().out
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan

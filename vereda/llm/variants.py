@@ -17,6 +17,9 @@
 5. Roots follow the forms to the last one.  The joins double the distance in each round; since
    counts grow tenfold with every form, there are at most 18 forms in a row and five rounds.
 
+Tables of words grow with the corpus, so no join broadcasts one: their files are small, being
+compressed, and Spark would pass such a table whole through the driver.
+
 Defined cases: null or empty text has no words; a null id counts as the empty text in the
 checksum; repeated rows count again; words with fewer than ``SHORTEST`` code points or fewer
 than ``LEAST`` occurrences are no words; a run of megabytes is one word; an empty table gives
@@ -104,11 +107,11 @@ def near_pairs(words: DataFrame) -> DataFrame:
     """``words(id, word, n)``, distinct words → both directions of each near pair:
     (id, other, other_word, other_n)."""
     keys = words.select("id", "word").mapInArrow(_emit, "key long, id long")
-    pairs = keys.alias("a").join(keys.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")))
+    pairs = keys.alias("a").join(keys.alias("b").hint("merge"), (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")))
     pairs = pairs.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
     one = words.select(F.col("id").alias("a"), F.col("word").alias("a_word"), F.col("n").alias("a_n"))
     two = words.select(F.col("id").alias("b"), F.col("word").alias("b_word"), F.col("n").alias("b_n"))
-    pairs = pairs.join(one, "a").join(two, "b").select("a", "b", "a_word", "b_word", "a_n", "b_n")
+    pairs = pairs.join(one.hint("merge"), "a").join(two.hint("merge"), "b").select("a", "b", "a_word", "b_word", "a_n", "b_n")
     found = settle(pairs.mapInArrow(_exact, pairs.schema), "near")
     sides = [found.select(F.col(x).alias("id"), F.col(y).alias("other"), F.col(f"{y}_word").alias("other_word"), F.col(f"{y}_n").alias("other_n")) for x, y in (("a", "b"), ("b", "a"))]
     return sides[0].unionByName(sides[1])
@@ -119,7 +122,7 @@ def followed(forms: DataFrame) -> DataFrame:
     links = settle(forms.select("id", F.col("form").alias("root")), "roots")
     while True:
         ahead = links.select(F.col("id").alias("root"), F.col("root").alias("next"))
-        new = settle(links.join(ahead, "root", "left").select("id", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "roots")
+        new = settle(links.join(ahead.hint("merge"), "root", "left").select("id", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "roots")
         drop_settled(links)
         links = new.select("id", "root")
         if not new.filter("moved").limit(1).count():
@@ -130,9 +133,9 @@ def spelling_variants(docs: DataFrame) -> DataFrame:
     """``docs(doc_id, text)`` → (word, form, root, n, n_near, form_n), one row for each word."""
     words = settle(counted(docs).withColumn("id", F.monotonically_increasing_id()), "words")
     best = near_pairs(words).groupBy("id").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("other_n")).alias("m"), "other_word", "other")).alias("top"))
-    top = words.join(best, "id", "left").select("id", "word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), *[F.when(-F.col("top.m") >= RATIO * F.col("n"), c).alias(name) for name, c in (("form_id", F.col("top.other")), ("form", F.col("top.other_word")), ("form_n", -F.col("top.m")))])
+    top = words.join(best.hint("merge"), "id", "left").select("id", "word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), *[F.when(-F.col("top.m") >= RATIO * F.col("n"), c).alias(name) for name, c in (("form_id", F.col("top.other")), ("form", F.col("top.other_word")), ("form_n", -F.col("top.m")))])
     top = settle(top, "forms")
     roots = followed(top.filter("form_id is not null").select("id", F.col("form_id").alias("form")))
     names = words.select(F.col("id").alias("root_id"), F.col("word").alias("root_word"))
-    named = roots.withColumnRenamed("root", "root_id").join(names, "root_id").select("id", "root_word")
-    return top.join(named, "id", "left").select("word", "form", F.coalesce("root_word", "word").alias("root"), "n", "n_near", "form_n")
+    named = roots.withColumnRenamed("root", "root_id").join(names.hint("merge"), "root_id").select("id", "root_word")
+    return top.join(named.hint("merge"), "id", "left").select("word", "form", F.coalesce("root_word", "word").alias("root"), "n", "n_near", "form_n")
