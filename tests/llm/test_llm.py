@@ -473,3 +473,18 @@ def test_pipeline(spark, sf_dir):
     assert mixed.items() <= cut.items() and mixed
     sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
     assert {r.doc_id: r.ids for r in outs[4].collect()} == {i: sp.encode(t) for i, t in mixed.items()}
+
+
+def test_pieces_index_a_bounded_number_of_characters():
+    import tracemalloc
+
+    tables = pieces.Tables.load(public_tokenizers.path("piece_bpe_32k.model"))
+    make = random.Random(5)
+    text = " ".join("".join(make.choices("abcdefghij", k=9)) for _ in range(100_000))
+    tables.encode(["warm up"])
+    tracemalloc.start()
+    ids, edge = tables.encode([text])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    raw, at = tables.decode(ids, edge)
+    assert raw[at[0] + 1 : at[1]] == text.encode() and peak < 120 << 20

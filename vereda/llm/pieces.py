@@ -30,8 +30,8 @@ from .common import Lookup, slices
 from .units import Memory
 
 SPACE = "▁"
-#: Characters of distinct units that are indexed at once.
-INDEX_CHARS = 1 << 20
+#: Characters of distinct units that are indexed at once; some 30 arrays have a number for each.
+INDEX_CHARS = 1 << 18
 _BIG = 1 << 30
 _CODE, _GROUP = 12, 5  # bits of a character's code; characters in one integer key
 
@@ -293,7 +293,7 @@ def encoded(docs: DataFrame, model: str, with_ids: bool = True) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = shared.value
-        for b in slices(batches, limit=2 << 20):
+        for b in slices(batches):
             texts = [t or "" for t in b.column("text").to_pylist()]
             ids, edge = tables.encode(texts)
             raw, at = tables.decode(ids, edge)
