@@ -6,7 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from vereda.functions import dates, legal, normaliser, numeric, parsing, records, text
+from vereda.functions import dates, legal, normaliser, numeric, parsing, records, sections, text
 from vereda.operators import allocation, catalogue, containment, harvest, merge, ordered, references, search, series
 from vereda.plans import citations
 
@@ -279,3 +279,21 @@ def test_fundamentals_of_unknown_issuers(spark):
     found = [r.f for r in fund.select(numeric.real_estate(F.col("p"), F.col("d")).alias("f")).collect()]
     assert found[0].valor == pytest.approx(0.55 * 10.5 + 0.45 * 60) and found[0].qualidade == pytest.approx(12) and found[0].tag == "SÓLIDA"
     assert found[1].qualidade == pytest.approx(0.6 * -24 + 0.4 * 10) and found[2].score == 0 and found[2].valor is None and found[3].qualidade == 0
+
+
+def test_batches_of_texts_become_strings_in_slices(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(sections, "SLICE", 10)
+    texts = ["a" * 4, None, "é" * 3, "", "b" * 25, "c", None]
+    got = [p.to_pylist() for p in sections.parts(pa.array(texts))]
+    assert got == [texts[:3], texts[3:5], texts[5:]]
+    assert sections.parts(pa.array(texts).slice(4, 2))[0].to_pylist() == ["b" * 25]
+    assert [p.to_pylist() for p in sections.parts(pa.array([], pa.string()))] == [[]]
+
+
+def test_long_batches_keep_every_text(spark):
+    rows = [(i, None if i % 7 == 0 else f"{i} " + "word\n\n" * (400 * (i % 5))) for i in range(900)]
+    df = spark.createDataFrame(rows, "i long, t string").coalesce(1)
+    got = {r.i: (r.p, r.c) for r in df.select("i", parsing.pages(F.col("t")).alias("p"), catalogue.pieces(F.col("t")).alias("c")).collect()}
+    assert got == {i: (sections.pages(t, parsing.PAGE), sections.pieces(t, catalogue.CHUNK)) for i, t in rows}

@@ -10,7 +10,8 @@ import re
 from bisect import bisect_right
 from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,6 +19,9 @@ from pyspark.sql import functions as F
 WHITE = " \t\n\r\f\v"
 #: Unicode's spaces (category Zs), which a plain trim of the queries' SQL takes off; tabs are none.
 SPACES = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+#: Bytes of text that a worker turns into Python's strings at once; bounds its memory.
+SLICE = 1 << 19
+_ARROW = {"array<string>": pa.list_(pa.string()), "array<struct<kind:string,text:string>>": pa.list_(pa.struct([("kind", pa.string()), ("text", pa.string())]))}
 _BLANK = re.compile(r"\n[ \t]*\n")
 
 Classes = list[tuple[str, re.Pattern[str]]]
@@ -74,9 +78,28 @@ def pieces(text: str | None, size: int) -> list[str]:
 
 
 def each(text: Column, cut: Callable[[str | None], list | None], kind: str) -> Column:
-    """``cut`` of every text, as a column of type ``kind``."""
-
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([cut(t) for t in texts], dtype=object)
-
-    return F.pandas_udf(run, kind)(text)
+    """``cut`` of every text, as a column of type ``kind``.
+
+    A batch has thousands of texts, whole ones; they become Python's strings about SLICE characters
+    at a time, so that a worker holds a batch in Arrow's form only."""
+    made = _ARROW[kind]
+
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.concat_arrays([pa.array([cut(t) for t in part.to_pylist()], made) for part in parts(texts)])
+
+    return F.arrow_udf(run, kind)(text)
+
+
+def parts(texts: pa.Array) -> list[pa.Array]:
+    """The texts in order, in slices that end after the text with which they reach SLICE; one empty
+    slice without any text."""
+    size = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
+    out, at, held = [], 0, 0
+    for i, n in enumerate(size):
+        held += n
+        if held >= SLICE:
+            out.append(texts.slice(at, i + 1 - at))
+            at, held = i + 1, 0
+    if at < len(texts) or not out:
+        out.append(texts.slice(at))
+    return out
