@@ -269,3 +269,9 @@ def test_ridge_and_skill():
     gradient = x.T @ (inference.predict(x, w) - y) + np.array([0, inference.RIDGE]) * w
     assert np.abs(gradient).max() < 1e-6
     assert inference.skill(*inference.leave_one_day_out(x, y, np.arange(200) // 10), y) > 0.5
+
+
+def test_bisection_of_the_spot_has_no_spotless_terms(spark):
+    found = numeric.implied_spot(F.lit(True), F.col("p"), *[F.lit(x) for x in (100.0, 0.1, 0.05, 0.3)])
+    plan = spark.range(1).select(F.rand().alias("p")).select(found.alias("x"))._jdf.queryExecution().analyzed().toString()
+    assert plan.upper().count("SQRT(") == 1  # worked out once a row, not once a step

@@ -118,19 +118,24 @@ def black_scholes(call: Column, spot: Column, strike: Column, years: Column, rat
     return _price(call, spot, strike, years, rate, sigma, lambda v, f: f(v))
 
 
-def _price(call: Column, spot: Column, strike: Column, years: Column, rate: Column, sigma: Column, bound: Callable[[Column, Callable[[Column], Column]], Column]) -> Column:
+def _spotless(strike: Column, years: Column, rate: Column, sigma: Column) -> tuple[Column, ...]:
+    """The terms of a price that do not depend on the spot."""
+    return sigma * F.sqrt(F.greatest(years, F.lit(1e-12))), (rate + sigma * sigma / 2) * years, strike * F.exp(-rate * years)
+
+
+def _price(call: Column, spot: Column, strike: Column, years: Column, rate: Column, sigma: Column, bound: Callable[[Column, Callable[[Column], Column]], Column], terms: tuple[Column, ...] | None = None) -> Column:
     """``black_scholes``.  A lambda of Spark works out a term as often as it is written, so inside one
-    ``bound`` is ``let``; elsewhere Spark finds the common terms."""
+    ``bound`` is ``let``; elsewhere Spark finds the common terms.  ``terms`` has the spotless ones
+    where they were worked out before."""
+    root, carry, paid = terms or _spotless(strike, years, rate, sigma)
     live = (years > 0) & (sigma > 0) & (spot > 0) & (strike > 0)
-    root = sigma * F.sqrt(F.greatest(years, F.lit(1e-12)))
-    paid = strike * F.exp(-rate * years)
 
     def worth(d1: Column) -> Column:
         cdf = lambda x: bound(x, lambda v: _cdf(v, bound))
         d2 = d1 - root
         return F.when(call, spot * cdf(d1) - paid * cdf(d2)).otherwise(paid * cdf(-d2) - spot * cdf(-d1))
 
-    price = bound((F.ln(spot / strike) + (rate + sigma * sigma / 2) * years) / root, worth)
+    price = bound((F.ln(spot / strike) + carry) / root, worth)
     return F.when(live, price).otherwise(F.greatest(F.lit(0.0), F.when(call, spot - strike).otherwise(strike - spot)))
 
 
@@ -171,11 +176,12 @@ def _implied_volatility(call: Column, premium: Column, spot: Column, strike: Col
 def implied_spot(call: Column, premium: Column, strike: Column, years: Column, rate: Column, sigma: Column, steps: int = 80) -> Column:
     """The spot at which the option is worth ``premium``, by bisection inside one expression;
     null where no spot between 0.01 and ten strikes is, or an argument is not positive."""
-    return _inside([call, premium, strike, years, rate, sigma], lambda *given: _implied_spot(*given, steps))
+    args = [call, premium, strike, years, rate, sigma]
+    return _inside([*args, *_spotless(strike, years, rate, sigma)], lambda *given: _implied_spot(*given[: len(args)], given[len(args) :], steps))
 
 
-def _implied_spot(call: Column, premium: Column, strike: Column, years: Column, rate: Column, sigma: Column, steps: int) -> Column:
-    worth = lambda spot: _price(call, spot, strike, years, rate, sigma, let)
+def _implied_spot(call: Column, premium: Column, strike: Column, years: Column, rate: Column, sigma: Column, terms: tuple[Column, ...], steps: int) -> Column:
+    worth = lambda spot: _price(call, spot, strike, years, rate, sigma, let, terms)
     least, most = F.lit(0.01), strike * 10
     found = _halved(least, most, steps, lambda x: let(worth(x), lambda w: F.when(call, w < premium).otherwise(w > premium)))
     inside = F.when(call, worth(most) >= premium).otherwise((worth(least) >= premium) & (worth(most) <= premium))
