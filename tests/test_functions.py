@@ -36,6 +36,32 @@ def test_normaliser(spark, raw, domain, want):
     assert one(spark, normaliser.normalised(lit(raw), domain)) == want
 
 
+def test_normaliser_parts_a_text_at_listed_words_alone(spark):
+    keys = list(normaliser.ACCENTS)
+    assert one(spark, normaliser.parts(lit("uma nota,  sem nada: naoo"), keys)) == ["uma nota,  sem nada: naoo"]
+    assert one(spark, normaliser.parts(lit("NAO ha nota; nao\U0001d41a la"), keys)) == ["NAO", " ha nota; nao\U0001d41a ", "la"]
+    assert one(spark, F.size(normaliser.parts(F.repeat(lit("uma palavra, 12 vezes\n"), 50_000), keys))) == 1
+
+
+@pytest.mark.parametrize(
+    "raw, want",
+    [
+        ("a..b,,c. .d ( e", "a. b, c.. d (e"),
+        ("a \n b\t\n\r\n c\td \n. e(\n\nf", "a\nb\n\nc d. e(f"),
+        ("\U0001d41anao \U0001d41aart. 5o, \U0001f600nao \U0001f600art. 5o", "\U0001d41anao \U0001d41aart. 5o, \U0001f600não \U0001f600art. 5º"),
+        ("art. 5°nao, part. 5°", "art. 5ºnão, part. 5°"),
+        ("\u017fUMULA v\u0131nculante, xtema de repetitivo", "Súmula Vinculante, xtema de repetitivo"),
+        ("xLei 8112, de 1990 e LE\u0130 n. 8112, de 1990", "xLei 8112, de 1990 e LE\u0130 8112/1990"),
+    ],
+)
+def test_normaliser_at_odd_letters_and_runs(spark, raw, want):
+    assert one(spark, normaliser.normalised(lit(raw))) == want
+
+
+def test_normaliser_of_a_long_text(spark):
+    assert one(spark, normaliser.normalised(F.repeat(lit("um ,dois  e nao;"), 50_000))) == ("um, dois e não; " * 50_000)[:-1]
+
+
 def test_glued_words_are_parted(spark):
     assert one(spark, normaliser.normalised(lit("contratosem prazo, vinculante e direitopúblico"), glued=True)) == "contrato sem prazo, vinculante e direito público"
 

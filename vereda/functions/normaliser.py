@@ -1,13 +1,16 @@
-"""A normaliser of Portuguese legal text, over tokens.
+"""A normaliser of Portuguese legal text.
 
-A text becomes an array of tokens (runs of letters, of digits, of white space, and single other
-characters).  Each token is judged by itself and its neighbours, so one pass puts accents on
-words and sets spaces and marks right; phrases of several words are then brought to their
-canonical forms, whose patterns are made from those forms.
+A text is parted at the words that need accents, and each of those is looked up by itself; spaces,
+marks and ordinals are set right by patterns that see their neighbours.  Phrases of several words
+are then brought to their canonical forms, whose patterns are made from those forms.
+
+Every pattern reads the whole text, so each begins with what few characters are; what must not
+stand before is looked at after that.
 """
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import reduce
 
@@ -37,8 +40,10 @@ GLUED = """
     que por como para sem sobre entre contra mediante conforme durante
 """.split()
 
-TOKEN = r"\p{L}+|[0-9]+|[ \t\n\r\f\x0B]+|[^\p{L}0-9 \t\n\r\f\x0B]"
-_SPACE = r"^[ \t\n\r\f\x0B]"
+WORD = r"\p{L}+|\P{L}+"
+_SPACE = r"[ \t\n\r\f\x0B]"
+#: No letter before the character just read; a letter of two code units, named here, has Java look for such, too.
+_NO_LETTER = r"(?<![\p{L}𐐀].)"
 
 
 def plain(word: str) -> str:
@@ -49,8 +54,20 @@ def plain(word: str) -> str:
 ACCENTS = {plain(w): w for w in ACCENTED_WORDS}
 
 
-def tokens(x: Column) -> Column:
-    return F.regexp_extract_all(x, F.lit(TOKEN), 0)
+def words(x: Column) -> Column:
+    return F.regexp_extract_all(x, F.lit(WORD), 0)
+
+
+def _listed(keys: list[str]) -> str:
+    """A pattern of whole words out of a list, in any case, where a word begins."""
+    rest = {c: "|".join(k[1:] for k in keys if k[0] == c) for c in sorted({k[0] for k in keys})}
+    return "(?:" + "|".join(f"[{c}{c.upper()}](?i:{r})" for c, r in rest.items()) + r")(?!\p{L})"
+
+
+def parts(x: Column, keys: list[str]) -> Column:
+    """The words of a text that are in a list of plain spellings, and whole what lies between them."""
+    listed = _listed(keys)
+    return F.regexp_extract_all(x, F.lit(rf"{listed}|(?:\P{{L}}++|(?!{listed})\p{{L}}++)++"), 0)
 
 
 def cased(like: Column, word: Column) -> Column:
@@ -59,70 +76,64 @@ def cased(like: Column, word: Column) -> Column:
     return F.when((like == F.upper(like)) & (F.length(like) > 1), F.upper(word)).when(first != F.lower(first), F.concat(F.upper(F.substring(word, 1, 1)), F.substring(word, 2, 1 << 20))).otherwise(word)
 
 
-def accented(ts: Column) -> Column:
-    table = F.create_map(*[F.lit(s) for pair in ACCENTS.items() for s in pair])
-
-    def word(t: Column) -> Column:
-        found = F.try_element_at(table, F.lower(t))
-        return F.coalesce(cased(t, found), t)
+def accented(x: Column) -> Column:
+    """Accents on words that need them."""
+    table, longest = F.create_map(*[F.lit(s) for pair in ACCENTS.items() for s in pair]), max(map(len, ACCENTS))
+    word = lambda t: F.coalesce(cased(t, F.try_element_at(table, F.lower(t))), t)
+    return F.array_join(F.transform(parts(x, list(ACCENTS)), lambda t: F.when(F.octet_length(t) <= longest, word(t)).otherwise(t)), "")
 
-    return F.transform(ts, word)
 
+#: What of marks and spaces goes, each group being what stays: a mark twice; space after an opening
+#: bracket and before a closing mark; a run of spaces with one or more ends of a line, and without.
+SPACING = r"(?=[\n.,(]| [ \n,;:.!?)])(?:([.,])\1+|(\()[ \n]++|[ \n]++(?=[,;:.!?)])| *+(\n) *+(?:(\n)[ \n]*+)?|( ) ++)"
 
-def spaced(ts: Column) -> Column:
-    """Tokens with spaces and marks set right: no space before a closing mark or after an opening
-    bracket, one after a mark that a letter follows, no mark twice, no more than one blank line."""
-    return let(ts, _spaced)
 
+def spaced(x: Column) -> Column:
+    """Spaces and marks set right: no space before a closing mark or after an opening bracket, one
+    after a mark that a letter follows, no mark twice, no more than one blank line."""
+    blank = F.regexp_replace(x, r"[\t\r\f\x0B]", " ")
+    return F.regexp_replace(F.regexp_replace(blank, SPACING, "$1$2$3$4$5"), r"([,;:.])(?=\p{L})", "$1 ")
 
-def _spaced(ts: Column) -> Column:
-    def judged(t: Column, i: Column) -> Column:
-        before, after = F.get(ts, i - 1), F.get(ts, i + 1)
-        breaks = F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit("")))
-        gap = F.when(after.isin(*",;:.!?)") | (before == "("), "").when(breaks > 0, F.repeat(F.lit("\n"), F.least(breaks, F.lit(2)))).otherwise(" ")
-        mark = F.when(t.isin(".", ",") & (F.coalesce(before, F.lit("")) == t), "").otherwise(t)
-        room = F.when(t.isin(*",;:.") & after.rlike(r"^\p{L}"), " ").otherwise("")
-        return F.when(t.rlike(_SPACE), gap).otherwise(F.concat(mark, room))
 
-    return F.transform(ts, judged)
+#: "art." and a number (group 1), and a degree sign or an o by itself.
+ORDINAL = rf"([Aa]{_NO_LETTER}[Rr][Tt]\.{_SPACE}*+[0-9]++{_SPACE}*+)(?:°|[Oo](?!\p{{L}}))"
 
 
-def ordinals(ts: Column) -> Column:
+def ordinals(x: Column) -> Column:
     """The sign of an ordinal number after "art." and a number, where a degree sign or an o stands."""
-    return let(ts, _ordinals)
-
-
-def _ordinals(ts: Column) -> Column:
-    def judged(t: Column, i: Column) -> Column:
-        # art . [space] number [space] o
-        gap = F.get(ts, i - 1).rlike(_SPACE)
-        at = F.when(gap, i - 2).otherwise(i - 1)
-        head = F.when(F.get(ts, at - 1).rlike(_SPACE), at - 2).otherwise(at - 1)
-        article = F.get(ts, at).rlike("^[0-9]+$") & (F.get(ts, head) == ".") & (F.lower(F.get(ts, head - 1)) == "art")
-        return F.when((t == "°") | (t.isin("o", "O")), F.when(F.coalesce(article, F.lit(False)), "º").otherwise(t)).otherwise(t)
-
-    return F.transform(ts, judged)
+    return F.regexp_replace(x, ORDINAL, "$1º")
 
 
 def phrase_pattern(phrase: str) -> str:
     """Any case, with or without accents, any white space where the phrase has a space."""
     char = lambda c: {" ": r"[ \t\n]+", "-": r"[ \t]*-[ \t]*"}.get(c, f"[{c}{plain(c)}]" if plain(c) != c else c)
-    return r"(?iu)(?<!\p{L})" + "".join(char(c) for c in phrase) + r"(?!\p{L})"
+    first = {"S": "[Ssſ]"}.get(phrase[0], f"[{phrase[0]}{phrase[0].lower()}]")
+    return first + r"(?<!\p{L}.)(?iu)" + "".join(char(c) for c in phrase[1:]) + r"(?!\p{L})"
+
+
+def anchor(phrase: str) -> str:
+    """The longest part of a phrase whose letters only have themselves as the other case (i, k and s
+    stand for other letters, too), so that a lower-cased text without it has no such phrase."""
+    return max(re.findall("[a-hjl-rt-z]+", phrase.lower()), key=len)
 
 
 def phrased(x: Column) -> Column:
-    return reduce(lambda t, p: F.regexp_replace(t, phrase_pattern(p), p), PHRASES, x)
+    def each(low: Column, t: Column, p: str) -> Column:
+        return let(t, lambda v: F.when(F.contains(low, F.lit(anchor(p))), F.regexp_replace(v, phrase_pattern(p), p)).otherwise(v))
+
+    return let(x, lambda v: let(F.lower(v), lambda low: reduce(lambda t, p: each(low, t, p), PHRASES, v)))
 
 
+_LEI = r"([Ll](?<!\p{L}.)(?iu)ei(?:[ ]+Complementar)?)(?iu)"
 #: A law's number (group 2, the name in group 1), with or without "nº", and the year after its date.
-LAW = r"(?iu)(?<!\p{L})(Lei(?:[ ]+Complementar)?)[ ]+(?:n[.º°o]*[ ]*)?(\d{1,3}(?:\.?\d{3})?)[ ]*,?[ ]+de[ ]+(?:\d{1,2}[º°]?[ ]+de[ ]+\p{L}+[ ]+de[ ]+)?(\d{4})(?!\d)"
+LAW = _LEI + r"[ ]+(?:n[.º°o]*[ ]*)?(\d{1,3}(?:\.?\d{3})?)[ ]*,?[ ]+de[ ]+(?:\d{1,2}[º°]?[ ]+de[ ]+\p{L}+[ ]+de[ ]+)?(\d{4})(?!\d)"
 
 
 def laws(x: Column) -> Column:
     """Law references as name, dotted number and year."""
     short = F.regexp_replace(x, LAW, "$1 $2/$3")
-    short = F.regexp_replace(short, r"(?iu)(?<!\p{L})(Lei(?:[ ]+Complementar)?)[ ]+n[.º°o]*[ ]*(?=\d)", "$1 ")
-    return F.regexp_replace(short, r"(?<=[Ll]ei )(\d{1,3})(\d{3})(?=/\d{4})", "$1.$2")
+    short = F.regexp_replace(short, _LEI + r"[ ]+n[.º°o]*[ ]*(?=\d)", "$1 ")
+    return F.regexp_replace(short, r"([Ll]ei \d{1,3})(\d{3})(?=/\d{4})", "$1.$2")
 
 
 def unglued(ts: Column) -> Column:
@@ -136,9 +147,9 @@ def unglued(ts: Column) -> Column:
 def normalised(x: Column, domain: str = "all", glued: bool = False) -> Column:
     """The whole normaliser; for case law (``juris``) spacing stays but for runs of spaces.
     ``glued`` parts glued words, too."""
-    ts = accented(ordinals(tokens(x)))
+    joined = accented(x)
     if glued:
-        ts = unglued(ts)
-    joined = F.array_join(ts, "")
-    out = F.regexp_replace(joined, r"[ \t]{2,}", " ") if domain == "juris" else F.array_join(spaced(tokens(joined)), "")
+        joined = F.array_join(unglued(words(joined)), "")
+    joined = ordinals(joined)
+    out = F.regexp_replace(joined, r"[ \t]{2,}", " ") if domain == "juris" else spaced(joined)
     return laws(phrased(out))
