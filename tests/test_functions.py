@@ -60,6 +60,7 @@ def test_normaliser_at_odd_letters_and_runs(spark, raw, want):
 
 def test_normaliser_of_a_long_text(spark):
     assert one(spark, normaliser.normalised(F.repeat(lit("um ,dois  e nao;"), 50_000))) == ("um, dois e não; " * 50_000)[:-1]
+    assert one(spark, normaliser.normalised(F.repeat(lit("um ,dois  e nao;\n\n\n"), 50_000), "juris")) == "um ,dois e não;\n\n\n" * 50_000
 
 
 def test_glued_words_are_parted(spark):
