@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,6 +72,68 @@ def test_overlaps_return_no_more_pairs_than_asked(spark):
     assert got.count() == 3 * 40 and {(r.r, r.overlap) for r in got.collect()} == {(0, 9), (1, 9), (2, 9)}
 
 
+def _plain_pairs(left, right, least):
+    return {(i, j, len(set(a) & set(b))) for i, a in left.items() for j, b in right.items() if len(set(a) & set(b)) >= least}
+
+
+def test_overlaps_hold_no_block_in_a_row(spark):
+    df = lambda n, k: spark.createDataFrame([(i, [f"w{j}" for j in range(i % 9, i % 9 + 12)]) for i in range(n)], f"{k} int, tokens array<string>")
+    found = overlap.overlapping(df(30, "l"), df(50, "r"), 7, None)
+    plan = found._jdf.queryExecution().toString()
+    assert "collect_list" not in plan and "HashJoin" not in plan  # either had a whole block in an executor's memory
+    assert found.count() == len(_plain_pairs({i: range(i % 9, i % 9 + 12) for i in range(30)}, {i: range(i % 9, i % 9 + 12) for i in range(50)}, 7))
+
+
+@pytest.mark.parametrize("top", [None, 2])
+def test_overlaps_of_many_blocks_long_and_equal_sets(spark, monkeypatch, top):
+    monkeypatch.setattr(overlap, "WORK", 1)
+    monkeypatch.setattr(overlap, "TASKS", 6)
+    monkeypatch.setattr(overlap, "BLOCK", 1500)
+    monkeypatch.setattr(overlap, "LONGEST", 4)
+    rng = random.Random(11)
+    words = [f"w{int(rng.paretovariate(0.5)) % 400:04d}" for _ in range(6000)]
+    some = lambda n, most: {k: sorted(set(rng.sample(words, rng.randint(0, most)))) for k in range(n)}
+    left, right = some(50, 60), some(70, 40) | {70 + k: sorted(set(rng.sample(words, 400))) for k in range(5)}
+    left |= {100 + k: left[k] for k in range(0, 50, 2)}  # equal sets on both sides
+    right |= {100 + k: right[k % 8] for k in range(60)} | {200 + k: right[70] for k in range(4)}
+    df = lambda d, k: spark.createDataFrame([(i, w + [None]) for i, w in d.items()], f"{k} int, tokens array<string>")
+    want = _plain_pairs(left, right, 5)
+    got = {tuple(r) for r in overlap.overlapping(df(left, "l"), df(right, "r"), 5, top).collect()}
+    if top is None:
+        assert got == want
+    else:
+        best = {p for i in left for p in sorted((p for p in want if p[0] == i), key=lambda p: (-p[2], p[1]))[:top]}
+        assert best <= got <= want
+        found = overlap.most_overlapping(df(left, "l"), df(right, "r"), 5, top).collect()
+        assert {(r.l, r.r, r.overlap) for r in found} == best and len(found) == len(best)
+
+
+def test_overlaps_tell_tokens_of_equal_numbers_apart(spark, monkeypatch):
+    first = lambda token, salt: F.xxhash64(token, F.lit(salt)) if salt else F.length(token).cast("long")
+    monkeypatch.setattr(overlap, "number", first)
+    sets = lambda k: spark.createDataFrame([(1, [f"{k}{i}" for i in range(8)] + ["b", "cc"])], f"{k} int, tokens array<string>")
+    assert [tuple(r) for r in overlap.overlapping(sets("l"), sets("r"), 2).collect()] == [(1, 1, 2)]
+
+
+@pytest.mark.parametrize("sparse", [0, 10**6])
+@pytest.mark.parametrize("seen", [1, 3, 50])
+def test_shared_equals_all_pairs(monkeypatch, seen, sparse):
+    for k, v in {"SEEN": seen, "SPARSE": sparse, "BITS": 70, "FREQUENT": 20, "PAIRS": 50}.items():
+        monkeypatch.setattr(overlap, k, v)
+    rng = np.random.default_rng(seen)
+    draw = lambda n, most: [np.unique(rng.zipf(1.3, rng.integers(0, most)) % 500).astype(np.int64) for _ in range(n)]
+    left, right = draw(60, 80), draw(200, 60)
+    least = rng.integers(1, 12, len(left)).astype(np.int32)
+    for top in (None, 3):
+        block = overlap.Block(np.concatenate(right), np.repeat(np.arange(len(right), dtype=np.int32), [len(x) for x in right]), len(right))
+        found = list(block.shared(np.concatenate(left), np.array([len(x) for x in left]), least, top))
+        got = [(int(i), int(j), int(n)) for part in found for i, j, n in zip(*part, strict=True)]
+        want = [(i, j, n) for i, a in enumerate(left) for j, b in enumerate(right) if (n := len(np.intersect1d(a, b))) >= least[i]]
+        if top:
+            want = [p for i in range(len(left)) for p in sorted((p for p in want if p[0] == i), key=lambda p: (-p[2], p[1]))[:top]]
+        assert len(got) == len(set(got)) and set(got) == set(want) and len(found) > 1
+
+
 def test_tokens_are_folded_and_distinct(spark):
     df = spark.createDataFrame([("Súmula SUMULA sobre alternativa ab1234 curto não",), (None,)], "t string")
     assert [r[0] for r in df.select(overlap.tokens(F.col("t"))).collect()] == [["sumula", "ab1234", "curto"], []]
