@@ -22,7 +22,7 @@ BLOCK, EACH = 1 << 24, 32
 #: Tasks that smaller sides are dealt to, if each has as much to do: products of tokens of either side.
 TASKS, WORK = 24, 1 << 33
 #: The longest right sets, with so small a part of all tokens, are counted first: what they reach need not be counted of the others.
-LONGEST = 32
+LONGEST = 64
 #: Frequent tokens of a block that have a bit in each of its sets; a token of that many sets may be one.
 BITS, FREQUENT = 512, 128
 #: Common tokens outside the bits that a pair has at least, to be looked at, and pairs that are returned at once.
@@ -132,16 +132,16 @@ def _met(asked: DataFrame, held: DataFrame, n_asked: int, n_held: int, top: int
     part = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     blank = lambda k: F.lit(None).cast(kinds[k]).alias(k)
-    a = asked.select(F.lit(1).alias("side"), F.col("id").alias("l"), blank("r"), "tokens", "least", part(slices).alias("slice"), every(blocks).alias("block"))
-    b = held.select(F.lit(0).alias("side"), blank("l"), F.col("id").alias("r"), "tokens", F.lit(0).alias("least"), every(slices).alias("slice"), part(blocks).alias("block"))
+    a = asked.select(F.col("id").alias("l"), blank("r"), "tokens", "least", part(slices).alias("slice"), every(blocks).alias("block"))
+    b = held.select(blank("l"), F.col("id").alias("r"), "tokens", F.lit(0).alias("least"), every(slices).alias("slice"), part(blocks).alias("block"))
     both = a.unionByName(b).withColumn("cell", F.col("block") * slices + F.col("slice")).drop("block", "slice")
-    # right sets come by id, so that the first of equals has the smallest
-    both = both.repartitionById(blocks * slices, "cell").sortWithinPartitions("side", "r").drop("cell")
+    # right sets come first (what they ask is 0), by id, so that the first of equals has the smallest
+    both = both.repartitionById(blocks * slices, "cell").sortWithinPartitions(F.col("least") > 0, "r").drop("cell")
 
     def counted(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, flat, row, m, block = [], [], [], 0, None
         for found in rows:
-            n_right = found.num_rows - int(found.column("side").to_numpy().sum())
+            n_right = int((found.column("least").to_numpy() == 0).sum())
             if n_right:
                 some, sizes = _flat(found.column("tokens").slice(0, n_right))
                 ids.append(found.column("r").slice(0, n_right))
